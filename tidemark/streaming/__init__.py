@@ -1,0 +1 @@
+"""Intentionally empty: every stage of the evaluation reads complete tables."""
