@@ -28,9 +28,6 @@ DAILY = BacktestSpec(
 NUDGE = 2.5e-8
 DM_HORIZONS = (1, 6, 12, 24)
 
-PERSISTENCE = F.lit("persistence")
-
-
 def arm(model: str) -> Column:
     return F.col("model") == model
 

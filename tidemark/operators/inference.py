@@ -15,6 +15,7 @@ from tidemark.operators import blocks
 CELL = ("series", "horizon")
 MIN_PAIRS = 10
 MAX_LAG = 64
+TINY = 1e-12
 
 
 def paired_losses(
@@ -75,7 +76,8 @@ def diebold_mariano(
     * ``"bartlett"``: q = floor(4 (n/100)^(2/9)) with weights 1 - k/(q+1), h_dm = ceil(h/stride).
 
     Fewer than ten pairs give NULL throughout; a variance that is not positive gives NULL for the statistic
-    only. Origins are numbered in blocks and lagged products computed in chunks with a halo, so a cell may
+    only. With q >= n-1 the unweighted sum is zero by identity, so a variance below ``TINY`` times the plain one
+    counts as not positive instead of leaving its sign to rounding. Origins are numbered in blocks and lagged products computed in chunks with a halo, so a cell may
     hold any number of origins. ``max_lag`` is the reach of the halo; a cell that needs more fails the job.
     ``cells`` adds tested cells for which no pair exists.
     """
@@ -115,7 +117,7 @@ def diebold_mariano(
         tested = cells.join(tested, keys, "left").fillna(0, subset=["n"])
     omega = (F.col("_s0") + 2.0 * F.col("_sq")) / n
     enough = n >= MIN_PAIRS
-    valid = enough & (omega > 0)
+    valid = enough & (omega > TINY * F.col("_s0") / n)
     raw = F.when(valid, F.col("mean_loss_diff") / F.sqrt(omega / n))
     hd = F.col("h_dm")
     factor = F.sqrt((n + 1 - 2 * hd + hd * (hd - 1) / n) / n)

@@ -132,11 +132,14 @@ def output_contract(df: DataFrame, columns: Sequence[str], identifiers: Sequence
         F.countDistinct("horizon").alias("horizons"),
         F.count_if(~F.col("condition").isin(list(conditions))).alias("conditions"),
     )
+    row = lambda name, ok, detail: F.struct(
+        F.lit(name).alias("check"), ok.alias("passed"), detail.cast("string").alias("detail")
+    )
     cells = F.array(
-        F.struct(F.lit("columns present").alias("check"), F.lit(True).alias("passed"), F.lit(str(len(columns))).alias("detail")),
-        F.struct(F.lit("identifiers are not null"), F.col("nulls") == 0, F.col("nulls").cast("string")),
-        F.struct(F.lit("horizons are 1..H"), (F.col("range") == 0) & (F.col("horizons") == horizon), F.col("horizons").cast("string")),
-        F.struct(F.lit("conditions are known"), F.col("conditions") == 0, F.col("conditions").cast("string")),
+        row("columns present", F.lit(True), F.lit(len(columns))),
+        row("identifiers are not null", F.col("nulls") == 0, F.col("nulls")),
+        row("horizons are 1..H", (F.col("range") == 0) & (F.col("horizons") == horizon), F.col("horizons")),
+        row("conditions are known", F.col("conditions") == 0, F.col("conditions")),
     )
     return one.select(F.inline(cells))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,7 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    return use_utc(spark)
+    return ship_package(use_utc(spark))
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -32,6 +34,26 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers, wherever they were started; once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        source = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="tidemark-code-"), "tidemark.zip")
+        with zipfile.ZipFile(target, "w") as archive:
+            for folder, _, files in os.walk(source):
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        archive.write(full, os.path.relpath(full, os.path.dirname(source)))
+        context.addPyFile(target)
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def staging_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a private one only where the setting is absent."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import PanelSpec, regular_grid
-from tidemark.session import use_utc
+from tidemark.session import ship_package, use_utc
 
 HOURLY = PanelSpec(step_seconds=3600, covariates=("n_events", "k_mean"))
 DAILY = PanelSpec(step_seconds=86400)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return ship_package(use_utc(spark)).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def hourly_observed(spark: SparkSession, folder: str) -> DataFrame:
