@@ -19,9 +19,9 @@ def seasonal_lag(spec: BacktestSpec, h: int) -> int:
     return cycles * spec.season - g
 
 
-def back_lags(spec: BacktestSpec) -> list[int]:
-    """Raw back values the baselines read."""
-    return sorted({seasonal_lag(spec, h) for h in range(1, spec.horizon + 1)})
+def back_reach(spec: BacktestSpec) -> int:
+    """How many raw back values the baselines read."""
+    return max(seasonal_lag(spec, h) for h in range(1, spec.horizon + 1))
 
 
 def persistence(spec: BacktestSpec) -> Column:
@@ -35,7 +35,7 @@ def persistence(spec: BacktestSpec) -> Column:
 
 def seasonal_naive(spec: BacktestSpec) -> Column:
     """The value one season (or more, to stay inside training) before each target."""
-    return F.array(*[F.col(f"y_back_{seasonal_lag(spec, h)}") for h in range(1, spec.horizon + 1)])
+    return F.array(*[F.get("back_y", F.lit(seasonal_lag(spec, h))) for h in range(1, spec.horizon + 1)])
 
 
 def to_ledger(rows: DataFrame, spec: BacktestSpec, forecasts: dict[tuple[str, str], Column]) -> DataFrame:
@@ -50,7 +50,7 @@ def to_ledger(rows: DataFrame, spec: BacktestSpec, forecasts: dict[tuple[str, st
             for (c, m), p in forecasts.items()
         ]
     )
-    shift = spec.target_offset(0) + 1  # element_at is 1-based and the arrays start at offset 0
+    offset = F.col("horizon") + spec.target_offset(0)
     steps = F.sequence(F.lit(1), F.lit(spec.horizon))
     return (
         rows.select("series", F.col("ts").alias("origin"), "ahead_ts", "ahead_y", F.inline(arms))
@@ -58,11 +58,11 @@ def to_ledger(rows: DataFrame, spec: BacktestSpec, forecasts: dict[tuple[str, st
         .select(
             "series",
             "origin",
-            F.element_at("ahead_ts", F.col("horizon") + shift).alias("forecast_timestamp"),
+            F.get("ahead_ts", offset).alias("forecast_timestamp"),
             "horizon",
             "condition",
             "model",
-            F.element_at("ahead_y", F.col("horizon") + shift).alias("y_true"),
+            F.get("ahead_y", offset).alias("y_true"),
             F.element_at("preds", F.col("horizon")).alias("y_pred"),
         )
     )

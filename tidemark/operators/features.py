@@ -74,34 +74,38 @@ def feature_table(
     positioned: DataFrame,
     lags: Sequence[int],
     horizon: int,
-    extra_lags: Sequence[int] = (),
+    back: int = 0,
     recent: int = 0,
     chunk_rows: int = 4096,
 ) -> DataFrame:
     """Everything a backtest reads, in a single pass over position chunks.
 
-    Adds the forward-filled lags, ``prev_y`` (last known target strictly before the row), raw back values
-    ``y_back_k`` for ``extra_lags`` (k may be 0), the forward arrays ``ahead_ts`` / ``ahead_y`` with elements
-    for offsets 0..horizon, and ``n_future`` = number of known targets among the next ``horizon`` rows.
-    ``recent`` > 0 adds an array of that many filled values, latest first, starting at the row itself.
+    Adds the forward-filled lags, ``prev_y`` (last known target strictly before the row) and ``prev_y_raw`` (the
+    previous row as it is); ``n_future`` = known targets among the next ``horizon`` rows; and arrays read by offset:
+    ``ahead_ts`` / ``ahead_y`` (0..horizon rows ahead), ``back_y`` (0..``back`` rows back, raw) and ``recent``
+    (the last ``recent`` filled values, latest first, starting at the row itself). Arrays end early at the ends
+    of a series. Steps that do not use an array drop its window function from the plan.
     """
     lag_columns = lag_names(lags)
-    reach = max([1, recent - 1, *lags, *extra_lags])
+    reach = max([1, back, recent - 1, *lags])
     halo = blocks.with_halo(positioned, "pos", reach, horizon, chunk_rows)
     w = blocks.chunk_window(["series"], "pos")
-    ahead = range(0, horizon + 1)
+    arrays = {"_ahead": F.collect_list(F.struct("ts", "y")).over(w.rowsBetween(0, horizon))}
+    if back:
+        arrays["_back"] = F.collect_list(F.struct("y")).over(w.rowsBetween(-back, 0))
+    if recent:
+        # A filled value stays known once it is, so skipping NULL only shortens the list.
+        arrays["recent"] = F.reverse(F.collect_list("y_filled").over(w.rowsBetween(1 - recent, 0)))
     out = halo.withColumns(
         {n: F.lag("y_filled", k).over(w) for n, k in zip(lag_columns, lags)}
         | {"prev_y": F.lag("y_filled", 1).over(w), "prev_y_raw": F.lag("y", 1).over(w)}
-        | {f"y_back_{k}": F.lag("y", k).over(w) for k in extra_lags}
-        | {
-            "ahead_ts": F.array(*[F.lead("ts", h).over(w) for h in ahead]),
-            "ahead_y": F.array(*[F.lead("y", h).over(w) for h in ahead]),
-            "n_future": F.count("y").over(w.rowsBetween(1, horizon)),
-        }
-        | ({"recent": F.array(*[F.lag("y_filled", k).over(w) for k in range(recent)])} if recent else {})
+        | {"n_future": F.count("y").over(w.rowsBetween(1, horizon))}
+        | arrays
     )
-    return add_calendar(blocks.owned(out))
+    out = blocks.owned(out).withColumns({"ahead_ts": F.col("_ahead.ts"), "ahead_y": F.col("_ahead.y")})
+    if back:
+        out = out.withColumn("back_y", F.reverse(F.col("_back.y")))
+    return add_calendar(out.drop("_ahead", "_back"))
 
 
 def condition_columns(

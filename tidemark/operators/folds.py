@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import blocks
+from tidemark.operators.quantiles import range_number
+from tidemark.session import stage
 
 ORIGIN_BLOCK = 256
 
@@ -81,7 +83,8 @@ def fold_medians(
     cells = F.array(*[F.struct(F.lit(i).cast("long").alias("path"), F.col(c).cast("double").alias("v"))
                       for i, c in enumerate(columns)])
     values = rows.select("series", F.col("k").cast("long").alias("k"), F.inline(cells)).filter("v IS NOT NULL")
-    folds = origins.select("series", F.col("origin_seq").cast("long").alias("k")).distinct()
+    values = stage(values, "fold-values")  # read at every level
+    folds = stage(origins.select("series", F.col("origin_seq").cast("long").alias("k")).distinct(), "folds")
     wanted = folds.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(columns) - 1).cast("long"))))
     seen = _running_count(
         values.groupBy("series", "path", "k").agg(F.count("*").alias("c")), wanted, ["series", "path"], origin_block
@@ -93,6 +96,7 @@ def fold_medians(
         .groupBy("series", "path", "k", "rank").agg(F.count("*").alias("times"))
     )
     for _ in range(levels):
+        asks = stage(asks, "asked-ranks")
         values, asks = _narrow(values, asks, splits, origin_block)
     answers = (
         blocks.fresh(values).groupBy("series", "path")
@@ -126,7 +130,7 @@ def _narrow(values: DataFrame, asks: DataFrame, splits: int, origin_block: int)
         F.percentile_approx("v", [i / splits for i in range(1, splits)], splits * 8).alias("borders")
     )
     ranged = values.join(borders, ["series", "path"]).select(
-        "series", "path", "k", "v", F.size(F.filter("borders", lambda b: b < F.col("v"))).alias("r")
+        "series", "path", "k", "v", range_number(F.col("v"), F.col("borders"), splits).alias("r")
     )
     counts = ranged.groupBy("series", "path", "r", "k").agg(F.count("*").alias("c"))
     asked = asks.select("series", "path", "k").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))

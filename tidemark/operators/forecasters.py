@@ -125,7 +125,7 @@ def autoregression(
     if calendar:
         z += [F.weekday("ts").cast("double"), F.month("ts").cast("double")]
     rows = (
-        features.filter((F.size("recent") > depth) & ~F.exists(F.slice("recent", 1, depth + 1), lambda v: v.isNull()))
+        features.filter(F.size("recent") > depth)
         .withColumn("_d", level)
         .select("series", "ts", "pos", F.array(*z).alias("z"), F.array(F.element_at("_d", 1)).alias("t"))
     )
@@ -299,7 +299,7 @@ def boosted_direct(
             model = GBTRegressor(
                 featuresCol="_x", labelCol="_t", predictionCol="y_pred", maxIter=max_iter, maxDepth=max_depth,
                 stepSize=step_size, subsamplingRate=subsampling, featureSubsetStrategy=feature_subset, seed=42,
-            ).fit(train.select("_x", F.element_at("ahead_y", h + 1).alias("_t")))
+            ).fit(train.select("_x", F.get("ahead_y", F.lit(h)).alias("_t")))
             parts.append(
                 model.transform(ask).select("series", "origin_seq", F.lit(h).alias("horizon"), "y_pred")
             )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import blocks
@@ -12,6 +12,18 @@ from tidemark.operators import blocks
 SPLITS = 256
 
 
+def range_number(value: Column, borders: Column, splits: int) -> Column:
+    """Number of the ``splits`` - 1 sorted borders below ``value``, by binary search (``splits`` a power of two)."""
+    if splits & (splits - 1):
+        raise ValueError("splits must be a power of two")
+    halves = [splits >> i for i in range(1, splits.bit_length())]
+    return F.aggregate(
+        F.array(*[F.lit(h) for h in halves]),
+        F.lit(0),
+        lambda at, half: at + F.when(F.get(borders, at + half - 1) < value, half).otherwise(F.lit(0)),
+    )
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], splits: int = SPLITS
 ) -> DataFrame:
@@ -30,9 +42,7 @@ def exact_quantiles(
         F.percentile_approx("_v", [i / splits for i in range(1, splits)], splits * 4).alias("_borders"),
     )
     ranged = counts.join(borders, keys).withColumn(
-        # Borders are sorted, so this is a bounded binary-search-free count of borders below the value.
-        "_range",
-        F.size(F.filter("_borders", lambda b: b < F.col("_v"))),
+        "_range", range_number(F.col("_v"), F.col("_borders"), splits),
     ).drop("_borders")
     running = blocks.scan(ranged, keys, "_range", ["_v"], sums={"_cum": F.col("_c")})
     picks, finals = [], []

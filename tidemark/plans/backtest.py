@@ -22,7 +22,7 @@ def prepare(panel: DataFrame, panel_spec: PanelSpec, spec: BacktestSpec, recent:
         rows = stage(rows, "panel")
     positioned = with_positions(rows, panel_spec)
     return features.feature_table(
-        positioned, spec.lags, spec.horizon, baselines.back_lags(spec), recent, panel_spec.block_rows
+        positioned, spec.lags, spec.horizon, baselines.back_reach(spec), recent, panel_spec.block_rows
     )
 
 
