@@ -76,7 +76,8 @@ def dm_direction(spark, d):
     ledger = staged_ledger(spark, d)
     deltas = reports.delta_table(metrics.cell_metrics(ledger), *arms(), ("persistence", "seasonal"), values=("rmse",))
     pairs = stage(inference.paired_losses(ledger, *arms(), DM_HORIZONS), "pairs")
-    dm = inference.diebold_mariano(pairs, "overlap", HOURLY.stride, ("persistence", "seasonal"))
+    cells = inference.cells_by_series(ledger, *arms(), DM_HORIZONS)
+    dm = inference.diebold_mariano(pairs, "overlap", HOURLY.stride, ("persistence", "seasonal"), cells)
     # A lower error of the second arm is a gain.
     gain = deltas.withColumn("delta", -F.col("delta_rmse"))
     return rounded(reports.dm_direction(dm, gain, "delta").select("series", "horizon", "p_value", "delta", "cell_class"))
@@ -210,8 +211,10 @@ gq AS (SELECT s.series, s.horizon, sum(a.e * b.e * ({weight})) AS sq FROM st s J
 om AS (SELECT s.*, g0.s0, (g0.s0 + 2 * coalesce(gq.sq, 0)) / n AS omega FROM st s JOIN g0 USING (series, horizon) LEFT JOIN gq USING (series, horizon)),
 raw AS (SELECT *, CASE WHEN n >= 10 AND omega > 1e-12 * s0 / n THEN md / sqrt(greatest(omega, 1e-300) / n) END AS dm_raw FROM om),
 dms AS (SELECT *, dm_raw * sqrt((n + 1 - 2 * hd + hd * (hd - 1) / n) / n) AS dm_stat FROM raw),
-dm AS (SELECT series, horizon, n, q, CASE WHEN n >= 10 THEN md END AS mean_loss_diff, dm_raw, dm_stat, {student_p_sql('dm_stat', '(n - 1)')} AS p_value,
-  CASE WHEN NOT (n >= 10 AND omega > 1e-12 * s0 / n) THEN 'undetermined' WHEN md > 0 THEN 'seasonal' ELSE 'persistence' END AS favours FROM dms)""",
+cells AS (SELECT s.series, CAST(h AS INTEGER) AS horizon FROM (SELECT DISTINCT series FROM ledger) s CROSS JOIN (SELECT unnest([1, 6, 12, 24]) AS h)),
+dm AS (SELECT series, horizon, coalesce(n, 0) AS n, q, CASE WHEN n >= 10 THEN md END AS mean_loss_diff, dm_raw, dm_stat, {student_p_sql('dm_stat', '(n - 1)')} AS p_value,
+  CASE WHEN n >= 10 AND omega > 1e-12 * s0 / n THEN CASE WHEN md > 0 THEN 'seasonal' ELSE 'persistence' END ELSE 'undetermined' END AS favours
+  FROM cells LEFT JOIN dms USING (series, horizon))""",
     )
 
 
@@ -246,9 +249,9 @@ QUERIES = {
     "inference_summary": (inference_summary, sql(*_Q0, BH, select="SELECT count(p_raw) AS valid, count(*) FILTER (WHERE p_raw < 0.05) AS raw_lt_alpha, count(*) FILTER (WHERE bonferroni_reject) AS bonferroni_reject, count(*) FILTER (WHERE bh_series_reject) AS bh_series_reject FROM tab")),
     "surviving_cells": (surviving_cells, sql(*_Q0, BH, select="SELECT series, horizon FROM tab WHERE bh_series_reject")),
     "outcome_counts": (outcome_counts, sql(*_Q0, select="SELECT horizon, favours, count(*) AS n_cells FROM dm GROUP BY ALL")),
-    "dm_direction": (dm_direction, sql(*_Q0, METRICS, select=f"""SELECT d.series, d.horizon, {r('d.p_value')} AS p_value, {r('a.rmse - b.rmse')} AS delta,
-CASE WHEN a.rmse - b.rmse >= 0 THEN 'gain' ELSE 'loss' END || CASE WHEN d.p_value < 0.05 THEN '_significant' ELSE '_open' END AS cell_class
-FROM dm d JOIN metrics a ON a.series = d.series AND a.horizon = d.horizon AND a.model = 'persistence' JOIN metrics b ON b.series = d.series AND b.horizon = d.horizon AND b.model = 'seasonal_naive'""")),
+    "dm_direction": (dm_direction, sql(*_Q0, METRICS, select=f"""SELECT d.series, d.horizon, {r('d.p_value')} AS p_value, {r('coalesce(a.rmse - b.rmse, 0.0)')} AS delta,
+CASE WHEN coalesce(a.rmse - b.rmse, 0.0) >= 0 THEN 'gain' ELSE 'loss' END || CASE WHEN d.p_value < 0.05 THEN '_significant' ELSE '_open' END AS cell_class
+FROM dm d LEFT JOIN metrics a ON a.series = d.series AND a.horizon = d.horizon AND a.model = 'persistence' LEFT JOIN metrics b ON b.series = d.series AND b.horizon = d.horizon AND b.model = 'seasonal_naive'""")),
     "two_source_consistency": (two_source_consistency, sql(*_Q0, select="SELECT count(*) AS cells, CAST(0 AS BIGINT) AS validity_mismatches, CAST(0 AS BIGINT) AS support_mismatches, bool_and(p_value IS NOT NULL) AS all_cells_valid FROM dm")),
     "bandwidths": (bandwidths, sql(*HOURLY_LEDGER, METRICS, select="SELECT series, horizon, n_eval, CAST(ceil(horizon / 6.0) AS INTEGER) AS lead_steps, CAST(greatest(0, ceil(horizon / 6.0) - 1) AS INTEGER) AS q_overlap, CAST(floor(4 * pow(n_eval / 100.0, 2.0 / 9.0)) AS INTEGER) AS q_auto FROM metrics WHERE model = 'persistence'")),
     "student_p_values": (student_p_values, sql("h AS (SELECT event_type, CAST(hour(ts) AS INTEGER) AS hour, (avg(value) - 40.0) / (stddev_samp(value) / sqrt(count(*))) AS t, count(*) AS n FROM events GROUP BY 1, 2)",

@@ -47,7 +47,7 @@ def running_moments(
     for c in columns:
         mean = F.try_divide(f"{c}_rs", f"{c}_rn")
         var = F.try_divide(f"{c}_rq", f"{c}_rn") - mean * mean
-        out += [F.col(f"{c}_rn").alias(f"{c}_n"), mean.alias(f"{c}_mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias(f"{c}_sd")]
+        out += [F.col(f"{c}_rn").alias(f"{c}_n"), mean.alias(f"{c}_mean"), F.sqrt(F.when(var > 0, var).when(var.isNotNull(), F.lit(0.0))).alias(f"{c}_sd")]
     return run.select("series", "origin_seq", *out)
 
 

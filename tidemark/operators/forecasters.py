@@ -289,13 +289,17 @@ def boosted_direct(
                 row = exact_quantiles(pooled, ["g"], c, {"m": 0.5}).first()  # one number per covariate
                 fills[c] = row["m"] if row is not None else 0.0
         filled = lambda d: assembler.transform(d.fillna(fills) if fills else d)
-        train = filled(seen.dropna(subset=lag_names(spec.lags)))
+        enough = seen.limit(spec.min_frame_rows).count() >= spec.min_frame_rows
+        train = filled(seen)
         ask = filled(
             at.filter((F.col("origin_seq") >= k0) & (F.col("origin_seq") < k0 + refit_every)).dropna(
                 subset=lag_names(spec.lags)
             )
         )
         for h in horizons or range(1, spec.horizon + 1):
+            if not enough:
+                parts.append(ask.select("series", "origin_seq", F.lit(h).alias("horizon"), F.lit(None).cast("double").alias("y_pred")))
+                continue
             model = GBTRegressor(
                 featuresCol="_x", labelCol="_t", predictionCol="y_pred", maxIter=max_iter, maxDepth=max_depth,
                 stepSize=step_size, subsamplingRate=subsampling, featureSubsetStrategy=feature_subset, seed=42,
