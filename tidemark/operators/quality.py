@@ -18,6 +18,11 @@ USABLE_SHARE, USABLE_JOINT_ROWS = 0.95, 8760
 IQR_FACTOR = 1.5
 
 
+def _ref(name: str) -> Column:
+    """Column by its exact name; pollutant names such as PM2.5 hold a dot."""
+    return F.col(f"`{name}`")
+
+
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "last") -> DataFrame:
     """One row per key: the first or last in ``order``, which should end in an ingest sequence.
 
@@ -27,17 +32,18 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str =
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be first or last, not {keep}")
     rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[F.col(c) for c in order])
+    rank = F.struct(*[_ref(c) for c in order])
     pick = F.max_by if keep == "last" else F.min_by
-    picked = df.groupBy(*keys).agg(pick(F.struct(*[F.col(c) for c in rest]), rank).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    picked = df.groupBy(*keys).agg(pick(F.struct(*[_ref(c) for c in rest]), rank).alias("_row"))
+    flat = picked.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+    return flat.select(*[_ref(c) for c in df.columns])
 
 
 def apply_value_rules(
     panel: DataFrame, column: str = "y", caps: Mapping[str, float] | None = None
 ) -> DataFrame:
     """Set impossible values to NULL: negatives everywhere, values above the cap of their series. No row drops."""
-    return panel.withColumn(column, F.when(~_negative(column) & ~_above_cap(column, caps), F.col(column)))
+    return panel.withColumn(column, F.when(~_negative(column) & ~_above_cap(column, caps), _ref(column)))
 
 
 def value_rule_counts(panel: DataFrame, column: str = "y", caps: Mapping[str, float] | None = None) -> DataFrame:
@@ -49,7 +55,7 @@ def value_rule_counts(panel: DataFrame, column: str = "y", caps: Mapping[str, fl
 
 
 def _negative(column: str) -> Column:
-    return F.coalesce(F.col(column) < 0, F.lit(False))
+    return F.coalesce(_ref(column) < 0, F.lit(False))
 
 
 def _above_cap(column: str, caps: Mapping[str, float] | None) -> Column:
@@ -57,7 +63,7 @@ def _above_cap(column: str, caps: Mapping[str, float] | None) -> Column:
         return F.lit(False)
     # A handful of configured rules: a literal map instead of a join.
     table = F.create_map(*[F.lit(v) for pair in caps.items() for v in pair])
-    return F.coalesce(F.col(column) > F.try_element_at(table, F.col("series")), F.lit(False))
+    return F.coalesce(_ref(column) > F.try_element_at(table, F.col("series")), F.lit(False))
 
 
 def drop_series(panel: DataFrame, excluded: Sequence[str]) -> DataFrame:
@@ -79,8 +85,8 @@ def hourly_to_daily(panel: DataFrame, how: str = "mean") -> DataFrame:
 def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Missing count and percentage per column, one row each, worst first."""
     columns = list(columns or df.columns)
-    one = df.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_missing")) for c in columns])
+    one = df.agg(F.count("*").alias("_n"), *[F.count_if(_ref(c).isNull()).alias(c) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _ref(c).alias("n_missing")) for c in columns])
     return (
         one.select("_n", F.inline(cells))
         .select("column", "n_missing", (F.try_divide("n_missing", "_n") * 100.0).alias("pct_missing"))
@@ -97,7 +103,7 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _long(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("column"), _ref(c).cast("double").alias("value")) for c in columns]
     )
     return panel.select("series", F.inline(cells))
 
@@ -226,10 +232,10 @@ def validate_time_index(panel: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def station_usability(panel: DataFrame, covariates: Sequence[str], spec: PanelSpec, joint_rows: int = USABLE_JOINT_ROWS) -> DataFrame:
     """Is a series usable: 95 % targets, 95 % of each covariate, enough complete rows, median step of one hour."""
-    share = lambda c: F.avg(F.col(c).isNotNull().cast("int"))
+    share = lambda c: F.avg(_ref(c).isNotNull().cast("int"))
     joint = F.lit(True)
     for c in ("y", *covariates):
-        joint = joint & F.col(c).isNotNull()
+        joint = joint & _ref(c).isNotNull()
     stats = panel.groupBy("series").agg(
         F.count("*").alias("rows"),
         F.count_if(joint).alias("joint_rows"),
@@ -333,10 +339,10 @@ def join_covariates(target: DataFrame, covariates: DataFrame | None, keys: Seque
     if covariates is None:
         return target
     left = target.groupBy(*keys).agg(
-        F.count("*").alias("_nl"), F.first(F.struct(*[c for c in target.columns if c not in keys])).alias("_l")
+        F.count("*").alias("_nl"), F.first(F.struct(*[_ref(c) for c in target.columns if c not in keys])).alias("_l")
     )
     right = covariates.groupBy(*keys).agg(
-        F.count("*").alias("_nr"), F.first(F.struct(*[c for c in covariates.columns if c not in keys])).alias("_r")
+        F.count("*").alias("_nr"), F.first(F.struct(*[_ref(c) for c in covariates.columns if c not in keys])).alias("_r")
     )
     twice = F.raise_error(F.lit("the join keys are not unique")).cast("boolean")
     checked = left.join(right, list(keys), how).filter(

@@ -114,7 +114,9 @@ def read_text_columns(spark: SparkSession, paths: str | Sequence[str], sep: str
         paths if isinstance(paths, str) else list(paths)
     )
     names = raw.columns
-    cleaned = raw.select("*", F.col("_metadata.file_name").alias("_file")).toDF(
+    # The metadata column is percent-encoded, apart from plus signs.
+    file_name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    cleaned = raw.select("*", file_name.alias("_file")).toDF(
         *[c.replace("﻿", "").strip() for c in names], "_file"
     )
     return cleaned
