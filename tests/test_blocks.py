@@ -104,17 +104,18 @@ def test_fold_medians(spark, levels, splits, block):
     rng = np.random.default_rng(8)
     rows = pd.DataFrame({
         "series": rng.choice(["a", "b"], 600, p=[0.9, 0.1]), "k": rng.integers(0, 40, 600),
+        "tied": np.where(rng.random(600) < 0.6, 0.0, np.round(rng.normal(0, 1, 600), 2)),
         "u": np.round(rng.normal(0, 2, 600), 1), "v": np.where(rng.random(600) < 0.7, np.nan, rng.normal(5, 1, 600)),
     })
-    data = [(r.series, int(r.k), r.u, None if np.isnan(r.v) else r.v) for r in rows.itertuples()]
+    data = [(r.series, int(r.k), r.tied, r.u, None if np.isnan(r.v) else r.v) for r in rows.itertuples()]
     origins = spark.createDataFrame([(s, k) for s in "abc" for k in range(0, 45, 2)], "series string, origin_seq long")
     got = folds.fold_medians(
-        spark.createDataFrame(data, "series string, k long, u double, v double"), origins, ["u", "v"], splits, levels, block
+        spark.createDataFrame(data, "series string, k long, tied double, u double, v double"), origins, ["tied", "u", "v"], splits, levels, block
     ).collect()
     assert len(got) == 69
     for r in got:
         seen = rows[(rows.series == r.series) & (rows.k <= r.origin_seq)]
-        assert near(r.u_median, seen.u.median()) and near(r.v_median, seen.v.median())
+        assert all(near(r[f"{c}_median"], seen[c].median()) for c in ("tied", "u", "v"))
 
 
 def test_dedup_keeps_whole_rows(spark):

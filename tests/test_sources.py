@@ -97,9 +97,6 @@ def test_sinks_and_manifest(spark, tmp_path):
     assert sorted(r.year for r in spark.read.parquet(str(tmp_path / "years")).select("year").distinct().collect()) == [2023, 2024]
     sinks.write_station_raw(long, str(tmp_path / "raw"))
     assert spark.read.parquet(str(tmp_path / "raw")).filter("station = 's1'").count() == 2
-    spread = str(tmp_path / "spread")
-    sinks.write_partitioned(long, spread, ["station"], ["timestamp"], files_per_key=4)
-    assert spark.read.parquet(spread).count() == 3
     manifest = {r.path.removeprefix("file:"): (r.size_bytes, r.sha256) for r in sinks.file_manifest(spark, out).collect()}
     for file in (tmp_path / "net").rglob("*.csv"):
         data = file.read_bytes()

@@ -8,7 +8,9 @@ index ``k`` of the first origin that sees them; statistics of every fold are the
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,7 @@ from tidemark.operators.quantiles import range_number
 from tidemark.session import stage
 
 ORIGIN_BLOCK = 256
+WALK_ROWS = 50_000  # rows of one value range that a task may insert one by one
 
 
 def running_moments(
@@ -69,14 +72,16 @@ def fold_medians(
     origins: DataFrame,
     columns: Sequence[str],
     splits: int = 64,
-    levels: int = 1,
+    levels: int | None = None,
     origin_block: int = ORIGIN_BLOCK,
 ) -> DataFrame:
     """Exact median of each column over each fold's training rows: ``series, origin_seq, <column>_median``.
 
     Medians are not summable, so the wanted order statistics are located by running counts over value
-    ranges: each level cuts the ranges that still hold a wanted rank into ``splits`` parts, and the last step
-    walks only those. One level leaves about n/splits rows of a series per task, two levels n/splits².
+    ranges: each level cuts the ranges that still hold a wanted rank into ``splits`` parts and the border
+    values themselves. A rank that falls on a border is answered there, so a value shared by many rows never
+    has to be walked; the rest ends in ranges of about n/splits^levels rows, which are. ``levels`` is chosen
+    from the longest series when it is not given.
     """
     columns = list(columns)
     # ``path`` numbers the value range; it starts as the column number, so all columns go through together.
@@ -84,6 +89,9 @@ def fold_medians(
                       for i, c in enumerate(columns)])
     values = rows.select("series", F.col("k").cast("long").alias("k"), F.inline(cells)).filter("v IS NOT NULL")
     values = stage(values, "fold-values")  # read at every level
+    if levels is None:
+        longest = values.groupBy("series", "path").count().agg(F.max("count")).first()[0] or 1  # one number
+        levels = max(1, math.ceil(math.log(max(longest / WALK_ROWS, 1.0), splits)))
     folds = stage(origins.select("series", F.col("origin_seq").cast("long").alias("k")).distinct(), "folds")
     wanted = folds.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(columns) - 1).cast("long"))))
     seen = _running_count(
@@ -91,21 +99,23 @@ def fold_medians(
     )
     asks = (
         seen.filter("cum > 0")
-        .select("series", "path", "k",
+        .select("series", "path", "k", F.col("path").alias("column"),
                 F.explode(F.array(F.floor((F.col("cum") - 1) / 2), F.floor(F.col("cum") / 2))).alias("rank"))
-        .groupBy("series", "path", "k", "rank").agg(F.count("*").alias("times"))
+        .groupBy("series", "path", "k", "column", "rank").agg(F.count("*").alias("times"))
     )
+    answers = []
     for _ in range(levels):
         asks = stage(asks, "asked-ranks")
-        values, asks = _narrow(values, asks, splits, origin_block)
-    answers = (
+        values, asks, answered = _narrow(values, asks, splits, origin_block)
+        answers.append(answered)
+    answers.append(
         blocks.fresh(values).groupBy("series", "path")
         .cogroup(blocks.fresh(asks).groupBy("series", "path"))
-        .applyInPandas(_walk, "series string, path long, k long, v double, times long")
-        .withColumn("column", F.floor(F.col("path") / splits**levels))
+        .applyInPandas(_walk, "series string, k long, column long, v double, times long")
     )
+    found = reduce(DataFrame.unionByName, answers)
     weight = lambda i, e: F.sum(F.when(F.col("column") == i, e))
-    medians = answers.groupBy("series", F.col("k").alias("origin_seq")).agg(
+    medians = found.groupBy("series", F.col("k").alias("origin_seq")).agg(
         *[
             (weight(i, F.col("v") * F.col("times")) / weight(i, F.col("times"))).alias(f"{c}_median")
             for i, c in enumerate(columns)
@@ -125,28 +135,39 @@ def _running_count(counts: DataFrame, asked: DataFrame, keys: list[str], origin_
     return blocks.scan(merged, keys, "_block", ["k"], sums={"cum": F.col("c")}).filter("asked").select(*keys, "k", "cum")
 
 
-def _narrow(values: DataFrame, asks: DataFrame, splits: int, origin_block: int) -> tuple[DataFrame, DataFrame]:
-    borders = values.groupBy("series", "path").agg(
+def _narrow(values: DataFrame, asks: DataFrame, splits: int, origin_block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One level: the rows and asked ranks that remain, and the ranks that fell on a border value.
+
+    Ranges come in pairs: 2c holds the values between border c-1 and border c, 2c+1 those equal to border c.
+    """
+    keys = ["series", "path"]
+    borders = values.groupBy(*keys).agg(
         F.percentile_approx("v", [i / splits for i in range(1, splits)], splits * 8).alias("borders")
     )
-    ranged = values.join(borders, ["series", "path"]).select(
-        "series", "path", "k", "v", range_number(F.col("v"), F.col("borders"), splits).alias("r")
+    below = range_number(F.col("v"), F.col("borders"), splits)
+    ranged = values.join(borders, keys).withColumn("_c", below).select(
+        *keys, "k", "v", (F.col("_c") * 2 + F.coalesce(F.get("borders", F.col("_c")) == F.col("v"), F.lit(False)).cast("int")).alias("r")
     )
-    counts = ranged.groupBy("series", "path", "r", "k").agg(F.count("*").alias("c"))
-    asked = asks.select("series", "path", "k").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    upto = _running_count(counts, asked, ["series", "path", "r"], origin_block)
-    by_range = Window.partitionBy("series", "path", "k").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    counts = ranged.groupBy(*keys, "r", "k").agg(F.count("*").alias("c"))
+    asked = asks.select(*keys, "k").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(2 * splits - 1))))
+    upto = _running_count(counts, asked, [*keys, "r"], origin_block)
+    by_range = Window.partitionBy(*keys, "k").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     edges = upto.withColumn("_hi", F.sum("cum").over(by_range)).withColumn("_lo", F.col("_hi") - F.col("cum"))
-    child = (F.col("path") * splits + F.col("r")).alias("path")
-    next_asks = (
-        asks.join(edges, ["series", "path", "k"])
+    placed = stage(
+        asks.join(edges, [*keys, "k"])
         .filter((F.col("_lo") <= F.col("rank")) & (F.col("rank") < F.col("_hi")))
-        .select("series", child, "k", (F.col("rank") - F.col("_lo")).alias("rank"), "times")
+        .select(*keys, "k", "column", "r", (F.col("rank") - F.col("_lo")).alias("rank"), "times"),
+        "placed-ranks",
+    )
+    on_border = placed.filter("r % 2 = 1").join(borders, keys).select(
+        "series", "k", "column", F.get("borders", F.floor(F.col("r") / 2).cast("int")).alias("v"), "times"
     )
-    next_values = ranged.select("series", child, "k", "v").join(
-        next_asks.select("series", "path").distinct(), ["series", "path"], "left_semi"
+    child = (F.col("path") * (2 * splits) + F.col("r")).alias("path")
+    open_asks = placed.filter("r % 2 = 0").select("series", child, "k", "column", "rank", "times")
+    open_values = ranged.filter("r % 2 = 0").select("series", child, "k", "v").join(
+        open_asks.select(*keys).distinct(), keys, "left_semi"
     )
-    return next_values, next_asks
+    return open_values, open_asks, on_border
 
 
 def _walk(values: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
@@ -161,8 +182,8 @@ def _walk(values: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         for v in vs[taken:stop]:
             bisect.insort(ordered, v)
         taken = max(taken, stop)
-        out.append((row.series, row.path, row.k, ordered[row.rank], row.times))
-    return pd.DataFrame(out, columns=["series", "path", "k", "v", "times"])
+        out.append((row.series, row.k, row.column, ordered[row.rank], row.times))
+    return pd.DataFrame(out, columns=["series", "k", "column", "v", "times"])
 
 
 # --- expanding least squares -------------------------------------------------------------------------------

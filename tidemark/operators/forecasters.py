@@ -44,7 +44,7 @@ def _numbers(columns: Sequence[str]) -> list[Column]:
 
 def direct_ridge(
     features: DataFrame, spec: BacktestSpec, ridge: float = 1.0, chunk_rows: int = 4096,
-    origin_block: int = folds.ORIGIN_BLOCK, median_levels: int = 1,
+    origin_block: int = folds.ORIGIN_BLOCK, median_levels: int | None = None,
 ) -> DataFrame:
     """One linear model per horizon and fold, for both arms at once: ``series, origin_seq, preds[arm][horizon]``.
 

@@ -49,10 +49,12 @@ def regular_grid(
     step, width = F.lit(spec.step_seconds), spec.block_rows
     start = F.unix_timestamp("_lo")
     steps = F.floor((F.unix_timestamp("_hi") - start) / step)
-    # Two nested sequences keep each generated array at block length, whatever the span.
+    # Two nested sequences keep each generated array at block length, whatever the span; the (few) block rows
+    # are spread before they are expanded, so a long series is not expanded by one task.
     grid = (
         ends.select("series", start.alias("_start"), steps.alias("_steps"))
         .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_steps") / width))))
+        .repartition("series", "_b")
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
         .withColumn("_k", F.col("_b") * width + F.col("_i"))
         .filter("_k <= _steps")

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from tidemark.operators.quality import dedup
 
 
-def write_partitioned(
-    df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = (), fmt: str = "parquet", files_per_key: int = 1
-) -> None:
-    """One folder per key. ``files_per_key`` > 1 spreads a heavy key over several tasks and files."""
-    keys = [F.col(c) for c in by]
-    if files_per_key > 1:
-        keys.append(F.pmod(F.xxhash64(*[F.col(c) for c in (sort or df.columns)]), F.lit(files_per_key)))
-    out = df.repartition(*keys).sortWithinPartitions(*by, *sort)
+def write_partitioned(df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = (), fmt: str = "parquet") -> None:
+    """One folder per key, rows sorted inside each file.
+
+    Rows are brought together by a rebalance, not a plain repartition: small keys share tasks and a key that is far
+    larger than the others is split over several tasks and files.
+    """
+    out = df.hint("rebalance", *by).sortWithinPartitions(*by, *sort)
     writer = out.write.mode("overwrite").partitionBy(*by).format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
