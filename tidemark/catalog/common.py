@@ -50,13 +50,13 @@ def daily_positioned(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def features(spark: SparkSession, folder: str, spec: BacktestSpec = HOURLY, recent: int = 0) -> DataFrame:
-    """Feature table, staged when several steps will read it."""
     panel, cadence = (tables.daily_panel, tables.DAILY) if spec.convention == "C" else (tables.hourly_panel, tables.HOURLY)
     return backtest.prepare(panel(spark, folder), cadence, spec, recent)
 
 
 def staged_features(spark: SparkSession, folder: str, spec: BacktestSpec = HOURLY, recent: int = 0) -> DataFrame:
-    return stage(features(spark, folder, spec, recent), "features")
+    panel, cadence = (tables.daily_panel, tables.DAILY) if spec.convention == "C" else (tables.hourly_panel, tables.HOURLY)
+    return stage(backtest.prepare(panel(spark, folder), cadence, spec, recent, slim=True), "features")
 
 
 def baseline_ledger(spark: SparkSession, folder: str, spec: BacktestSpec = HOURLY) -> DataFrame:

@@ -23,7 +23,7 @@ from tidemark.operators.quantiles import range_number
 from tidemark.session import stage
 
 ORIGIN_BLOCK = 256
-WALK_ROWS = 50_000  # rows of one value range that a task may insert one by one
+WALK_ROWS = 100_000  # rows of one value range that a task may insert one by one
 
 
 def running_moments(
@@ -71,7 +71,7 @@ def fold_medians(
     rows: DataFrame,
     origins: DataFrame,
     columns: Sequence[str],
-    splits: int = 64,
+    splits: int = 16,
     levels: int | None = None,
     origin_block: int = ORIGIN_BLOCK,
 ) -> DataFrame:
@@ -141,22 +141,43 @@ def _narrow(values: DataFrame, asks: DataFrame, splits: int, origin_block: int)
     Ranges come in pairs: 2c holds the values between border c-1 and border c, 2c+1 those equal to border c.
     """
     keys = ["series", "path"]
-    borders = values.groupBy(*keys).agg(
-        F.percentile_approx("v", [i / splits for i in range(1, splits)], splits * 8).alias("borders")
+    borders = stage(
+        values.groupBy(*keys).agg(
+            F.percentile_approx("v", [i / splits for i in range(1, splits)], splits * 8).alias("borders")
+        ),
+        "range-borders",
     )
     below = range_number(F.col("v"), F.col("borders"), splits)
-    ranged = values.join(borders, keys).withColumn("_c", below).select(
-        *keys, "k", "v", (F.col("_c") * 2 + F.coalesce(F.get("borders", F.col("_c")) == F.col("v"), F.lit(False)).cast("int")).alias("r")
+    on_edge = F.coalesce(F.get("borders", F.col("_c")) == F.col("v"), F.lit(False)).cast("int")
+    ranged = stage(
+        values.join(borders, keys).withColumn("_c", below).select(
+            *keys, "k", "v", (F.col("_c") * 2 + on_edge).alias("r")
+        ),
+        "ranged-values",
     )
-    counts = ranged.groupBy(*keys, "r", "k").agg(F.count("*").alias("c"))
-    asked = asks.select(*keys, "k").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(2 * splits - 1))))
-    upto = _running_count(counts, asked, [*keys, "r"], origin_block)
-    by_range = Window.partitionBy(*keys, "k").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    edges = upto.withColumn("_hi", F.sum("cum").over(by_range)).withColumn("_lo", F.col("_hi") - F.col("cum"))
+    # One row per fold index with a counter per range: all ranges share one running sum along k.
+    names = [f"c{i}" for i in range(2 * splits)]
+    counted = ranged.groupBy(*keys, "k").agg(*[F.count_if(F.col("r") == i).alias(n) for i, n in enumerate(names)])
+    asked = asks.select(*keys, "k").distinct().withColumn("asked", F.lit(True))
+    merged = (
+        counted.unionByName(asked, allowMissingColumns=True)
+        .groupBy(*keys, "k").agg(F.max("asked").alias("asked"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+        .withColumn("_block", F.floor(F.col("k") / origin_block))
+    )
+    upto = blocks.scan(merged, keys, "_block", ["k"], sums={f"_{n}": F.col(n) for n in names}).filter("asked").select(
+        *keys, "k", F.array(*[f"_{n}" for n in names]).alias("upto")
+    )
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("cum"), zero.alias("lo"), F.lit(-1).alias("r"))
+
+    def advance(acc, count):
+        here = F.struct((acc["cum"] + count).alias("cum"), acc["cum"].alias("lo"), (acc["r"] + 1).alias("r"))
+        return F.when(acc["cum"] <= F.col("rank"), here).otherwise(acc)
+
     placed = stage(
-        asks.join(edges, [*keys, "k"])
-        .filter((F.col("_lo") <= F.col("rank")) & (F.col("rank") < F.col("_hi")))
-        .select(*keys, "k", "column", "r", (F.col("rank") - F.col("_lo")).alias("rank"), "times"),
+        asks.join(upto, [*keys, "k"])
+        .withColumn("_at", F.aggregate("upto", start, advance))
+        .select(*keys, "k", "column", F.col("_at.r").alias("r"), (F.col("rank") - F.col("_at.lo")).alias("rank"), "times"),
         "placed-ranks",
     )
     on_border = placed.filter("r % 2 = 1").join(borders, keys).select(

@@ -212,16 +212,18 @@ def bootstrap_skill(
         F.sum(error2).alias("sm"), F.count(error2).alias("nm")
     )
     base = ledger.filter(baseline).groupBy(*cond, "origin").agg(F.sum(error2).alias("sb"), F.count(error2).alias("nb"))
-    cells = per_origin.join(base, [*cond, "origin"])
-    stamp = F.date_format("origin", "yyyyMMddHHmmss")
+    sums = ("sm", "nm", "sb", "nb")
+    # The cells of one origin (conditions × horizons) travel together, so each weight is drawn once.
+    cells = per_origin.join(base, [*cond, "origin"]).groupBy("origin").agg(
+        F.collect_list(F.struct(*by, *sums)).alias("_cells")
+    )
     draws = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    stamp = F.date_format("origin", "yyyyMMddHHmmss")
     digest = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), stamp).cast("binary")), 1, 8)
     uniform = F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
     weight = sum(((F.col("_u") >= c).cast("int") for c in POISSON_CDF), F.lit(0))
-    weighted = draws.withColumn("_u", uniform).withColumn("w", weight)
-    sums = weighted.groupBy(*by, "rep").agg(
-        *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("sm", "nm", "sb", "nb")]
-    )
+    weighted = draws.withColumn("_u", uniform).withColumn("w", weight).filter("w > 0").select("rep", "w", F.inline("_cells"))
+    sums = weighted.groupBy(*by, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums])
     rmse = lambda s, n: F.sqrt(F.try_divide(s, n))
     skills = sums.withColumn("skill", scalars.skill(rmse("sm", "nm"), rmse("sb", "nb")))
     tail = (1 - level) / 2

@@ -15,15 +15,33 @@ from tidemark.session import stage
 REFERENCE = "reference"
 
 
-def prepare(panel: DataFrame, panel_spec: PanelSpec, spec: BacktestSpec, recent: int = 0, staged: bool = True) -> DataFrame:
-    """Feature table of the (staged) panel: positions, lags, forward arrays and back values."""
+def prepare(
+    panel: DataFrame, panel_spec: PanelSpec, spec: BacktestSpec, recent: int = 0, staged: bool = True, slim: bool = False
+) -> DataFrame:
+    """Feature table of the (staged) panel: positions, lags, forward arrays and back values.
+
+    ``slim`` blanks the arrays that only origins read on all other rows, for tables about to be written.
+    """
     rows = origins.trim_to_train_start(panel, spec)
     if staged:
         rows = stage(rows, "panel")
     positioned = with_positions(rows, panel_spec)
-    return features.feature_table(
+    table = features.feature_table(
         positioned, spec.lags, spec.horizon, baselines.back_reach(spec), recent, panel_spec.block_rows
     )
+    if not slim:
+        return table
+    first = (
+        F.lit(spec.min_train_rows - 1).cast("long") if spec.convention == "C"
+        else F.count_if(F.col("ts") < F.lit(spec.test_start).cast("timestamp"))
+    )
+    step = F.col("pos") - F.col("_first")
+    candidate = (step >= 0) & (step % spec.stride == 0)
+    return (
+        table.join(rows.groupBy("series").agg(first.alias("_first")), "series")
+        .withColumns({c: F.when(candidate, F.col(c)) for c in ("ahead_ts", "back_y")})
+        .drop("_first")
+    )
 
 
 def baseline_ledger(feature_rows: DataFrame, spec: BacktestSpec, models: Sequence[str] = ("persistence", "seasonal_naive")) -> DataFrame:

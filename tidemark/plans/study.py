@@ -78,7 +78,7 @@ class Study:
 def run_hourly_study(panel: DataFrame, panel_spec: PanelSpec, spec: BacktestSpec, seasonal: bool = True, **kw) -> Study:
     """Two-arm hourly study over all series at once: references, seasonal reference and direct learner."""
     recent = forecasters.recent_depth((1, spec.season, spec.season + 1)) if seasonal else 0
-    rows = stage(backtest.prepare(panel, panel_spec, spec, recent), "features")
+    rows = stage(backtest.prepare(panel, panel_spec, spec, recent, slim=True), "features")
     fitted = [backtest.ridge_arms(chunk_rows=panel_spec.block_rows)]
     if seasonal:
         fitted.append(backtest.seasonal_ar_arm(chunk_rows=panel_spec.block_rows))
@@ -89,7 +89,7 @@ def run_daily_batch(panel: DataFrame, panel_spec: PanelSpec, spec: BacktestSpec,
                     lags: Sequence[int] = (1, 2, 3, 7, 14, 21, 28)) -> Study:
     """Daily univariate batch (convention C): persistence, weekly persistence, seasonal reference, recursive learner."""
     recent = forecasters.recent_depth((*lags, spec.season + 1))
-    rows = stage(backtest.prepare(panel, panel_spec, spec, recent), "features")
+    rows = stage(backtest.prepare(panel, panel_spec, spec, recent, slim=True), "features")
     fitted = [
         backtest.seasonal_ar_arm(max_train_rows=None, chunk_rows=panel_spec.block_rows),
         backtest.recursive_arm(lags, chunk_rows=panel_spec.block_rows),
