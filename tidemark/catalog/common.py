@@ -46,7 +46,7 @@ def hourly_positioned(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_positioned(spark: SparkSession, folder: str) -> DataFrame:
-    return with_positions(stage(tables.daily_panel(spark, folder), "daily"), tables.DAILY)
+    return with_positions(stage(tables.daily_panel(spark, folder), "panel"), tables.DAILY)
 
 
 def features(spark: SparkSession, folder: str, spec: BacktestSpec = HOURLY, recent: int = 0) -> DataFrame:

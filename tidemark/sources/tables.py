@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import PanelSpec, regular_grid
-from tidemark.session import ship_package, use_utc
+from tidemark.session import ship_package, stage, use_utc
 
 HOURLY = PanelSpec(step_seconds=3600, covariates=("n_events", "k_mean"))
 DAILY = PanelSpec(step_seconds=86400)
@@ -26,8 +26,12 @@ def hourly_observed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hourly_panel(spark: SparkSession, folder: str, flag: str | None = None) -> DataFrame:
-    """The observed hours on a regular grid over the whole network's span."""
-    return regular_grid(hourly_observed(spark, folder), HOURLY, span="network", flag=flag)
+    """The observed hours on a regular grid over the whole network's span.
+
+    The hourly aggregate is staged: span, series list and values all come from it, and the raw events, which are
+    larger by orders of magnitude, are scanned once.
+    """
+    return regular_grid(stage(hourly_observed(spark, folder), "hourly"), HOURLY, span="network", flag=flag)
 
 
 def daily_observed(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,4 +43,4 @@ def daily_observed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_panel(spark: SparkSession, folder: str, flag: str | None = None) -> DataFrame:
-    return regular_grid(daily_observed(spark, folder), DAILY, span="series", flag=flag)
+    return regular_grid(stage(daily_observed(spark, folder), "daily"), DAILY, span="series", flag=flag)
