@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
-from tidemark.llm.common import table
+from tidemark.llm import byte_bpe, langid, mixing, simhash, toxicity
+from tidemark.llm.common import fold, table
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, ids=False, digests=True)
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixed.selectExpr("doc_id", "__size AS size", "__source_size AS source_size", "__target AS target", "__taken AS taken")
+
+
+def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.filter(fold(F.col("doc_id"), 5) != 0))
+    found = langid.predict(docs.select("doc_id", "text", (fold(F.col("doc_id"), 5) == 0).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.filter(fold(F.col("doc_id"), 5) != 0))
+    scored = toxicity.score(docs.select("doc_id", "text", (fold(F.col("doc_id"), 5) == 0).alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,5 +42,9 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_byte_bpe": (op2_byte_bpe, None),
+    "op4_mixing": (op4_mixing, mixing.SQL),
+    "op7_langid": (op7_langid, None),
     "op9_simhash": (op9_simhash, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
