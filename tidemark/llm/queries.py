@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat, langid, mixing, simhash, topk, toxicity, vectors
+from tidemark.llm import byte_bpe, chat, langid, mixing, pages, simhash, topk, toxicity, vectors
 from tidemark.llm.common import fold, table
 
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, ids=False, digests=True)
@@ -64,6 +68,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pages": (op1_pages, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op3_vector_dedup": (op3_vector_dedup, None),
     "op4_mixing": (op4_mixing, mixing.SQL),
