@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
+import os
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -19,7 +22,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from tidemark.llm.common import ready, text_slices
 
 #: Pieces remembered per worker and their longest length in characters; others are encoded each time they occur.
-MEMO_PIECES = 200_000
+MEMO_PIECES = 400_000
 MEMO_CHARS = 48
 
 
@@ -53,6 +56,7 @@ class Codec:
     """Encoder and decoder of one rank file; a worker keeps one."""
 
     def __init__(self, data: bytes, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         ranks, characters = read_ranks(data), byte_characters()
         self.split = regex.compile(pattern).findall
         spell = lambda token: "".join(characters[b] for b in token)
@@ -68,30 +72,32 @@ class Codec:
         self.text_of = [str(i) for i in range(size)]
         self.memo: dict[str, tuple[int, ...]] = {}
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of pieces not remembered yet; short ones are remembered from now on."""
-        new = list(pieces)
-        found = {p: tuple(e.ids) for p, e in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True)} if new else {}
-        if len(self.memo) + len(found) > MEMO_PIECES:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text: every match of the pattern on its own. Pieces not remembered yet are encoded together."""
+        gc.disable()  # many small tuples and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        split = [self.split(t) for t in texts]
+        needed = set().union(*split)
+        new = [p for p in needed if p not in self.memo]
+        if len(self.memo) + len(new) > MEMO_PIECES:
             self.memo.clear()
-        self.memo.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
-        return found
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text: every match of the pattern on its own."""
-        for text in texts:
-            pieces = self.split(text)
-            memo = self.memo
-            try:
-                ids = list(chain.from_iterable(map(memo.__getitem__, pieces)))
-            except KeyError:
-                known = dict.fromkeys(pieces)
-                new = self.learn({p for p in known if p not in memo})
-                memo = {p: new[p] if p in new else self.memo.get(p) for p in known}
-                if None in memo.values():  # the memory was cleared meanwhile
-                    memo |= self.learn({p for p, ids in memo.items() if ids is None})
-                ids = list(chain.from_iterable(map(memo.__getitem__, pieces)))
-            yield ids
+            new = list(needed)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            found = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, words = found.ids, np.array(found.word_ids)
+            ends = np.searchsorted(words, np.arange(len(part)), side="right").tolist()
+            self.memo.update((p, tuple(ids[a:b])) for p, a, b in zip(part, [0, *ends], ends, strict=False))
+        ids = [list(chain.from_iterable(map(self.memo.__getitem__, pieces))) for pieces in split]
+        for piece in new:
+            if len(piece) > MEMO_CHARS:
+                del self.memo[piece]
+        return ids
 
     def starts(self, text: str) -> list[int]:
         """Character offset of each token: of the character that holds its first byte (a split character counts for all its tokens)."""
