@@ -38,13 +38,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def text_slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Cut a batch into runs of whole texts of about SLICE_BYTES; null counts as empty. Yields (first row, texts)."""
+def text_slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """Cut a batch into runs of whole texts of about ``most`` characters; null counts as empty. Yields (first row, texts)."""
     start, held, size = 0, [], 0
     for text in texts:
         held.append(text or "")
         size += len(held[-1])
-        if size >= SLICE_BYTES:
+        if size >= most:
             yield start, held
             start, held, size = start + len(held), [], 0
     if held:
