@@ -41,8 +41,7 @@ def learn(rows: list[tuple], settings: subwords.Settings = SETTINGS) -> bytes:
 
 
 def _logits(texts: list[str], table, bias, settings) -> np.ndarray:
-    total, count = subwords.sums(texts, table, settings)
-    return total / np.maximum(count, 1)[:, None] + bias
+    return subwords.means(texts, table, settings) + bias
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, each: int = SAMPLE_EACH) -> bytes:

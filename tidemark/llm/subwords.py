@@ -14,7 +14,11 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """``lengths``: bytes of a subword, word borders included; ``bits``: log2 of the hash buckets; ``dim``: of the embeddings."""
+    """``lengths``: bytes of a subword, word borders included; ``bits``: log2 of the hash buckets; ``dim``: of the embeddings.
+
+    ``distinct``: a subword counts once per text, however often it comes; ``prior``: empty subwords averaged along, so that a
+    few subwords alone decide little.
+    """
 
     lengths: tuple[int, ...] = (2, 3, 4)
     bits: int = 16
@@ -22,6 +26,8 @@ class Settings:
     epochs: int = 5
     rate: float = 0.3
     seed: int = 7
+    distinct: bool = False
+    prior: float = 0.0
 
 
 def plain(text: str) -> bytes:
@@ -55,18 +61,33 @@ def buckets(texts: list[str], settings: Settings) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def sums(texts: list[str], table: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """``(sum of table rows over the subwords, number of subwords)`` of each text; ``table`` has a row per bucket."""
-    total, count = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), np.int64)
+def means(texts: list[str], table: np.ndarray, settings: Settings) -> np.ndarray:
+    """Mean of the table rows over the subwords of each text; ``table`` has a row per bucket."""
+    total, count = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts))
     columns = [np.ascontiguousarray(table[:, c]) for c in range(table.shape[1])]
+    last = np.empty(len(table), np.int64) if settings.distinct else None
     for hashed, first in buckets(texts, settings):
+        if last is not None:
+            hashed, first = _distinct(hashed, first, last)
         sizes = np.diff(np.r_[first, len(hashed)])
         count += sizes
         full = sizes > 0
         for c, column in enumerate(columns):
             if full.any():
                 total[full, c] += np.add.reduceat(column[hashed], first[full], dtype=np.float64)
-    return total, count
+    return total / np.maximum(count + settings.prior, 1)[:, None]
+
+
+def _distinct(hashed: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with each bucket once per text. ``last`` is scratch space, one place per bucket."""
+    kept = np.empty(len(hashed), bool)
+    ends = np.r_[first[1:], len(hashed)]
+    for start, end in zip(first.tolist(), ends.tolist(), strict=True):
+        mine, place = hashed[start:end], np.arange(end - start)
+        last[mine] = place
+        kept[start:end] = last[mine] == place
+    before = np.r_[0, np.cumsum(kept)]
+    return hashed[kept], before[first]
 
 
 def bags(texts: list[str], settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -75,8 +96,10 @@ def bags(texts: list[str], settings: Settings) -> list[tuple[np.ndarray, np.ndar
     out = []
     for i in range(len(texts)):
         mine = [h[f[i] : f[i + 1] if i + 1 < len(f) else len(h)] for h, f in found]
-        distinct, counts = np.unique(np.concatenate(mine), return_counts=True)
-        out.append((distinct, (counts / max(1, counts.sum())).astype(np.float32)))
+        if settings.distinct:  # once for each length, as when scoring
+            mine = [np.unique(h) for h in mine]
+        kinds, counts = np.unique(np.concatenate(mine), return_counts=True)
+        out.append((kinds, (counts / max(1, counts.sum() + settings.prior)).astype(np.float32)))
     return out
 
 

@@ -16,8 +16,8 @@ from tidemark.llm.common import ready, text_slices
 from tidemark.session import stage
 
 #: Bound of the training sample: about so many labelled texts in all, and so many of either label at least.
-SAMPLE_ROWS, SAMPLE_EACH = 12_000, 1_500
-SETTINGS = subwords.Settings(lengths=(3, 4, 5), bits=18, dim=16, epochs=4, rate=0.3)
+SAMPLE_ROWS, SAMPLE_EACH = 8_000, 2_500
+SETTINGS = subwords.Settings(lengths=(3, 4, 5), bits=18, dim=16, epochs=6, rate=0.5, distinct=True, prior=100.0)
 HELD_BACK = 0.15
 
 
@@ -40,8 +40,7 @@ def _logit(p: float) -> float:
 
 
 def _margins(texts: list[str], table: np.ndarray, base: float, settings: subwords.Settings) -> np.ndarray:
-    total, count = subwords.sums(texts, table, settings)
-    return total[:, 0] / np.maximum(count, 1) + base
+    return subwords.means(texts, table, settings)[:, 0] + base
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
