@@ -28,6 +28,8 @@ _letter = regex.compile(r"\p{L}")
 
 def learn(rows: list[tuple], settings: subwords.Settings = SETTINGS) -> bytes:
     """Model of ``(id, text, language)`` rows. The last ones calibrate: a temperature, then the limit of the top probability."""
+    if not rows:
+        return pickle.dumps(([], None, None, 1.0, 0.0, settings))
     names = sorted({r[2] for r in rows})
     labels = np.array([names.index(r[2]) for r in rows], np.int64)
     cut = len(rows) - int(len(rows) * HELD_BACK)

@@ -32,11 +32,15 @@ def bounded(rows: DataFrame, key: str, by: str, rows_wanted: int, least: int) ->
 
 
 def fit(sample: DataFrame, order: str, learn: Callable[[list[tuple]], bytes]) -> bytes:
-    """Run ``learn`` over the rows of a bounded sample in one task, in the order of the sampling hash; its result."""
+    """Run ``learn`` over the rows of a bounded sample in one task, in the order of the sampling hash; its result.
+
+    No rows at all start no task; the result is then that of no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([learn(rows)], pa.binary())], names=["model"])
 
     one = stage(sample, "sample").repartition(1).sortWithinPartitions(draw(F.col(order)), order)
-    return bytes(one.mapInArrow(run, "model binary").first()[0])
+    row = one.mapInArrow(run, "model binary").first()
+    return bytes(row[0]) if row else learn([])

@@ -47,7 +47,7 @@ def buckets(texts: list[str], settings: Settings) -> list[tuple[np.ndarray, np.n
     for n in settings.lengths:
         count = len(joined) - n + 1
         if count <= 0:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            out.append((np.zeros(0, np.int64), np.zeros(len(starts), np.int64)))
             continue
         inside = np.ones(count, bool) if n > 2 else letter[:count] | letter[1 : count + 1]
         for k in range(1, n - 1):
