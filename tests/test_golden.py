@@ -29,6 +29,15 @@ def test_student_p(spark):
     assert all(near(a, b, 1e-9) for a, (_, _, b) in zip(got, P_CASES))
 
 
+def test_student_p_of_many_degrees_of_freedom(spark):
+    # So many that the distribution is normal to nine places, up to its first correction.
+    rows = spark.createDataFrame([(t, n) for t in (0.0, 0.3, 1.96, 4.0, 9.0) for n in (10**6, 2 * 10**7, 2**40)], "t double, n long")
+    for r in rows.select("t", "n", two_sided_p(F.col("t"), F.col("n")).alias("p")).collect():
+        normal = math.erfc(r.t / math.sqrt(2))
+        density = math.exp(-r.t * r.t / 2) / math.sqrt(2 * math.pi)
+        assert abs(r.p - (normal + 2 * density * (r.t**3 + r.t) / (4 * r.n))) < 1e-9
+
+
 @pytest.mark.parametrize("df", [1, 2, 3, 4])
 def test_student_p_small_df(spark, df):
     # Closed forms of the central probability.

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality
-from tidemark.session import stage, staging_dir
+from tidemark.session import drop_staged, stage, staging_dir
 from tidemark.sources import delimited, sinks
 
 
@@ -71,7 +72,7 @@ def test_drop_folder_mixes_layouts(spark, tmp_path):
     assert {k[0] for k in rows} == {"3000001", "3000003"}
     assert rows[("3000001", "PM10", dt.datetime(2023, 12, 31, 5))] == 5.0
     assert rows[("3000001", "PM10", dt.datetime(2023, 12, 31, 0))] == 7.0
-    assert rows[("3000001", "PM10", dt.datetime(2024, 1, 1, 0))] in (24.0, 99.0)
+    assert rows[("3000001", "PM10", dt.datetime(2024, 1, 1, 0))] == 24.0  # wide.csv comes after long.csv
     assert rows[("3000003", "UNKNOWN", dt.datetime(2024, 1, 3, 0))] == 24.0
     assert len(rows) == 25 + 24
     with pytest.raises(ValueError):
@@ -79,6 +80,24 @@ def test_drop_folder_mixes_layouts(spark, tmp_path):
         delimited.ingest_drop_folder(spark, str(tmp_path / "none"))
 
 
+def test_the_last_file_wins_across_layouts_and_sizes(spark, tmp_path):
+    folder = tmp_path / "order"
+    head = "Estación;Fecha;Hora;Variable;Valor\n"
+    write(folder / "a.csv", head + "s;2024-01-01;1;PM10;1\ns;2024-01-01;2;PM10;1\n")
+    write(folder / "b.csv", head + "s;2024-01-01;1;PM10;2\n" + "s;2024-01-02;5;PM10;0\n" * 500)
+    write(folder / "c.csv", "Estación,Fecha,Hora,Variable,Valor,Extra\ns,2024-01-01,2,PM10,3,x\n")
+    rows = {r.timestamp.hour: r.value for r in delimited.ingest_drop_folder(spark, str(folder)).collect() if r.timestamp.day == 1}
+    assert rows == {1: 2.0, 2: 3.0}
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    names = ["timestamp", "PM10", *[f"extra_column_{i}" for i in range(8000)]]
+    path = write(tmp_path / "wide.csv", ",".join(names) + "\n2024-01-01 00:00:00,5" + "," * 8000 + "\n")
+    assert len(",".join(names)) > 100 * 1024
+    layout = delimited.layouts(spark, path)[0]
+    assert layout.columns == names and layout.sep == ","
+
+
 def test_daily_file_names(spark):
     df = spark.createDataFrame([("PM25_Old_Town_12_daily.csv",), ("PM10_X_1_daily.csv",), ("NO2_X_1_daily.csv",)], "f string")
     got = [tuple(r.p) if r.p else None for r in df.select(delimited.daily_file_parts(F.col("f")).alias("p")).collect()]
@@ -86,12 +105,14 @@ def test_daily_file_names(spark):
 
 
 def test_sinks_and_manifest(spark, tmp_path):
-    rows = [("c", "s1", "PM10", dt.datetime(2024, 1, 1), 1.0), ("c", "s1", "PM10", dt.datetime(2024, 1, 1), 2.0), ("c", "s2", "NO2", dt.datetime(2023, 1, 1), 3.0)]
+    rows = [("c", "s1", "PM10", dt.datetime(2024, 1, 1), 1.0), ("c", "s1", "PM10", dt.datetime(2024, 1, 1), 0.5), ("c", "s2", "NO2", dt.datetime(2023, 1, 1), 3.0)]
     df = spark.createDataFrame(rows, "city string, station_id string, component string, datetime timestamp, value double")
     out = str(tmp_path / "net")
-    sinks.export_network(df, out)
+    ranked = df.withColumn("rank", F.when(F.col("value") == 1.0, 1).otherwise(2))
+    sinks.export_network(ranked, out, ["rank"])
     back = spark.read.option("header", True).csv(out)
-    assert back.count() == 2 and {"city", "station_id", "component"} <= set(back.columns)
+    assert back.filter("station_id = 's1'").first().value == "0.5"  # the last row, not the largest
+    assert back.count() == 2 and "rank" not in back.columns and {"city", "station_id", "component"} <= set(back.columns)
     long = df.select(F.col("datetime").alias("timestamp"), F.col("station_id").alias("station"), F.col("component").alias("variable"), "value")
     sinks.write_year_chunks(long, str(tmp_path / "years"))
     assert sorted(r.year for r in spark.read.parquet(str(tmp_path / "years")).select("year").distinct().collect()) == [2023, 2024]
@@ -105,7 +126,8 @@ def test_sinks_and_manifest(spark, tmp_path):
 
 def test_run_metadata_and_shards(spark, tmp_path):
     a = spark.createDataFrame([("s1", 1), ("s2", 2)], "series string, v int")
-    meta = sinks.write_run({"ledger": a, "metrics": a.limit(1)}, str(tmp_path / "run"), "t0", "t1")
+    meta = sinks.write_run({"ledger": a, "metrics": a.limit(1)}, str(tmp_path / "run"), "t0", "t1", {"horizon": 24})
+    assert {r.config for r in meta.collect()} == {'{"horizon": 24}'}
     assert {r.table: r.rows for r in meta.collect()} == {"ledger": 2, "metrics": 1}
     a.write.parquet(str(tmp_path / "x"))
     a.write.parquet(str(tmp_path / "y"))
@@ -119,6 +141,15 @@ def test_stage_uses_the_shared_folder(spark):
     assert all(f.replace("file://", "").startswith(staging_dir(spark)) for f in staged.inputFiles())
 
 
+def test_staged_tables_can_be_dropped(spark):
+    folder = staging_dir(spark)
+    kept = set(os.listdir(folder))
+    stage(spark.range(5), "n")
+    stage(spark.range(5), "m")
+    new = set(os.listdir(folder)) - kept
+    assert len(new) == 2 and drop_staged(spark) >= 2 and not new & set(os.listdir(folder))
+
+
 def test_require_columns(spark):
     with pytest.raises(ValueError):
         quality.require_columns(spark.range(1), ["x"])

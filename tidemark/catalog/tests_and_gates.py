@@ -202,6 +202,7 @@ def dm_sql(rule: str) -> tuple[str, ...]:
     q = {"legacy": "horizon - 1", "overlap": "0", "bartlett": "CAST(floor(4 * pow(n / 100.0, 2.0 / 9.0)) AS INTEGER)"}[rule]
     hd = "horizon" if rule == "legacy" else "1"
     weight = "1.0 - (a.rn - b.rn) / (s.q + 1.0)" if rule == "bartlett" else "1.0"
+    whole = "true" if rule == "bartlett" else "(q <= 0 OR q < n - 1)"
     return (
         f"""st AS (SELECT *, CAST({q} AS INTEGER) AS q, {hd} AS hd FROM (SELECT series, horizon, count(*) AS n, avg(d) AS md FROM pairs GROUP BY ALL)),
 num AS (SELECT p.series, p.horizon, row_number() OVER (PARTITION BY p.series, p.horizon ORDER BY p.origin) AS rn, p.d - s.md AS e FROM pairs p JOIN st s USING (series, horizon)),
@@ -209,11 +210,11 @@ g0 AS (SELECT series, horizon, sum(e * e) AS s0 FROM num GROUP BY ALL),
 gq AS (SELECT s.series, s.horizon, sum(a.e * b.e * ({weight})) AS sq FROM st s JOIN num a ON a.series = s.series AND a.horizon = s.horizon
   JOIN num b ON b.series = s.series AND b.horizon = s.horizon AND a.rn - b.rn BETWEEN 1 AND s.q GROUP BY ALL),
 om AS (SELECT s.*, g0.s0, (g0.s0 + 2 * coalesce(gq.sq, 0)) / n AS omega FROM st s JOIN g0 USING (series, horizon) LEFT JOIN gq USING (series, horizon)),
-raw AS (SELECT *, CASE WHEN n >= 10 AND omega > 1e-12 * s0 / n THEN md / sqrt(greatest(omega, 1e-300) / n) END AS dm_raw FROM om),
+raw AS (SELECT *, CASE WHEN n >= 10 AND omega > 0 AND {whole} THEN md / sqrt(greatest(omega, 1e-300) / n) END AS dm_raw FROM om),
 dms AS (SELECT *, dm_raw * sqrt((n + 1 - 2 * hd + hd * (hd - 1) / n) / n) AS dm_stat FROM raw),
 cells AS (SELECT s.series, CAST(h AS INTEGER) AS horizon FROM (SELECT DISTINCT series FROM ledger) s CROSS JOIN (SELECT unnest([1, 6, 12, 24]) AS h)),
 dm AS (SELECT series, horizon, coalesce(n, 0) AS n, q, CASE WHEN n >= 10 THEN md END AS mean_loss_diff, dm_raw, dm_stat, {student_p_sql('dm_stat', '(n - 1)')} AS p_value,
-  CASE WHEN n >= 10 AND omega > 1e-12 * s0 / n THEN CASE WHEN md > 0 THEN 'seasonal' ELSE 'persistence' END ELSE 'undetermined' END AS favours
+  CASE WHEN n >= 10 AND omega > 0 AND {whole} THEN CASE WHEN md > 0 THEN 'seasonal' ELSE 'persistence' END ELSE 'undetermined' END AS favours
   FROM cells LEFT JOIN dms USING (series, horizon))""",
     )
 

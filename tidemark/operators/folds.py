@@ -216,7 +216,8 @@ def solve_standardized(zz: np.ndarray, zt: np.ndarray, ridge: float) -> tuple[np
     """Intercepts (m) and slopes (p × m) from raw moments whose first column is the constant 1.
 
     Columns are standardized with the fold's own mean and sd, so the penalty acts on a common scale; columns
-    that are constant in the fold get slope 0.
+    that are constant in the fold get slope 0. Columns that depend on each other share their slopes (least norm); where no solution
+    is found, or it is not finite, intercepts and slopes are NaN, which becomes NULL in the forecast.
     """
     n = zz[0, 0]
     mx, my = zz[0, 1:] / n, zt[0] / n
@@ -229,7 +230,12 @@ def solve_standardized(zz: np.ndarray, zt: np.ndarray, ridge: float) -> tuple[np
         sd = np.sqrt(var[live])
         corr = cov[np.ix_(live, live)] / np.outer(sd, sd)
         corr[np.diag_indices_from(corr)] += ridge / n
-        slopes[live] = np.linalg.solve(corr, cross[live] / sd[:, None]) / sd[:, None]
+        try:
+            slopes[live] = np.linalg.lstsq(corr, cross[live] / sd[:, None], rcond=1e-12)[0] / sd[:, None]
+        except np.linalg.LinAlgError:
+            slopes[:] = np.nan
+    if not np.isfinite(slopes).all():
+        slopes[:] = np.nan
     return my - mx @ slopes, slopes
 
 

@@ -186,8 +186,8 @@ def recent_depth(lags: Sequence[int], difference: int = 0) -> int:
     return max(lags) + difference + 2
 
 
-def seasonal_ar(features: DataFrame, spec: BacktestSpec, max_train_rows: int | None = 17520, **kw) -> DataFrame:
-    """Seasonal reference forecaster: autoregression on lags 1, s and s+1 over a capped training window."""
+def seasonal_ar(features: DataFrame, spec: BacktestSpec, max_train_rows: int | None = None, **kw) -> DataFrame:
+    """Seasonal reference forecaster: autoregression on lags 1, s and s+1, over the whole prefix unless a window is asked for."""
     return autoregression(features, spec, (1, spec.season, spec.season + 1), max_train_rows=max_train_rows, **kw)
 
 

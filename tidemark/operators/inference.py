@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,6 @@ from tidemark.operators import blocks
 
 CELL = ("series", "horizon")
 MIN_PAIRS = 10
-MAX_LAG = 64
-TINY = 1e-12
 
 
 def paired_losses(
@@ -63,7 +62,8 @@ def diebold_mariano(
     stride: int = 24,
     names: tuple[str, str] = ("a", "b"),
     cells: DataFrame | None = None,
-    max_lag: int = MAX_LAG,
+    max_lag: int | None = None,
+    tiny: float = 0.0,
     block_seconds: int = 24 * 3600 * 512,
     chunk_rows: int = 2048,
 ) -> DataFrame:
@@ -76,9 +76,10 @@ def diebold_mariano(
     * ``"bartlett"``: q = floor(4 (n/100)^(2/9)) with weights 1 - k/(q+1), h_dm = ceil(h/stride).
 
     Fewer than ten pairs give NULL throughout; a variance that is not positive gives NULL for the statistic
-    only. With q >= n-1 the unweighted sum is zero by identity, so a variance below ``TINY`` times the plain one
-    counts as not positive instead of leaving its sign to rounding. Origins are numbered in blocks and lagged products computed in chunks with a halo, so a cell may
-    hold any number of origins. ``max_lag`` is the reach of the halo; a cell that needs more fails the job.
+    only, and so does one that is not above ``tiny`` times the plain variance. With q >= n-1 the unweighted sum is zero by
+    identity and counts as such. Origins are numbered in blocks and lagged products computed in chunks with a halo, so a cell may
+    hold any number of origins. The halo reaches as far as the largest bandwidth found in the data; with none above zero there
+    is no lagged pass. A given ``max_lag`` bounds it instead, and a cell that needs more fails the job.
     ``cells`` adds tested cells for which no pair exists.
     """
     if rule not in ("legacy", "overlap", "bartlett"):
@@ -92,32 +93,26 @@ def diebold_mariano(
         "overlap": scalars.overlap_bandwidth(h, stride),
         "bartlett": scalars.automatic_bandwidth(n),
     }[rule].cast("int")
-    too_long = F.raise_error(F.lit(f"bandwidth above max_lag={max_lag}")).cast("int")
-    stats = stats.withColumns({"q": F.when(q <= max_lag, q).otherwise(too_long), "h_dm": steps.cast("int")})
-
-    numbered = blocks.scan(
-        pairs.select(*keys, "origin", "d").withColumn("_block", F.floor(F.unix_timestamp("origin") / block_seconds)),
-        keys, "_block", ["origin"], sums={"_pos": F.lit(1).cast("long")},
-    ).join(stats.select(*keys, "q", "mean_loss_diff"), keys)
-    centred = numbered.select(*keys, "q", (F.col("_pos") - 1).alias("_pos"), (F.col("d") - F.col("mean_loss_diff")).alias("e"))
-    halo = blocks.with_halo(centred, "_pos", max_lag, 0, chunk_rows)
-    w = blocks.chunk_window(keys, "_pos").rowsBetween(-max_lag, -1)
-    earlier = F.slice(F.reverse(F.collect_list("e").over(w)), F.lit(1), F.greatest(F.col("q"), F.lit(0)))
-    weight = (lambda k: F.lit(1.0) - (k + 1) / (F.col("q") + 1.0)) if rule == "bartlett" else (lambda k: F.lit(1.0))
-    lagged = F.aggregate(
-        F.transform("_earlier", lambda v, k: v * weight(k)), F.lit(0.0), lambda acc, v: acc + v
-    )
-    products = blocks.owned(halo.withColumn("_earlier", earlier)).select(
-        *keys, (F.col("e") * F.col("e")).alias("_own2"), (F.col("e") * lagged).alias("_cross")
-    )
-    variance = products.groupBy(*keys).agg(F.sum("_own2").alias("_s0"), F.sum("_cross").alias("_sq"))
+    if max_lag is None:
+        max_lag = int(stats.agg(F.max(F.least(q, n.cast("int") - 1))).first()[0] or 0)  # one number
+    else:
+        q = F.when(q <= max_lag, q).otherwise(F.raise_error(F.lit(f"bandwidth above max_lag={max_lag}")).cast("int"))
+    stats = stats.withColumns({"q": q, "h_dm": steps.cast("int")})
+
+    if max_lag <= 0:
+        variance = pairs.join(stats.select(*keys, "mean_loss_diff"), keys).groupBy(*keys).agg(
+            F.sum((F.col("d") - F.col("mean_loss_diff")) * (F.col("d") - F.col("mean_loss_diff"))).alias("_s0"), F.lit(0.0).alias("_sq"))
+    else:
+        variance = _lagged_products(pairs, stats, rule, max_lag, block_seconds, chunk_rows)
 
     tested = stats.join(variance, keys)
     if cells is not None:
         tested = cells.join(tested, keys, "left").fillna(0, subset=["n"])
     omega = (F.col("_s0") + 2.0 * F.col("_sq")) / n
     enough = n >= MIN_PAIRS
-    valid = enough & (omega > TINY * F.col("_s0") / n)
+    valid = enough & (omega > tiny * F.col("_s0") / n)
+    if rule != "bartlett":
+        valid = valid & ((F.col("q") <= 0) | (F.col("q") < n - 1))
     raw = F.when(valid, F.col("mean_loss_diff") / F.sqrt(omega / n))
     hd = F.col("h_dm")
     factor = F.sqrt((n + 1 - 2 * hd + hd * (hd - 1) / n) / n)
@@ -137,6 +132,27 @@ def diebold_mariano(
     )
 
 
+def _lagged_products(pairs: DataFrame, stats: DataFrame, rule: str, max_lag: int, block_seconds: int, chunk_rows: int) -> DataFrame:
+    """Sums of squares and of weighted lagged products of the centred differentials per cell."""
+    keys = list(CELL)
+    numbered = blocks.scan(
+        pairs.select(*keys, "origin", "d").withColumn("_block", F.floor(F.unix_timestamp("origin") / block_seconds)),
+        keys, "_block", ["origin"], sums={"_pos": F.lit(1).cast("long")},
+    ).join(stats.select(*keys, "q", "mean_loss_diff"), keys)
+    centred = numbered.select(*keys, "q", (F.col("_pos") - 1).alias("_pos"), (F.col("d") - F.col("mean_loss_diff")).alias("e"))
+    halo = blocks.with_halo(centred, "_pos", max_lag, 0, chunk_rows)
+    w = blocks.chunk_window(keys, "_pos").rowsBetween(-max_lag, -1)
+    earlier = F.slice(F.reverse(F.collect_list("e").over(w)), F.lit(1), F.greatest(F.col("q"), F.lit(0)))
+    weight = (lambda k: F.lit(1.0) - (k + 1) / (F.col("q") + 1.0)) if rule == "bartlett" else (lambda k: F.lit(1.0))
+    lagged = F.aggregate(
+        F.transform("_earlier", lambda v, k: v * weight(k)), F.lit(0.0), lambda acc, v: acc + v
+    )
+    products = blocks.owned(halo.withColumn("_earlier", earlier)).select(
+        *keys, (F.col("e") * F.col("e")).alias("_own2"), (F.col("e") * lagged).alias("_cross")
+    )
+    return products.groupBy(*keys).agg(F.sum("_own2").alias("_s0"), F.sum("_cross").alias("_sq"))
+
+
 def bonferroni(cells: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
     """min(1, m p) with m = number of valid tests in the whole table."""
     family = cells.agg(F.count(p)).scalar()
@@ -192,8 +208,8 @@ def outcome_counts(dm: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 # --- bootstrap ---------------------------------------------------------------------------------------------
 
-# Cumulative Poisson(1) probabilities used to turn a uniform draw into a weight.
-POISSON_CDF = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+#: Cumulative Poisson(1) probabilities that turn a uniform draw into a weight, as far as a 32-bit draw can tell them from 1.
+POISSON_CDF = tuple(c for c in (sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(20)) if c < 1 - 2.0**-33)
 
 
 def bootstrap_skill(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -54,22 +56,44 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_private: dict[str, str] = {}  # folders of local sessions without the setting
+
+
 def staging_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a private one only where the setting is absent."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder named by the cluster. Only a local session may lack one: it gets a private folder, removed at exit."""
+    application = spark.sparkContext.applicationId
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _private.get(application)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _private[application] = folder
     return folder
 
 
+_staged: dict[str, list[str]] = {}
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete all tables this application has staged, once nothing that reads them is needed any more; how many."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Used where several later steps read the same expensive result. Unlike a cached plan it survives the
-    loss of executors, and unlike an RDD checkpoint it keeps column pruning and size statistics.
+    loss of executors, and unlike an RDD checkpoint it keeps column pruning and size statistics. ``drop_staged`` deletes
+    the copies.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from urllib.parse import quote
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import normalize_component, normalize_header, normalize_city
 from tidemark.operators.quality import dedup
+from tidemark.session import stage
 
 # Column aliases, canonical columns and file-name patterns of the supported layouts.
 DATE_COLUMNS = ("Date and Time", "datetime", "timestamp", "date")
@@ -61,28 +62,27 @@ def separator_of(header: str, tie: str = ";") -> str:
     return ";" if semicolons > commas else ","
 
 
-def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """``path, header`` of every file under ``path``; tasks read only the first bytes of each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``_line`` of all files with ``_path``, ``_file`` and ``_seq``, which orders lines by file and place in the file.
 
-    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+    Spark reads the files, so any store it knows will do. Long files come in blocks; lines of one block are read by one task.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text([paths] if isinstance(paths, str) else list(paths))
+    # Metadata columns are percent-encoded, apart from plus signs.
+    decoded = lambda c: F.url_decode(F.replace(F.col(f"_metadata.{c}"), F.lit("+"), F.lit("%2B")))
+    place = F.struct(
+        decoded("file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    return raw.select(F.regexp_replace("value", r"\r$", "").alias("_line"), place["path"].alias("_path"), decoded("file_name").alias("_file"), place.alias("_seq"))
 
-        for batch in batches:
-            headers = []
-            for uri in batch["path"]:
-                full = re.sub(r"^file:/+", "file:///", uri)
-                store, name = fs.FileSystem.from_uri(quote(full, safe=":/"))
-                with store.open_input_stream(name) as stream:
-                    start = stream.read(1 << 16) or b""
-                headers.append(start.decode("utf-8-sig", errors="ignore").split("\n", 1)[0].rstrip("\r"))
-            yield batch.assign(header=headers)
 
-    return files.mapInPandas(first_lines, "path string, header string")
+def file_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``path, header`` of every file that has a line: the whole first line, however long."""
+    return text_lines(spark, paths).groupBy(F.col("_path").alias("path")).agg(F.min_by("_line", "_seq").alias("header"))
 
 
 def detect_separator(spark: SparkSession, path: str, tie: str = ";") -> str:
-    return separator_of(file_headers(spark, path).select("header").first()[0], tie)
+    return separator_of(file_headers(spark, path).orderBy("path").select("header").first()[0], tie)
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
@@ -107,19 +107,14 @@ def pick_column(columns: Sequence[str], aliases: Sequence[str]) -> str:
 
 
 def read_text_columns(spark: SparkSession, paths: str | Sequence[str], sep: str | None = None, tie: str = ";") -> DataFrame:
-    """All columns as strings, headers cleaned, plus the file name as ``_file``."""
-    first = paths if isinstance(paths, str) else paths[0]
-    sep = sep or detect_separator(spark, first, tie)
-    raw = spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(
-        paths if isinstance(paths, str) else list(paths)
-    )
-    names = raw.columns
-    # The metadata column is percent-encoded, apart from plus signs.
-    file_name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    cleaned = raw.select("*", file_name.alias("_file")).toDF(
-        *[c.replace("﻿", "").strip() for c in names], "_file"
-    )
-    return cleaned
+    """All columns as strings, headers cleaned, plus the file name as ``_file`` and the order of ingest as ``_seq``.
+
+    Files may differ in separator and header: each is read by its own, and columns that a file lacks are NULL.
+    """
+    parts = [layout.rows(sep) for layout in layouts(spark, paths, tie)]
+    if not parts:
+        raise ValueError(f"no lines in {paths}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 # --- values ------------------------------------------------------------------------------------------------
@@ -191,7 +186,7 @@ def load_panel(spark: SparkSession, path: str, ts: str, target: str, series: str
         (F.col(series) if series else F.lit("series")).cast("string").alias("series"),
         to_timestamp(F.col(ts)).alias("ts"),
         to_number(F.col(target)).alias("y"),
-        F.monotonically_increasing_id().alias("_seq"),
+        F.col("_seq") if "_seq" in raw.columns else F.monotonically_increasing_id().alias("_seq"),
     ).filter("ts IS NOT NULL")
     return dedup(rows, ["series", "ts"], ["_seq"], "last").drop("_seq")
 
@@ -201,10 +196,9 @@ def load_covariates(spark: SparkSession, path: str | None, ts: str = "timestamp"
     if path is None:
         return spark.createDataFrame([], "ts timestamp")
     raw = read_text_columns(spark, path, sep)
-    names = [c for c in raw.columns if c not in (ts, "_file")]
+    names = [c for c in raw.columns if c not in (ts, "_file", "_seq")]
     rows = raw.select(
-        to_timestamp(F.col(ts)).alias("ts"), *[to_number(F.col(f"`{c}`")).alias(c) for c in names],
-        F.monotonically_increasing_id().alias("_seq"),
+        to_timestamp(F.col(ts)).alias("ts"), *[to_number(F.col(f"`{c}`")).alias(c) for c in names], "_seq",
     ).filter("ts IS NOT NULL")
     return dedup(rows, ["ts"], ["_seq"], "last").drop("_seq")
 
@@ -216,23 +210,32 @@ def canonical_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Files that share one header."""
+    """Files that share one header, with their lines."""
 
     header: str
     sep: str
-    paths: tuple[str, ...]
+    lines: DataFrame
 
     @property
     def columns(self) -> list[str]:
         return [c.replace("﻿", "").strip().strip('"') for c in self.header.split(self.sep)]
 
+    def rows(self, sep: str | None = None) -> DataFrame:
+        """The lines as text columns. Lines that repeat the header and blank lines are no rows."""
+        names = self.columns if sep is None else Layout(self.header, sep, self.lines).columns
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        data = self.lines.filter((F.col("_line") != F.lit(self.header)) & (F.trim("_line") != ""))
+        parsed = data.select(F.from_csv("_line", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep or self.sep}).alias("r"), "_file", "_seq")
+        return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)], "_file", "_seq")
 
-def layouts(spark: SparkSession, folder: str, tie: str = ";") -> list[Layout]:
-    """Group a folder's files by header. Only file names and headers reach the driver, as in any file listing."""
-    groups = file_headers(spark, folder).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+
+def layouts(spark: SparkSession, paths: str | Sequence[str], tie: str = ";") -> list[Layout]:
+    """Files grouped by header. Only the different headers reach the driver; files stay rows of the table of headers."""
+    heads = stage(file_headers(spark, paths), "headers").withColumnRenamed("path", "_head_path")
+    lines = text_lines(spark, paths).join(heads, F.col("_path") == F.col("_head_path")).drop("_head_path")
     return [
-        Layout(row["header"], separator_of(row["header"], tie), tuple(row["paths"]))
-        for row in groups.orderBy("header").collect()
+        Layout(row["header"], separator_of(row["header"], tie), lines.filter(F.col("header") == F.lit(row["header"])))
+        for row in heads.select("header").distinct().orderBy("header").collect()
     ]
 
 
@@ -243,17 +246,18 @@ def ingest_stations(spark: SparkSession, folder: str, exclude: Sequence[str] = (
     """
     parts = []
     for layout in layouts(spark, folder, tie=","):
-        raw = read_text_columns(spark, layout.paths, layout.sep)
+        raw = layout.rows()
         numbers = [c for c in (*POLLUTANTS, *WEATHER) if c in raw.columns]
         rows = raw.select(
             to_timestamp(F.col(f"`{pick_column(raw.columns, DATE_COLUMNS)}`"), TIMESTAMP_FORMATS + DAY_FIRST_FORMATS).alias("timestamp"),
             station_from_file(F.col("_file")).alias("station"),
             *[to_number(F.col(f"`{c}`")).alias(c) for c in numbers],
-            F.monotonically_increasing_id().alias("_seq"),
+            "_seq",
         )
-        parts.append(canonical_columns(rows, ["timestamp", "station", *POLLUTANTS, *WEATHER]).withColumn(
-            "_seq", F.monotonically_increasing_id()))
-    rows = _union(parts).filter("timestamp IS NOT NULL")
+        parts.append(canonical_columns(rows, ["timestamp", "station", *POLLUTANTS, *WEATHER, "_seq"]))
+    if not parts:
+        raise ValueError(f"no usable file in {folder}")
+    rows = reduce(DataFrame.unionByName, parts).filter("timestamp IS NOT NULL")
     if exclude:
         rows = rows.filter(~F.col("station").isin(list(exclude)))
     return dedup(rows, ["station", "timestamp"], ["_seq"], keep).drop("_seq")
@@ -303,13 +307,14 @@ def wide_days_to_long(df: DataFrame) -> DataFrame:
     if not hours or date is None:
         raise ValueError("not a wide day layout")
     station, variable = _station_and_variable(df)
+    order = [c for c in ("_seq",) if c in df.columns]
     cells = F.array(
         *[F.struct(F.lit(h).alias("h"), F.col(f"`{c}`").cast("string").alias("v")) for h, c in sorted(hours.items())]
     )
     return (
-        df.select(date.alias("_d"), station.alias("station"), variable.alias("variable"), F.inline(cells))
+        df.select(date.alias("_d"), station.alias("station"), variable.alias("variable"), *order, F.inline(cells))
         .filter(F.col("_d").isNotNull() & F.col("station").isNotNull())
-        .select(_at_hour(F.col("_d"), F.col("h")).alias("timestamp"), "station", "variable", to_number(F.col("v")).alias("value"))
+        .select(_at_hour(F.col("_d"), F.col("h")).alias("timestamp"), "station", "variable", to_number(F.col("v")).alias("value"), *order)
     )
 
 
@@ -321,13 +326,14 @@ def long_hours_to_panel(df: DataFrame) -> DataFrame:
     if date is None or hour is None or value is None:
         raise ValueError("not a long date-hour layout")
     station, variable = _station_and_variable(df)
+    order = [c for c in ("_seq",) if c in df.columns]
     return (
         df.select(
-            date.alias("_d"), to_number(F.col(f"`{hour}`")).cast("int").alias("_h"), station.alias("station"),
+            *order, date.alias("_d"), to_number(F.col(f"`{hour}`")).cast("int").alias("_h"), station.alias("station"),
             variable.alias("variable"), to_number(F.col(f"`{value}`")).alias("value"),
         )
         .filter(F.col("_d").isNotNull() & F.col("_h").isNotNull() & F.col("station").isNotNull())
-        .select(_at_hour(F.col("_d"), F.col("_h")).alias("timestamp"), "station", "variable", "value")
+        .select(_at_hour(F.col("_d"), F.col("_h")).alias("timestamp"), "station", "variable", "value", *order)
     )
 
 
@@ -338,32 +344,20 @@ def _at_hour(day: Column, hour: Column) -> Column:
 def ingest_drop_folder(spark: SparkSession, folder: str, stations: Sequence[str] | None = None) -> DataFrame:
     """Folder of mixed wide and long files → ``timestamp, station, variable, value``, last row per key.
 
-    Layouts without the needed columns are skipped.
+    Files count in the order of their paths, whatever their layouts, and rows in the order of the file. Layouts without the
+    needed columns are skipped.
     """
     parts = []
     for layout in layouts(spark, folder):
         names = layout.columns
         wide = bool(hour_columns(names))
-        raw = read_text_columns(spark, layout.paths, layout.sep)
         try:
-            part = wide_days_to_long(raw) if wide else long_hours_to_panel(raw)
+            parts.append(wide_days_to_long(layout.rows()) if wide else long_hours_to_panel(layout.rows()))
         except ValueError:
             continue
-        parts.append(part.withColumn("_seq", F.monotonically_increasing_id()))
     if not parts:
         raise ValueError(f"no usable file in {folder}")
-    rows = _union(parts)
+    rows = reduce(DataFrame.unionByName, parts)
     if stations is not None:
         rows = rows.filter(F.col("station").isin(list(stations)))
     return dedup(rows, ["station", "variable", "timestamp"], ["_seq"], "last").drop("_seq")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    # Number the parts, so that the ingest sequence stays unique and ordered across them.
-    out = None
-    for i, part in enumerate(parts):
-        tagged = part.withColumn("_seq", F.struct(F.lit(i).alias("part"), F.col("_seq").alias("row")))
-        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    return out
-
-

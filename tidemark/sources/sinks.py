@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,12 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], sort: Sequenc
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
-def export_network(df: DataFrame, path: str) -> None:
-    """CSV per (city, station_id, component): deduplicated on the time key, in time order."""
-    rows = dedup(df, ["city", "station_id", "component", "datetime"], ["value"], "last")
+def export_network(df: DataFrame, path: str, sequence: Sequence[str]) -> None:
+    """CSV per (city, station_id, component): the last row per time key in the order of ``sequence``, in time order.
+
+    ``sequence`` names the columns that tell the order of ingest; they are not written.
+    """
+    rows = dedup(df, ["city", "station_id", "component", "datetime"], list(sequence), "last").drop(*sequence)
     write_partitioned(rows, path, ["city", "station_id", "component"], ["datetime"], "csv")
 
 
@@ -35,8 +39,12 @@ def write_station_raw(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     write_partitioned(df, path, ["station"], ["variable", "timestamp"], fmt)
 
 
-def write_run(tables: Mapping[str, DataFrame], path: str, started: str, finished: str | None = None) -> DataFrame:
-    """Write the tables of a run and return its metadata: one row per table with its row count and the run times.
+def write_run(
+    tables: Mapping[str, DataFrame], path: str, started: str, finished: str | None = None, config: Mapping[str, object] | None = None
+) -> DataFrame:
+    """Write the tables of a run and return its metadata: one row per table with its row count, the run times and the settings.
+
+    The settings are a snapshot as JSON. Tables written by series are brought together first, so that small series share files.
 
     Row counts are taken from the written files' footers, not by computing the tables again.
     """
@@ -45,11 +53,14 @@ def write_run(tables: Mapping[str, DataFrame], path: str, started: str, finished
     for name, df in tables.items():
         target = f"{path.rstrip('/')}/{name}"
         by = ["series"] if name == "ledger" else []
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(target)
+        if by:
+            write_partitioned(df, target, by)
+        else:
+            df.write.mode("overwrite").parquet(target)
         one = spark.read.parquet(target).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
         rows = one if rows is None else rows.unionByName(one)
-    meta = rows.withColumns({"started": F.lit(started), "finished": F.lit(finished)})
+    snapshot = json.dumps(dict(config or {}), sort_keys=True, default=str)
+    meta = rows.withColumns({"started": F.lit(started), "finished": F.lit(finished), "config": F.lit(snapshot)})
     meta.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_metadata")
     return spark.read.parquet(f"{path.rstrip('/')}/run_metadata")
 
