@@ -21,8 +21,9 @@ HOURLY_SHORT = BacktestSpec(
     min_train_rows=120, lags=(1, 2, 3), covariates=("n_events", "k_mean"), season=24,
 )
 DAILY = BacktestSpec(
-    horizon=7, stride=7, convention="C", min_train_rows=365, max_origins=120, lags=(1, 2, 3, 7, 14, 21, 28), season=7,
+    horizon=7, stride=7, convention="C", min_train_rows=365, lags=(1, 2, 3, 7, 14, 21, 28), season=7,
 )
+LAST_120 = BacktestSpec(**{**DAILY.__dict__, "max_origins": 120})  # only where the latest origins are the feature
 NUDGE = 2.5e-8
 DM_HORIZONS = (1, 6, 12, 24)
 
@@ -119,7 +120,9 @@ found AS (
          row_number() OVER (PARTITION BY p.series ORDER BY p.pos DESC) AS rn
   FROM pos p JOIN bounds b USING (series)
   WHERE p.pos >= 364 AND (p.pos - 364) % 7 = 0 AND p.y IS NOT NULL AND p.pos + 7 <= b.last_pos),
-origins AS (SELECT series, origin, origin_pos, origin_seq FROM found WHERE rn <= 120)"""
+origins AS (SELECT series, origin, origin_pos, origin_seq FROM found)"""
+LAST_120_ORIGINS = DAILY_ORIGINS + """,
+latest AS (SELECT series, origin, origin_pos, origin_seq FROM found WHERE rn <= 120)"""
 
 
 def ledger_sql(spec: BacktestSpec = HOURLY) -> str:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.common import (
-    DAILY, DAILY_ORIGINS, DAILY_PANEL, HOURLY, HOURLY_SHORT, OBS, PANEL, POS, daily_positioned, hourly, hourly_positioned,
-    origins_sql, r, rounded, sql, staged_features,
+    DAILY, DAILY_ORIGINS, DAILY_PANEL, HOURLY, HOURLY_SHORT, LAST_120, LAST_120_ORIGINS, OBS, PANEL, POS, daily_positioned, hourly,
+    hourly_positioned, origins_sql, r, rounded, sql, staged_features,
 )
 from tidemark.operators import features as feat
 from tidemark.operators import folds, forecasters, origins, panel, qa
@@ -57,6 +57,10 @@ def daily_origins(spark, d):
     return origins.origins(daily_positioned(spark, d), DAILY)
 
 
+def latest_daily_origins(spark, d):
+    return origins.origins(daily_positioned(spark, d), LAST_120)
+
+
 def train_window(spark, d):
     w = origins.train_window(hourly(spark, d), "2024-01-20 00:00:00", "2024-01-02 00:00:00")
     return rounded(w.select("series", "ts", "y"))
@@ -171,6 +175,7 @@ CAST(month(ts) AS INTEGER) AS month, CAST(dayofyear(ts) AS INTEGER) AS julian_da
     "rolling_origins": (rolling_origins, sql(OBS, PANEL, POS, origins_sql(), select="SELECT * FROM origins")),
     "first_origins": (first_origins, sql(OBS, PANEL, POS, origins_sql(FIRST_FIVE), select="SELECT * FROM origins")),
     "daily_origins": (daily_origins, sql(DAILY_PANEL, POS, DAILY_ORIGINS, select="SELECT * FROM origins")),
+    "latest_daily_origins": (latest_daily_origins, sql(DAILY_PANEL, POS, LAST_120_ORIGINS, select="SELECT * FROM latest")),
     "train_window": (train_window, sql(OBS, PANEL, select=f"SELECT series, ts, {r('y')} AS y FROM panel WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20'")),
     "test_window": (test_window, sql(OBS, PANEL, POS, select=f"SELECT p.series, p.ts, {r('p.y')} AS y FROM pos p JOIN pos o ON o.series = p.series AND o.ts = TIMESTAMP '2024-01-20' WHERE p.pos >= o.pos AND p.pos < o.pos + 25")),
     "origin_features": (origin_features, sql(OBS, PANEL, POS, origins_sql(), select="SELECT o.series, o.origin, " + ", ".join(

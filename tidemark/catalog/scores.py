@@ -62,7 +62,7 @@ def ridge_ledger(spark, d):
 
 def seasonal_ar_ledger(spark, d):
     recent = forecasters.recent_depth((1, 24, 25))
-    return rounded(_fitted(spark, d, HOURLY, [backtest.seasonal_ar_arm(max_train_rows=480)], recent).filter(arm("seasonal_ar")))
+    return rounded(_fitted(spark, d, HOURLY, [backtest.seasonal_ar_arm()], recent).filter(arm("seasonal_ar")))
 
 
 def plain_ar_ledger(spark, d):
