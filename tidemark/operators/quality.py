@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import blocks
 from tidemark.operators.panel import PanelSpec, with_positions
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import exact_quantiles, quantiles_of_counts
+from tidemark.session import stage
 
 # Thresholds of the audit flags and of the usability rule.
 MISSING_FLAG_PCT, MAX_FLAG = 5.0, 500.0
@@ -109,25 +110,31 @@ def _long(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_profile(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing share, negatives, zeros, min, p50/p95/p99, max and interquartile outliers per (series, column)."""
-    cells = _long(panel, columns)
+    """Missing share, negatives, zeros, min, p50/p95/p99, max and interquartile outliers per (series, column).
+
+    All of it comes from one table of values and how often each occurs, so the panel is read once.
+    """
     keys = ["series", "column"]
-    quantiles = exact_quantiles(cells, keys, "value", {"q1": 0.25, "p50": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99})
+    counts = stage(_long(panel, columns).groupBy(*keys, F.col("value").alias("_v")).agg(F.count("*").alias("_c")), "value-counts")
+    quantiles = quantiles_of_counts(
+        counts.filter("_v IS NOT NULL"), keys, {"q1": 0.25, "p50": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
+    )
     reach = IQR_FACTOR * (F.col("q3") - F.col("q1"))
-    outside = (F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)
+    outside = (F.col("_v") < F.col("q1") - reach) | (F.col("_v") > F.col("q3") + reach)
+    rows = lambda condition: F.sum(F.when(condition, F.col("_c")).otherwise(0))
     return (
-        cells.join(quantiles, keys, "left")
+        counts.join(quantiles, keys, "left")
         .groupBy(*keys)
         .agg(
-            F.round(F.avg(F.col("value").isNull().cast("int")) * 100.0, 3).alias("missing_pct"),
-            F.count_if(F.col("value") < 0).alias("negative_count"),
-            F.count_if(F.col("value") == 0).alias("zero_count"),
-            F.round(F.min("value"), 6).alias("min"),
+            F.round(rows(F.col("_v").isNull()) / F.sum("_c") * 100.0, 3).alias("missing_pct"),
+            rows(F.col("_v") < 0).alias("negative_count"),
+            rows(F.col("_v") == 0).alias("zero_count"),
+            F.round(F.min("_v"), 6).alias("min"),
             F.round(F.max("p50"), 6).alias("p50"),
             F.round(F.max("p95"), 6).alias("p95"),
             F.round(F.max("p99"), 6).alias("p99"),
-            F.round(F.max("value"), 6).alias("max"),
-            F.count_if(outside).alias("iqr_outlier_count"),
+            F.round(F.max("_v"), 6).alias("max"),
+            rows(outside).alias("iqr_outlier_count"),
         )
         .select(*keys, F.lit(True).alias("available"), F.col("missing_pct"), "negative_count", "zero_count", "min",
                 "p50", "p95", "p99", "max", "iqr_outlier_count")

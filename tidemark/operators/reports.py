@@ -97,7 +97,7 @@ def median_profile(master: DataFrame, values: Sequence[str] = ("skill_h", "phi_h
 def _medians(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(v).alias("_m"), F.col(v).cast("double").alias("_x")) for v in values])
     long = df.select(*by, F.inline(cells))
-    med = exact_quantiles(long, [*by, "_m"], "_x", {"_q": 0.5}, splits=16)
+    med = exact_quantiles(long, [*by, "_m"], "_x", {"_q": 0.5})
     keys = df.select(*by).distinct()
     wide = med.groupBy(*by).agg(*[F.max(F.when(F.col("_m") == v, F.col("_q"))).alias(f"median_{v}") for v in values])
     return keys.join(wide, list(by), "left")
