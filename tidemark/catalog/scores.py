@@ -144,6 +144,20 @@ def daily_skill(spark, d):
     return rounded(metrics.attach_skill(m, own_skill="zero"))
 
 
+def _supplier_skills(spark, d):
+    feats = backtest.prepare(tables.supplier_panel(spark, d), tables.DAILY, DAILY)
+    return metrics.attach_skill(metrics.cell_metrics(stage(backtest.baseline_ledger(feats, DAILY), "ledger")))
+
+
+def supplier_skill(spark, d):
+    """As many series as suppliers, so that the ledger grows with the table."""
+    return rounded(_supplier_skills(spark, d))
+
+
+def supplier_hstar(spark, d):
+    return metrics.hstar_summary(_supplier_skills(spark, d), 7)
+
+
 def loss_by_kind(spark, d):
     led = baseline_ledger(spark, d)
     return rounded(led.groupBy("series", "model").agg(
@@ -254,6 +268,9 @@ def delta_summary(spark, d):
 
 _SCORED = (*HOURLY_LEDGER, METRICS, SKILL)
 _HSTAR = (*_SCORED, hstar_sql(24))
+_SUPPLIERS = (DAILY_LEDGER[0].replace("l_returnflag || l_linestatus", "CAST(l_suppkey AS VARCHAR)"), *DAILY_LEDGER[1:])
+_SKILL_COLS = "series, condition, model, horizon, n_eval, " + ", ".join(f"{r(c)} AS {c}" for c in (
+    "mae", "rmse", "mae_persistence", "rmse_persistence", "skill_mae_vs_persistence", "skill_rmse_vs_persistence"))
 _CELLS = "series, condition, model, horizon, n_eval"
 _LED = f"series, origin, forecast_timestamp, horizon, condition, model, {r('y_true')} AS y_true, {r('y_pred')} AS y_pred"
 FIDELITY = """fid AS (
@@ -337,6 +354,8 @@ FROM m JOIN pos t ON t.series = m.series AND t.pos BETWEEN m.origin_pos + 1 AND
     "pooled_skill": (pooled_skill, sql(*HOURLY_LEDGER, "m AS (SELECT condition, model, horizon, count(y_true - y_pred) AS n_eval, avg(abs(y_true - y_pred)) AS mae, sqrt(avg((y_true - y_pred) ** 2)) AS rmse FROM ledger GROUP BY ALL)",
         "b AS (SELECT horizon, mae AS mb, rmse AS rb FROM m WHERE model = 'persistence')",
         select=f"SELECT condition, model, horizon, n_eval, {r('mae')} AS mae, {r('rmse')} AS rmse, {r('mb')} AS mae_persistence, {r('rb')} AS rmse_persistence, CASE WHEN model <> 'persistence' THEN {r('1 - mae / mb')} END AS skill_mae_vs_persistence, CASE WHEN model <> 'persistence' THEN {r('1 - rmse / rb')} END AS skill_rmse_vs_persistence FROM m JOIN b USING (horizon)")),
+    "supplier_skill": (supplier_skill, sql(*_SUPPLIERS, METRICS, SKILL, select=f"SELECT {_SKILL_COLS} FROM skills")),
+    "supplier_hstar": (supplier_hstar, sql(*_SUPPLIERS, METRICS, SKILL, hstar_sql(7), select="SELECT series, condition, model, H, H_relax AS H_star_relax, H_strict_max_run AS H_star_strict FROM hstar")),
     "daily_skill": (daily_skill, sql(*DAILY_LEDGER, METRICS, "b AS (SELECT series, horizon, mae AS mb, rmse AS rb FROM metrics WHERE model = 'persistence')",
         select=f"SELECT {_CELLS}, {r('mae')} AS mae, {r('rmse')} AS rmse, {r('mb')} AS mae_persistence, {r('rb')} AS rmse_persistence, CASE WHEN mb > 0 THEN {r('1 - mae / mb')} END AS skill_mae_vs_persistence, CASE WHEN rb > 0 THEN {r('1 - rmse / rb')} END AS skill_rmse_vs_persistence FROM metrics JOIN b USING (series, horizon)")),
     "loss_by_kind": (loss_by_kind, sql(*HOURLY_LEDGER, select=f"SELECT series, model, {r('avg((y_true - y_pred) ** 2)')} AS squared, {r('avg(abs(y_true - y_pred))')} AS absolute FROM ledger GROUP BY ALL")),
