@@ -90,10 +90,21 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, documents: int, size: int = VOCABULARY, in_memory: int = IN_MEMORY) -> Vocabulary:
-    """From counts of all training words; at most ``in_memory`` of them come to the driver."""
+    """From counts of all training words; at most ``in_memory`` of them come to the driver.
+
+    Words are taken by whole levels of frequency (sixteenths of a power of two), from the top as long as they fit.
+    """
+    level = F.floor(F.log2("n") * 16)
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(in_memory).collect()
-    return Vocabulary([r[0] for r in top], [r[1] for r in top], tokens, documents, distinct, size)
+    lowest, held = None, 0
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > in_memory:
+            break
+        lowest = row["level"]
+    found = [] if lowest is None else counts.filter(level >= lowest).select("word", "n").collect()
+    top = sorted(found, key=lambda r: (-r["n"], r["word"]))
+    return Vocabulary([r["word"] for r in top], [r["n"] for r in top], tokens, documents, distinct, size)
 
 
 # --- learning --------------------------------------------------------------------------------------------------
