@@ -194,9 +194,12 @@ def two_source_consistency(first: DataFrame, second: DataFrame, p: str = "p_raw"
 AVAILABILITY_CLASSES = ("A", "B", "C", "D", "E", "F")
 
 
-def availability_violations(contract: DataFrame, predictors: Sequence[str]) -> DataFrame:
-    """Predictors without a valid availability class. ``contract``: predictor, availability."""
-    wanted = contract.sparkSession.createDataFrame([(p,) for p in predictors], "predictor string")
+def availability_violations(contract: DataFrame, predictors: DataFrame | Sequence[str]) -> DataFrame:
+    """Predictors without a valid availability class. ``contract``: predictor, availability; ``predictors``: names, or a table of them."""
+    if isinstance(predictors, DataFrame):
+        wanted = predictors.select("predictor").distinct()
+    else:
+        wanted = contract.sparkSession.createDataFrame([(p,) for p in predictors], "predictor string")
     return wanted.join(contract, "predictor", "left").filter(
         F.col("availability").isNull() | ~F.col("availability").isin(list(AVAILABILITY_CLASSES))
     )
