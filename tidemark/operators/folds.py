@@ -8,7 +8,6 @@ index ``k`` of the first origin that sees them; statistics of every fold are the
 from __future__ import annotations
 
 import bisect
-import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -80,8 +79,8 @@ def fold_medians(
     Medians are not summable, so the wanted order statistics are located by running counts over value
     ranges: each level cuts the ranges that still hold a wanted rank into ``splits`` parts and the border
     values themselves. A rank that falls on a border is answered there, so a value shared by many rows never
-    has to be walked; the rest ends in ranges of about n/splits^levels rows, which are. ``levels`` is chosen
-    from the longest series when it is not given.
+    has to be walked. Levels go on until no open range holds more than ``WALK_ROWS`` rows, which are then walked;
+    ``levels`` sets their number instead.
     """
     columns = list(columns)
     # ``path`` numbers the value range; it starts as the column number, so all columns go through together.
@@ -89,9 +88,6 @@ def fold_medians(
                       for i, c in enumerate(columns)])
     values = rows.select("series", F.col("k").cast("long").alias("k"), F.inline(cells)).filter("v IS NOT NULL")
     values = stage(values, "fold-values")  # read at every level
-    if levels is None:
-        longest = values.groupBy("series", "path").count().agg(F.max("count")).first()[0] or 1  # one number
-        levels = max(1, math.ceil(math.log(max(longest / WALK_ROWS, 1.0), splits)))
     folds = origins.select("series", F.col("origin_seq").cast("long").alias("k")).distinct()
     wanted = folds.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(columns) - 1).cast("long"))))
     seen = _running_count(
@@ -104,7 +100,7 @@ def fold_medians(
         .groupBy("series", "path", "k", "column", "rank").agg(F.count("*").alias("times"))
     )
     answers = []
-    for _ in range(levels):
+    while len(answers) < levels if levels is not None else _largest(values) > WALK_ROWS:
         asks = stage(asks, "asked-ranks")
         values, asks, answered = _narrow(values, asks, splits, origin_block)
         answers.append(answered)
@@ -124,6 +120,10 @@ def fold_medians(
     return folds.select("series", F.col("k").alias("origin_seq")).join(medians, ["series", "origin_seq"], "left")
 
 
+def _largest(values: DataFrame) -> int:
+    return values.groupBy("series", "path").count().agg(F.max("count")).first()[0] or 0  # one number
+
+
 def _running_count(counts: DataFrame, asked: DataFrame, keys: list[str], origin_block: int) -> DataFrame:
     """Running sum of ``c`` over ``k`` within ``keys``, reported at the asked (keys, k) only."""
     merged = (
