@@ -6,6 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from tidemark.llm.common import text_slices
+
+#: Characters of text whose subwords are held at once.
+AT_ONCE = 1 << 19
 SPACE = 32
 #: Letters stay, every other ASCII byte becomes a space; bytes of longer characters stay.
 PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else SPACE for b in range(256))
@@ -62,7 +66,12 @@ def buckets(texts: list[str], settings: Settings) -> list[tuple[np.ndarray, np.n
 
 
 def means(texts: list[str], table: np.ndarray, settings: Settings) -> np.ndarray:
-    """Mean of the table rows over the subwords of each text; ``table`` has a row per bucket."""
+    """Mean of the table rows over the subwords of each text; ``table`` has a row per bucket. Some texts are worked on at a time."""
+    parts = [_means(group, table, settings) for _, group in text_slices(texts, AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros((0, table.shape[1]))
+
+
+def _means(texts: list[str], table: np.ndarray, settings: Settings) -> np.ndarray:
     total, count = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts))
     columns = [np.ascontiguousarray(table[:, c]) for c in range(table.shape[1])]
     last = np.empty(len(table), np.int64) if settings.distinct else None
@@ -91,7 +100,11 @@ def _distinct(hashed: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[
 
 
 def bags(texts: list[str], settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(distinct buckets, share of each)`` of each text."""
+    """``(distinct buckets, share of each)`` of each text, in small types."""
+    return [bag for _, group in text_slices(texts, AT_ONCE) for bag in _bags(group, settings)]
+
+
+def _bags(texts: list[str], settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     found = buckets(texts, settings)
     out = []
     for i in range(len(texts)):
@@ -99,7 +112,7 @@ def bags(texts: list[str], settings: Settings) -> list[tuple[np.ndarray, np.ndar
         if settings.distinct:  # once for each length, as when scoring
             mine = [np.unique(h) for h in mine]
         kinds, counts = np.unique(np.concatenate(mine), return_counts=True)
-        out.append((kinds, (counts / max(1, counts.sum() + settings.prior)).astype(np.float32)))
+        out.append((kinds.astype(np.int32), (counts / max(1, counts.sum() + settings.prior)).astype(np.float32)))
     return out
 
 
