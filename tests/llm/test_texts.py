@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -378,3 +379,51 @@ def test_lanes_and_windows_do_not_change_scores():
     streams = [np.r_[rng.integers(0, 29, n), 29] for n in (0, 3, 500, 40, 7, 7)]
     alone = [gru.score(params, borders, [x], 29)[0] for x in streams]
     assert gru.score(params, borders, streams, 29, lanes=3, window=5) == pytest.approx(alone, rel=1e-4)
+
+
+def test_every_token_of_a_long_text_is_taught():
+    known = lm.Vocabulary(["a", "b", "c"], [900, 600, 300], 1800, 4, 3, 3)
+
+    class Held:
+        value = known
+
+    import pyarrow as pa
+
+    texts = [" ".join("abc"[i % 3] for i in range(1000)), "a b", None, "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["__text"])
+    rows = [r for b in lm._cut(Held, 3, 128, 16)([batch]) for r in b.to_pylist()]
+    tokens = [np.frombuffer(r["tokens"], np.int32) for r in rows]
+    assert sum(len(t) - r["lead"] for t, r in zip(tokens, rows, strict=True)) == 1000 + 2 + 0 + 2 + len(texts)
+    assert all(len(t) <= 128 + 16 and r["lead"] <= 16 for t, r in zip(tokens, rows, strict=True))
+    whole = np.concatenate([t[r["lead"] :] for t, r in zip(tokens, rows, strict=True)][:8])
+    assert whole.tolist() == known.tokens_of(known.ranks([w.encode() for w in texts[0].split()])).tolist()
+    assert len({(r["round"], r["place"]) for r in rows}) == len(rows)  # equal texts are dealt apart
+
+
+def test_training_counts_every_token_but_leads():
+    s = gru.Settings(hidden=4, classes=2, lanes=4, window=3)
+    seen = []
+
+    def watched(*a):
+        seen.append(int(a[6].sum()))
+        return kept(*a)
+
+    kept, gru.window_gradients = gru.window_gradients, watched
+    try:
+        params, borders = gru.start(np.array([5, 3, 2, 1]), s)
+        gru.train(params, borders, [np.array([0, 1, 3] * 5), np.array([1, 2, 3, 0, 3])], 3, s, 1, leads=[0, 2])
+    finally:
+        gru.window_gradients = kept
+    assert sum(seen) == 15 + 3
+
+
+def test_learns_what_stands_late_in_long_texts(spark):
+    rng = random.Random(4)
+    early = lambda: [rng.choice("pqrs") for _ in range(300)]
+    late = "u v w x".split() * 300
+    rows = [(i, " ".join([*early(), *late])) for i in range(12)]
+    texts = spark.createDataFrame(rows, "__id long, __text string")
+    vocab = lm.vocabulary(lm.word_counts(texts.select("__text")), len(rows))
+    params, borders = pickle.loads(lm.fit(texts, vocab, rows=0))
+    stream = vocab.tokens_of(vocab.ranks([w.encode() for w in late[:200]]))
+    assert gru.score(params, borders, [stream], vocab.end)[0] / 200 > -1.0  # the shares of these words alone give -1.6

@@ -109,10 +109,12 @@ def _outputs(params: Params, borders: np.ndarray, states: np.ndarray, targets: n
     return logp, back
 
 
-def window_gradients(params: Params, borders: np.ndarray, tokens: np.ndarray, targets: np.ndarray, fresh: np.ndarray, before: np.ndarray) -> tuple[float, Params, np.ndarray]:
+def window_gradients(
+    params: Params, borders: np.ndarray, tokens: np.ndarray, targets: np.ndarray, fresh: np.ndarray, before: np.ndarray, counted: np.ndarray | None = None
+) -> tuple[float, Params, np.ndarray]:
     """Loss (negative log-likelihood), gradients and last state of one window of ``(steps, lanes)``; ``fresh`` marks starts of documents.
 
-    ``gates`` gradients come as one row per step and lane, since most tokens do not occur in a window.
+    Targets that are not ``counted`` only move the state. ``gates`` gradients come as one row per step and lane, since most tokens do not occur in a window.
     """
     steps, lanes = tokens.shape
     h = before.shape[1]
@@ -125,7 +127,9 @@ def window_gradients(params: Params, borders: np.ndarray, tokens: np.ndarray, ta
         kept.append((held, *rest))
         states[t] = state
     grads = {k: np.zeros_like(v) for k, v in params.items() if k != "gates"}
-    logp, back = _outputs(params, borders, states.reshape(-1, h), targets.reshape(-1), grads)
+    mine = slice(None) if counted is None or counted.all() else np.flatnonzero(counted.reshape(-1))
+    back = np.zeros((steps * lanes, h), np.float32)
+    logp, back[mine] = _outputs(params, borders, states.reshape(-1, h)[mine], targets.reshape(-1)[mine], grads)
     back = back.reshape(steps, lanes, h)
     rows = np.empty((steps, lanes, 3 * h), np.float32)
     later = np.zeros((lanes, h), np.float32)
@@ -144,35 +148,52 @@ def window_gradients(params: Params, borders: np.ndarray, tokens: np.ndarray, ta
     return -float(logp.sum()), grads, state
 
 
-def train(params: Params, borders: np.ndarray, streams: list[np.ndarray], end: int, s: Settings, epochs: int = 1, rate: float | None = None) -> float:
+def squares_of(params: Params) -> Params:
+    """Sums of squared gradients before the first step."""
+    return {k: np.full_like(v, 1e-6) for k, v in params.items()}
+
+
+def train(
+    params: Params, borders: np.ndarray, streams: list[np.ndarray], end: int, s: Settings, epochs: int = 1, rate: float | None = None,
+    leads: list[int] | None = None, squares: Params | None = None,
+) -> float:
     """Train in place over documents of token ids (each closed by ``end``); returns the mean loss of the last epoch.
 
     Documents are laid end to end and dealt to lanes; the state runs on from window to window and starts anew with a document.
+    Every token is learned, but for the first ``leads`` of a stream (the tokens before a later piece of a document), which only
+    bring the state there. With ``squares`` the sums of earlier calls go on, in place, and the rate is not lowered besides.
     """
-    streams = [x for x in streams if len(x)]
+    leads = leads or [0] * len(streams)
+    streams, leads = [x for x in streams if len(x)], [n for x, n in zip(streams, leads, strict=True) if len(x)]
     if not streams:
         return 0.0
     rng = np.random.default_rng(s.seed)
-    squares = {k: np.full_like(v, 1e-6) for k, v in params.items()}
+    lowered = squares is None
+    squares = squares_of(params) if squares is None else squares
     rate, loss, count = s.rate if rate is None else rate, 0.0, 0
     total = epochs * sum(map(len, streams))
     done = 0
     for _ in range(epochs):
         order = rng.permutation(len(streams))
-        targets = np.concatenate([streams[i] for i in order])
-        fresh = np.zeros(len(targets), bool)
-        fresh[np.cumsum([0] + [len(streams[i]) for i in order[:-1]])] = True
-        tokens = np.r_[end, targets[:-1]]
-        lanes = min(s.lanes, max(1, len(targets) // s.window))
-        length = len(targets) // lanes
-        tokens, targets, fresh = (x[: lanes * length].reshape(lanes, length).T for x in (tokens, targets, fresh))
+        size = sum(map(len, streams))
+        lanes = min(s.lanes, max(1, size // s.window))
+        length = -(-size // lanes)
+        targets = np.full(lanes * length, end, np.int32)
+        targets[:size] = np.concatenate([streams[i] for i in order])
+        fresh, counted = np.zeros(lanes * length, bool), np.arange(lanes * length) < size
+        starts = np.cumsum([0] + [len(streams[i]) for i in order[:-1]])
+        fresh[starts] = True
+        for i, at in zip(order, starts, strict=True):
+            counted[at : at + leads[i]] = False
+        tokens = np.r_[end, targets[:-1]].astype(np.int32)
+        tokens, targets, fresh, counted = (x.reshape(lanes, length).T for x in (tokens, targets, fresh, counted))
         state, loss, count = np.zeros((lanes, s.hidden), np.float32), 0.0, 0
         for at in range(0, length, s.window):
             part = slice(at, at + s.window)
-            part_loss, grads, state = window_gradients(params, borders, tokens[part], targets[part], fresh[part], state)
-            loss, count = loss + part_loss, count + tokens[part].size
+            part_loss, grads, state = window_gradients(params, borders, tokens[part], targets[part], fresh[part], state, counted[part])
+            loss, count = loss + part_loss, count + int(counted[part].sum())
             done += tokens[part].size
-            _update(params, squares, grads, tokens[part].reshape(-1), rate * max(0.1, 1 - done / total))
+            _update(params, squares, grads, tokens[part].reshape(-1), rate * max(0.1, 1 - done / total) if lowered else rate)
     return loss / max(1, count)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import gru, sampling
-from tidemark.llm.common import ready, words_of
+from tidemark.llm.common import SLICE_BYTES, ready, words_of
 from tidemark.session import stage
 
 #: Words the model predicts one by one; all others are one token, spelled by their counts.
 VOCABULARY = 2048
 #: Most frequent words whose counts every task holds; counts of all others are joined.
 IN_MEMORY = 131_072
-#: About so many training documents fit the first model; from it every training document then teaches one window.
+#: About so many training documents fit the first model; from it all training texts are then learned whole.
 SAMPLE_ROWS, SAMPLE_EPOCHS = 1200, 2
-#: Tokens of the window that each training document teaches, and the rate of that pass.
-WINDOW_TOKENS, WINDOW_RATE = 32, 0.03
+#: Tokens of a piece of a long text, and tokens before a later piece that bring the state there.
+CHUNK, LEAD = 4096, 64
+#: Rounds in which the pieces are learned, with models averaged after each; lanes read side by side, the rate, and tokens laid out at once.
+ROUNDS, ROUND_LANES, ROUND_RATE, ROUND_TOKENS = 4, 256, 0.06, 1_000_000
 #: Different words counted in a task before they are handed on, and tokens scored side by side.
 HELD_WORDS, HELD_TOKENS = 300_000, 3_000_000
 #: Pieces of the parameters when models are averaged.
@@ -110,11 +113,50 @@ def vocabulary(counts: DataFrame, documents: int, size: int = VOCABULARY, in_mem
 # --- learning --------------------------------------------------------------------------------------------------
 
 
-def fit(train: DataFrame, vocab: Vocabulary, rows: int = SAMPLE_ROWS, settings: gru.Settings = SETTINGS) -> bytes:
-    """Learn from ``train`` (``__id, __text``): first a model of a bounded sample, then one pass over all documents.
+PIECES_OF_TEXT = "round int, place long, lead int, tokens binary"
 
-    In that pass every task starts from the first model and learns one window of each of its documents (drawn by the text); the
-    mean of all tasks' models, weighted by tokens, is the result. Models are averaged in pieces by Spark.
+
+def _cut(vocab, rounds: int, chunk: int, lead: int):
+    """All tokens of every text (with its end) in pieces of ``chunk``, each after up to ``lead`` tokens before it, dealt to rounds by a hash."""
+    names, kinds = ["round", "place", "lead", "tokens"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocab.value
+        rows: list[tuple] = []
+        number = size = 0
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            rows.clear()
+            return batch
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                ids = known.tokens_of(known.ranks(words_of(text)))
+                number += 1  # copies of a text go to different places
+                which = f"{number}/{xxhash.xxh64_hexdigest((text or '').encode('utf-8', 'surrogatepass'))}"
+                for at in range(0, len(ids), chunk):
+                    before = min(at, lead)
+                    place = xxhash.xxh64_intdigest(f"{which}/{at}")
+                    rows.append((place % rounds, place >> 16, before, ids[at - before : at + chunk].tobytes()))
+                    size += len(rows[-1][3])
+                    if size >= SLICE_BYTES:
+                        yield out()
+                        size = 0
+        if rows:
+            yield out()
+
+    return run
+
+
+def fit(
+    train: DataFrame, vocab: Vocabulary, rows: int = SAMPLE_ROWS, settings: gru.Settings = SETTINGS, rounds: int = ROUNDS, chunk: int = CHUNK, lead: int = LEAD,
+) -> bytes:
+    """Learn from ``train`` (``__id, __text``): first a model of a bounded sample, then all tokens of all documents.
+
+    Texts are cut into pieces of bounded size, which are shuffled evenly over tasks and dealt to ``rounds``. In a round every task
+    starts from the model so far and learns all its pieces, by windows that carry the state on; the mean of all tasks' models,
+    weighted by tokens, is the model of the next round. Models are averaged in pieces by Spark.
     """
     spark = ready(train.sparkSession)
     held = spark.sparkContext.broadcast(vocab)
@@ -127,27 +169,50 @@ def fit(train: DataFrame, vocab: Vocabulary, rows: int = SAMPLE_ROWS, settings:
         return pickle.dumps((params, borders))
 
     share = min(1.0, rows / max(1, vocab.documents))
-    first = sampling.fit(train.filter(sampling.draw(F.col("__id")) < share), "__id", learn)
-    start = spark.sparkContext.broadcast(first)
+    model = sampling.fit(train.filter(sampling.draw(F.col("__id")) < share), "__id", learn)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = train.select("__text").mapInArrow(_cut(held, rounds, chunk, lead), PIECES_OF_TEXT)
+    pieces = stage(cut.repartition(parts, "round", "place"), "pieces")
+    for number in range(rounds):
+        model = _round(pieces.filter(F.col("round") == number).select("lead", "tokens"), model, vocab.end, settings)
+    return model
+
+
+def _round(pieces: DataFrame, model: bytes, end: int, settings: gru.Settings) -> bytes:
+    """The mean of the models that tasks learn from ``pieces``, each from ``model`` on; ``model`` where there are none."""
+    start = pieces.sparkSession.sparkContext.broadcast(model)
+    wide = replace(settings, lanes=ROUND_LANES)
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
         params, borders = pickle.loads(start.value)
-        streams = []
+        squares = gru.squares_of(params)
+        streams, leads = [], []
+        size = learned = 0
+
+        def now() -> int:
+            gru.train(params, borders, streams, end, wide, 1, ROUND_RATE, leads, squares)
+            own = sum(map(len, streams)) - sum(leads)
+            streams.clear()
+            leads.clear()
+            return own
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                at = xxhash.xxh64_intdigest(text or "") % max(1, len(words) + 1 - WINDOW_TOKENS)
-                part = words[at : at + WINDOW_TOKENS]
-                streams.append(known.tokens_of(known.ranks(part), end=at + WINDOW_TOKENS >= len(words)))
+            for before, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                streams.append(np.frombuffer(tokens, np.int32))
+                leads.append(before)
+                size += len(streams[-1])
+                if size >= ROUND_TOKENS:
+                    learned += now()
+                    size = 0
         if streams:
-            gru.train(params, borders, streams, known.end, settings, 1, WINDOW_RATE)
+            learned += now()
+        if learned:
             flat = np.concatenate([params[k].reshape(-1) for k in sorted(params)]).astype(np.float64)
-            weight = float(sum(map(len, streams)))
-            pieces = np.array_split(flat * weight, PIECES)
+            weight = float(learned)
+            parts = np.array_split(flat * weight, PIECES)
             salt = xxhash.xxh64_intdigest(flat.tobytes()) % SALTS
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(PIECES), pa.int32()), pa.array([salt] * PIECES, pa.int32()), pa.array([weight] * PIECES), pa.array([p.astype(np.float32).tobytes() for p in pieces], pa.binary())],
+                [pa.array(range(PIECES), pa.int32()), pa.array([salt] * PIECES, pa.int32()), pa.array([weight] * PIECES), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())],
                 names=["piece", "salt", "weight", "part"],
             )
 
@@ -158,11 +223,11 @@ def fit(train: DataFrame, vocab: Vocabulary, rows: int = SAMPLE_ROWS, settings:
             [("piece", pa.int32()), ("salt", pa.int32()), ("weight", pa.float64()), ("part", pa.binary())]))
 
     kind = "piece int, salt int, weight double, part binary"
-    taught = train.select("__text").mapInArrow(teach, kind)
+    taught = pieces.mapInArrow(teach, kind)
     found = taught.groupBy("piece", "salt").applyInArrow(add, kind).groupBy("piece").applyInArrow(add, kind).orderBy("piece").collect()
     if not found:
-        return first
-    params, borders = pickle.loads(first)
+        return model
+    params, borders = pickle.loads(model)
     flat = np.concatenate([np.frombuffer(r["part"], np.float32) for r in found]) / found[0]["weight"]
     at = 0
     for k in sorted(params):
