@@ -392,7 +392,7 @@ def test_every_token_of_a_long_text_is_taught():
     texts = [" ".join("abc"[i % 3] for i in range(1000)), "a b", None, "a b"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["__text"])
     rows = [r for b in lm._cut(Held, 3, 128, 16)([batch]) for r in b.to_pylist()]
-    tokens = [np.frombuffer(r["tokens"], np.int32) for r in rows]
+    tokens = [np.frombuffer(r["tokens"], np.uint16) for r in rows]
     assert sum(len(t) - r["lead"] for t, r in zip(tokens, rows, strict=True)) == 1000 + 2 + 0 + 2 + len(texts)
     assert all(len(t) <= 128 + 16 and r["lead"] <= 16 for t, r in zip(tokens, rows, strict=True))
     whole = np.concatenate([t[r["lead"] :] for t, r in zip(tokens, rows, strict=True)][:8])
@@ -427,3 +427,10 @@ def test_learns_what_stands_late_in_long_texts(spark):
     params, borders = pickle.loads(lm.fit(texts, vocab, rows=0))
     stream = vocab.tokens_of(vocab.ranks([w.encode() for w in late[:200]]))
     assert gru.score(params, borders, [stream], vocab.end)[0] / 200 > -1.0  # the shares of these words alone give -1.6
+
+
+def test_vocabulary_grows_with_the_counted_words(spark):
+    counts = spark.range(6000).selectExpr("concat('w', id) AS word", "CASE WHEN id < 5000 THEN 16 + id % 7 ELSE 3 END AS n")
+    assert lm.vocabulary(counts, 1).size == 5000
+    assert lm.vocabulary(counts.limit(100), 1).size == 100
+    assert lm.vocabulary(counts, 1, in_memory=2).size <= 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -18,20 +19,23 @@ from tidemark.llm import gru, sampling
 from tidemark.llm.common import SLICE_BYTES, ready, words_of
 from tidemark.session import stage
 
-#: Words the model predicts one by one; all others are one token, spelled by their counts.
-VOCABULARY = 2048
+#: The model predicts words of so many occurrences in the training texts one by one, and so many of the most frequent at least and at
+#: most; all others are one token, spelled by their counts.
+LEAST_COUNT, VOCABULARY, LARGEST_VOCABULARY = 16, 2048, 32_768
 #: Most frequent words whose counts every task holds; counts of all others are joined.
 IN_MEMORY = 131_072
 #: About so many training documents fit the first model; from it all training texts are then learned whole.
 SAMPLE_ROWS, SAMPLE_EPOCHS = 1200, 2
 #: Tokens of a piece of a long text, and tokens before a later piece that bring the state there.
 CHUNK, LEAD = 4096, 64
-#: Rounds in which the pieces are learned, with models averaged after each; lanes read side by side, the rate, and tokens laid out at once.
-ROUNDS, ROUND_LANES, ROUND_RATE, ROUND_TOKENS = 4, 256, 0.06, 1_000_000
+#: Rounds in which the pieces are learned, with models averaged after each; lanes read side by side at most, the rate, and tokens laid out at once.
+ROUNDS, ROUND_LANES, ROUND_RATE, ROUND_TOKENS = 2, 512, 0.06, 1_000_000
+#: Windows that tokens laid out at once make at least, if need be by fewer lanes.
+STEPS = 64
 #: Different words counted in a task before they are handed on, and tokens scored side by side.
-HELD_WORDS, HELD_TOKENS = 300_000, 3_000_000
-#: Pieces of the parameters when models are averaged.
-PIECES, SALTS = 32, 16
+HELD_WORDS, HELD_TOKENS = 300_000, 1_000_000
+#: Pieces of the parameters when models are averaged, and models whose piece one task adds up at first.
+PIECES, ADDED = 32, 64
 SETTINGS = gru.Settings()
 
 
@@ -92,9 +96,10 @@ class Vocabulary:
         return np.r_[out, np.int32(self.end)].astype(np.int32) if end else out.astype(np.int32)
 
 
-def vocabulary(counts: DataFrame, documents: int, size: int = VOCABULARY, in_memory: int = IN_MEMORY) -> Vocabulary:
+def vocabulary(counts: DataFrame, documents: int, size: int | None = None, in_memory: int = IN_MEMORY) -> Vocabulary:
     """From counts of all training words; at most ``in_memory`` of them come to the driver.
 
+    Unless told, the number of words that the model predicts grows with those counted ``LEAST_COUNT`` times, up to ``LARGEST_VOCABULARY``.
     Words are taken by whole levels of frequency (sixteenths of a power of two), from the top as long as they fit.
     """
     level = F.floor(F.log2("n") * 16)
@@ -107,12 +112,18 @@ def vocabulary(counts: DataFrame, documents: int, size: int = VOCABULARY, in_mem
         lowest = row["level"]
     found = [] if lowest is None else counts.filter(level >= lowest).select("word", "n").collect()
     top = sorted(found, key=lambda r: (-r["n"], r["word"]))
+    if size is None:
+        size = min(LARGEST_VOCABULARY, max(VOCABULARY, sum(r["n"] >= LEAST_COUNT for r in top)))
     return Vocabulary([r["word"] for r in top], [r["n"] for r in top], tokens, documents, distinct, size)
 
 
 # --- learning --------------------------------------------------------------------------------------------------
 
 
+def _kind(tokens: int) -> type:
+    return np.uint16 if tokens <= 1 << 16 else np.int32
+
+
 PIECES_OF_TEXT = "round int, place long, lead int, tokens binary"
 
 
@@ -122,6 +133,7 @@ def _cut(vocab, rounds: int, chunk: int, lead: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocab.value
+        kind = _kind(len(known.sorted_counts))
         rows: list[tuple] = []
         number = size = 0
 
@@ -132,7 +144,7 @@ def _cut(vocab, rounds: int, chunk: int, lead: int):
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = known.tokens_of(known.ranks(words_of(text)))
+                ids = known.tokens_of(known.ranks(words_of(text))).astype(kind)
                 number += 1  # copies of a text go to different places
                 which = f"{number}/{xxhash.xxh64_hexdigest((text or '').encode('utf-8', 'surrogatepass'))}"
                 for at in range(0, len(ids), chunk):
@@ -160,6 +172,7 @@ def fit(
     """
     spark = ready(train.sparkSession)
     held = spark.sparkContext.broadcast(vocab)
+    settings = replace(settings, classes=max(settings.classes, math.isqrt(len(vocab.sorted_counts))))
 
     def learn(found: list[tuple]) -> bytes:
         known = held.value
@@ -174,14 +187,15 @@ def fit(
     cut = train.select("__text").mapInArrow(_cut(held, rounds, chunk, lead), PIECES_OF_TEXT)
     pieces = stage(cut.repartition(parts, "round", "place"), "pieces")
     for number in range(rounds):
-        model = _round(pieces.filter(F.col("round") == number).select("lead", "tokens"), model, vocab.end, settings)
+        model = _round(pieces.filter(F.col("round") == number).select("lead", "tokens"), model, vocab, settings)
     return model
 
 
-def _round(pieces: DataFrame, model: bytes, end: int, settings: gru.Settings) -> bytes:
+def _round(pieces: DataFrame, model: bytes, vocab: Vocabulary, settings: gru.Settings) -> bytes:
     """The mean of the models that tasks learn from ``pieces``, each from ``model`` on; ``model`` where there are none."""
     start = pieces.sparkSession.sparkContext.broadcast(model)
-    wide = replace(settings, lanes=ROUND_LANES)
+    end, kind_of = vocab.end, _kind(len(vocab.sorted_counts))
+    salts = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")) // ADDED)
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, borders = pickle.loads(start.value)
@@ -190,6 +204,8 @@ def _round(pieces: DataFrame, model: bytes, end: int, settings: gru.Settings) ->
         size = learned = 0
 
         def now() -> int:
+            few = sum(map(len, streams)) // (STEPS * settings.window)
+            wide = replace(settings, lanes=min(ROUND_LANES, max(8, few)))
             gru.train(params, borders, streams, end, wide, 1, ROUND_RATE, leads, squares)
             own = sum(map(len, streams)) - sum(leads)
             streams.clear()
@@ -198,7 +214,7 @@ def _round(pieces: DataFrame, model: bytes, end: int, settings: gru.Settings) ->
 
         for batch in batches:
             for before, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                streams.append(np.frombuffer(tokens, np.int32))
+                streams.append(np.frombuffer(tokens, kind_of).astype(np.int32))
                 leads.append(before)
                 size += len(streams[-1])
                 if size >= ROUND_TOKENS:
@@ -207,12 +223,12 @@ def _round(pieces: DataFrame, model: bytes, end: int, settings: gru.Settings) ->
         if streams:
             learned += now()
         if learned:
-            flat = np.concatenate([params[k].reshape(-1) for k in sorted(params)]).astype(np.float64)
+            flat = np.concatenate([params[k].reshape(-1) for k in sorted(params)])
             weight = float(learned)
-            parts = np.array_split(flat * weight, PIECES)
-            salt = xxhash.xxh64_intdigest(flat.tobytes()) % SALTS
+            parts = np.array_split(flat, PIECES)
+            salt = xxhash.xxh64_intdigest(flat.tobytes()) % salts
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(PIECES), pa.int32()), pa.array([salt] * PIECES, pa.int32()), pa.array([weight] * PIECES), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())],
+                [pa.array(range(PIECES), pa.int32()), pa.array([salt] * PIECES, pa.int32()), pa.array([weight] * PIECES), pa.array([(p.astype(np.float64) * weight).astype(np.float32).tobytes() for p in parts], pa.binary())],
                 names=["piece", "salt", "weight", "part"],
             )
 
@@ -290,7 +306,7 @@ def _score_documents(vocab, model):
     return run
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int = VOCABULARY, in_memory: int = IN_MEMORY) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int | None = None, in_memory: int = IN_MEMORY) -> DataFrame:
     """One row per document: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``train`` tells the documents to learn from. Counts are over all words of all of those. ``base_score`` is the log10 probability
