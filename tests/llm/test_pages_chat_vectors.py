@@ -64,6 +64,25 @@ def test_odd_pages(spark):
     assert pages.extract(pages_of(spark, [])).count() == 0
 
 
+def test_words_of_classes_do_not_decide_over_the_main_text(spark):
+    rows, wanted = [], {}
+    for i, title, paragraphs in site(10):
+        inner = f"<h2 id='how-to-search'>{title}</h2><section id='online-advertising'><p>{paragraphs[0]}</p></section><p>{paragraphs[1]}</p><p class='notice'>{paragraphs[1]} {paragraphs[0]}</p>"
+        for at, html in enumerate((
+            f"<body><div class='right-sidebar'><article>{inner}</article></div><div class='ad'>buy {i}</div></body>",
+            f"<body><div class='with-sidebar page-sidebar'><div class='text'>{inner}</div><div class='sidebar'>other {i}</div></div></body>",
+        )):
+            for host in (f"{at}.example.com", f"{at}-{i}.example.com"):  # with a template, and alone on its host
+                rows.append((len(rows), f"https://{host}/", html))
+                wanted[len(rows) - 1] = "\n".join([title, *paragraphs[:2], f"{paragraphs[1]} {paragraphs[0]}"]) if at == 0 or "-" not in host else None
+    found = {r.page_id: r.text for r in pages.extract(pages_of(spark, rows)).collect()}
+    for i, text in wanted.items():
+        if text is not None:
+            assert found[i] == text
+        else:  # no article and no template: the wrapper stays for what it holds, small elements named so go
+            assert found[i] and "other" not in found[i]
+
+
 def test_classes_nest_and_find_the_slot():
     rows = {}
     for n in range(20):

@@ -24,6 +24,7 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset("head nav footer aside form button select option input dialog menu search svg math object embed canvas audio video map".split())
+#: Words of classes, ids and roles that speak against an element, where it lies outside the main slot and holds less than half of the text.
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login "
     "masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related recommended respond reply replies "
@@ -64,19 +65,25 @@ def _path(parent: int, key: str) -> int:
 
 @lru_cache(maxsize=1 << 15)
 def _element(name: str, attributes: str) -> tuple[str, bool]:
-    """``(key, dropped)``: name with classes and ids (numbers made alike), and whether these mark it as no main text."""
+    """``(key, dropped)``: name with classes and ids (numbers made alike), and whether the element itself shows no main text."""
     words, hidden = [], False
     for kind, *values in _attribute.findall(attributes):
         if kind.lower() == "hidden":
             hidden = True
         else:
             words += [w.lower() for w in "".join(values).split()]
-    marked = False
+    return name + "".join(f".{_digits.sub('0', w)}" for w in words), hidden or name in DROPPED
+
+
+@lru_cache(maxsize=1 << 15)
+def _marked(key: str) -> bool:
+    """Whether words of the element's key speak against it."""
+    name, *words = key.split(".")
     for word in words if name not in ("html", "body", *CONTENT) else ():
         parts = re.split(r"[^a-z]+", word)
         if word in DROPPED_WORDS or parts[0] not in WITHOUT and (parts[0] in DROPPED_WORDS or parts[-1] in DROPPED_WORDS):
-            marked = True
-    return name + "".join(f".{_digits.sub('0', w)}" for w in words), hidden or marked or name in DROPPED
+            return True
+    return False
 
 
 class Page:
@@ -223,8 +230,9 @@ def deduce(tokens: list[dict], distinct: int) -> tuple[int, int | None, list[int
     Tokens with the same occurrence vector form an equivalence class. A class is valid if it occurs on enough pages and its
     elements lie nested: all below one element of the class around it. The class of the page itself is the outermost; the others
     nest in the class of the nearest element around them. The slots between their elements hold the text; the main slot is an
-    article or main element of the template, else the deepest element that holds most of the text below the one around it. Texts
-    of the outermost class are part of the template.
+    article or main element of the template, else the deepest element that holds most of the text below the one around it. Elements
+    that words speak against are not that slot, nor is what is below them, if they hold less than half of the host's text. Texts of
+    the outermost class are part of the template.
     """
     elements = {t["token"]: t for t in tokens if t["key"] is not None}
     if ROOT not in elements or distinct < LEAST_PAGES:
@@ -245,17 +253,24 @@ def deduce(tokens: list[dict], distinct: int) -> tuple[int, int | None, list[int
         return found
 
     valid = {v for v, members in classes.items() if v == outermost or v[1] >= LEAST_PAGES and len(around(members)) == 1}
-    mass, children = {t: e["chars"] for t, e in elements.items()}, {}
+    children: dict[int, list[int]] = {}
     for token, e in elements.items():
         if token != ROOT:
             children.setdefault(e["parent"], []).append(token)
-            up, steps = e["parent"], 0
-            while e["chars"] and up in elements and steps < 512:
-                mass[up] += e["chars"]
-                if up == ROOT:
-                    break
-                up, steps = elements[up]["parent"], steps + 1
-    skeleton = [t for t, e in elements.items() if vector(e) in valid and 2 * e["pages"] > elements[ROOT]["pages"] and mass[t]]
+
+    mass, chains = dict.fromkeys(elements, 0), {}
+    for token, e in elements.items():
+        up, chain = token, []
+        while up in elements and len(chain) < 512:
+            chain.append(up)
+            if up == ROOT:
+                break
+            up = elements[up]["parent"]
+        chains[token] = chain
+        for t in chain if e["chars"] else ():
+            mass[t] += e["chars"]
+    against = {t for t, e in elements.items() if _marked(e["key"]) and 2 * mass[t] < mass[ROOT]}
+    skeleton = [t for t, e in elements.items() if vector(e) in valid and 2 * e["pages"] > elements[ROOT]["pages"] and mass[t] and not against.intersection(chains[t])]
     main = None
     for name in CONTENT:
         named = [t for t in skeleton if elements[t]["key"].split(".")[0] == name]
@@ -316,7 +331,11 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(source: str, main: int | None, fixed: set[int]) -> str:
-    """Blocks of the main slot, one per line. A page without that slot falls back on its article, its main element, or all it shows."""
+    """Blocks of the main slot, one per line; no words of classes or ids count inside it.
+
+    A page without that slot falls back on its article, its main element, or all it shows but for elements that words speak against and
+    that hold less than half of that.
+    """
     page = Page(source)
     shown = [b for b in page.blocks if not b[4]]
     if main is None or not any(t[0] == main for t in page.tokens):
@@ -325,7 +344,13 @@ def main_text(source: str, main: int | None, fixed: set[int]) -> str:
             found = {t for t, n in names.items() if n == name}
             if found:
                 return "\n".join(text for _, around, text, _, _ in shown if found.intersection(around))
-        return "\n".join(text for _, _, text, _, _ in shown)
+        total, marked = sum(len(b[2]) for b in shown), {t for t, _, key in page.tokens if _marked(key)}
+        held = dict.fromkeys(marked, 0)
+        for _, around, text, _, _ in shown:
+            for t in marked.intersection(around):
+                held[t] += len(text)
+        against = {t for t, n in held.items() if 2 * n < total}
+        return "\n".join(text for _, around, text, _, _ in shown if not against.intersection(around))
     return "\n".join(text for path, around, text, _, _ in shown if main in around and not (fixed and _text_token(path, text) in fixed))
 
 
