@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat, langid, lm, mixing, pages, simhash, topk, toxicity, vectors
+from tidemark.llm import byte_bpe, chat, clusters, langid, lm, mixing, pages, simhash, topk, toxicity, vectors
 from tidemark.llm.common import fold, table
 
 
@@ -71,6 +71,11 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Centroids of all embeddings by bit planes; see :func:`clusters.cluster`."""
+    return clusters.cluster(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_pages": (op1_pages, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -82,4 +87,5 @@ QUERIES = {
     "op8_chat": (op8_chat, None),
     "op9_simhash": (op9_simhash, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_clusters": (op11_clusters, clusters.SQL),
 }
