@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat, clusters, langid, lm, mixing, pages, simhash, topk, toxicity, vectors
+from tidemark.llm import byte_bpe, chat, clusters, langid, lm, mixing, pages, repair, simhash, topk, toxicity, vectors
 from tidemark.llm.common import fold, table
 
 
@@ -76,6 +76,11 @@ def op11_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.cluster(table(spark, folder, "embeddings"))
 
 
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, damaged as the contract asks, with their cheapest repair; see :func:`repair.repair`."""
+    return repair.repair(repair.damage(table(spark, folder, "conversations")))
+
+
 QUERIES = {
     "op1_pages": (op1_pages, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -88,4 +93,5 @@ QUERIES = {
     "op9_simhash": (op9_simhash, None),
     "op10_toxicity": (op10_toxicity, None),
     "op11_clusters": (op11_clusters, clusters.SQL),
+    "op12_repair": (op12_repair, repair.SQL),
 }
