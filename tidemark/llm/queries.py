@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat, clusters, langid, lm, mixing, pages, repair, simhash, topk, toxicity, vectors
+from tidemark.llm import byte_bpe, chat, clusters, langid, lm, mixing, pages, repair, simhash, topk, toxicity, urls, vectors
 from tidemark.llm.common import fold, table
 
 
@@ -81,6 +81,11 @@ def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, folder, "conversations")))
 
 
+def op13_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts for the addresses of all pages; see :func:`urls.judge`."""
+    return urls.judge(table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_pages": (op1_pages, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -94,4 +99,5 @@ QUERIES = {
     "op10_toxicity": (op10_toxicity, None),
     "op11_clusters": (op11_clusters, clusters.SQL),
     "op12_repair": (op12_repair, repair.SQL),
+    "op13_urls": (op13_urls, urls.SQL),
 }
