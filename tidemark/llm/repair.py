@@ -155,24 +155,25 @@ ORDER = ("conv_id", "turn", "role", "digest")
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """Distinct rows with their number ``n`` and the first fault of the first copy; later copies are duplicates, or blank like the first.
+    """Distinct rows with their number ``n`` and their ``fault`` as far as one row shows it: blank, truncated or none.
 
-    Equal rows of a turn are summed before they are shuffled. A row is a duplicate if its role and text are there at an earlier turn.
+    Equal rows of a turn are summed before they are shuffled.
     """
-    cols = ["conv_id", "turn", "role", "text"]
-    summed = stage(rows.groupBy(*cols).agg(F.sum("copies").alias("n")).withColumn("digest", F.md5("text")), "turns")
+    fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), BLANK).when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), TRUNCATED).otherwise(SOUND)
+    summed = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("n"))
+    return stage(summed.withColumns({"digest": F.md5("text"), "fault": fault}), "turns")
+
+
+def _with_duplicates(rows: DataFrame) -> DataFrame:
+    """Rows that are there, without their texts, and the first fault of the first copy: a duplicate has its role and text at an earlier turn."""
     place = F.struct(F.col("turn").isNotNull(), F.col("turn"))
-    first = summed.filter("n > 0").groupBy("conv_id", "role", "digest").agg(F.min(place).alias("first")).select(
+    slim = rows.filter("n > 0").select("conv_id", "turn", "role", "digest", "n", "fault")
+    first = slim.groupBy("conv_id", "role", "digest").agg(F.min(place).alias("first")).select(
         F.col("conv_id").alias("_c"), F.col("role").alias("_r"), F.col("digest").alias("_d"), "first"
     )
-    joined = summed.join(first, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("role") == F.col("_r")) & (F.col("digest") == F.col("_d")), "left")
-    fault = (
-        F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), BLANK)
-        .when(place > F.col("first"), DUPLICATE)
-        .when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), TRUNCATED)
-        .otherwise(SOUND)
-    )
-    return stage(joined.select(*cols, "digest", "n", fault.alias("fault")), "judged")
+    joined = slim.join(first, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("role") == F.col("_r")) & (F.col("digest") == F.col("_d")))
+    fault = F.when((F.col("fault") != BLANK) & (place > F.col("first")), DUPLICATE).otherwise(F.col("fault"))
+    return joined.withColumn("fault", fault).drop("_c", "_r", "_d", "first")
 
 
 PIECES = (
@@ -295,7 +296,7 @@ def plan(rows: DataFrame, costs: Costs = Costs(), piece: int = PIECE) -> DataFra
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c).asc_nulls_first() for c in ORDER]
     initial = F.substring("role", 1, 1)
-    dealt = rows.filter("n > 0").select("conv_id", "turn", initial.alias("initial"), "fault", "n", "role", "digest")
+    dealt = _with_duplicates(rows).select("conv_id", "turn", initial.alias("initial"), "fault", "n", "role", "digest")
     dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("conv_id", "turn", "initial", "fault", "n")
     kind = rows.schema["conv_id"].dataType.simpleString()
     told = PIECES.format(kind=kind)
@@ -333,10 +334,9 @@ def edited(audit: str, rows: Iterator[tuple[str, str, int]]) -> Iterator[tuple[s
 
 
 def _streamed(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """Plan and rows of each conversation in one sorted partition: first the plan, then the rows in order, those that must go without text."""
-    gone = F.col("fault").isin(BLANK, DUPLICATE)
+    """Plan and rows of each conversation in one sorted partition: first the plan, then the rows in order."""
     texts = rows.select(
-        "conv_id", F.lit(1).alias("tag"), "turn", "role", "digest", F.when(~gone, F.col("text")).alias("text"), "n",
+        "conv_id", F.lit(1).alias("tag"), "turn", "role", "digest", F.when(F.col("fault") != BLANK, F.col("text")).alias("text"), "n",
         *[F.lit(None).cast(plans.schema[c].dataType).alias(c) for c in plans.columns[1:]],
     )
     heads = plans.select(
