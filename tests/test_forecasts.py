@@ -205,10 +205,31 @@ def test_cap_keeps_first_or_last(spark, panel):
     assert every(daily) == uncapped[-2:]
 
 
-def test_boosted_direct_runs_and_respects_folds(spark, panel):
-    rows = stage(backtest.prepare(to_spark(spark, panel), TINY, OPEN), "t")
-    out = forecasters.boosted_direct(rows, OPEN, "lags_meteo", refit_every=50, horizons=(1,), max_iter=2, max_depth=2)
-    assert out.filter("y_pred IS NOT NULL").count() == origins.origin_rows(rows, OPEN).count()
+def boosted(spark, pdf, spec=OPEN):
+    rows = stage(backtest.prepare(to_spark(spark, pdf), TINY, spec), "t")
+    arms = backtest.boosted_arms(refit_every=13, trees=2, depth=2, partitions=1)
+    led = backtest.backtest(rows, spec, [arms], models=("persistence",)).collect()
+    return {(r.series, r.origin, r.horizon, r.condition): (r.y_true, r.y_pred) for r in led if r.model == "boosted_direct"}
+
+
+def test_boosted_ledger_does_not_see_later_rows(spark, panel):
+    """Refits at the first and the 13th origin, every horizon and both arms, with the truth; a later value changes no forecast of an earlier refit."""
+    small = BacktestSpec(**{**SPEC.__dict__, "horizon": 2})
+    small = type("OpenSpec", (BacktestSpec,), {"min_frame_rows": property(lambda self: 30)})(**small.__dict__)
+    found = boosted(spark, panel, small)
+    rows = stage(backtest.prepare(to_spark(spark, panel), TINY, small), "t")
+    at = origins.origin_rows(rows, small).select("series", "ts", "origin_seq").collect()
+    assert {k[0:2] + k[2:] for k in found} == {(r.series, r.ts, h, arm) for r in at for h in (1, 2) for arm in ("lags_only", "lags_meteo")}
+    assert all(v[1] is not None for v in found.values()) and len({v[1] for v in found.values()}) > 10
+    late = max(r.ts for r in at if r.origin_seq < 13)
+    changed = panel.copy()
+    changed.loc[changed.ts > late, ["y", "x"]] *= -3
+    again = boosted(spark, changed, small)
+    early = {(r.series, r.ts) for r in at if r.origin_seq < 13}
+    same = [k for k in found if k[:2] in early]
+    assert same and all(near(found[k][1], again[k][1]) for k in same)
+    guarded = boosted(spark, panel, SPEC)  # too few rows
+    assert guarded and all(v[1] is None for v in guarded.values())
 
 
 def test_running_moments_blocks(spark):

@@ -105,34 +105,34 @@ def latest_sequence(spark, d):
         "series", "ts", "step", F.element_at("v", 1).alias("y"), F.element_at("v", 2).alias("n_events")))
 
 
-def fold_index(spark, d):
-    rows = staged_features(spark, d, HOURLY_SHORT)
-    f = forecasters.train_frame(rows, HOURLY_SHORT)
+def fold_index(spark, d, spec=HOURLY_SHORT):
+    rows = staged_features(spark, d, spec)
+    f = forecasters.train_frame(rows, spec)
     return f.groupBy("series", "k").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def fold_medians(spark, d):
-    rows = staged_features(spark, d, HOURLY_SHORT)
-    frame = forecasters.train_frame(rows, HOURLY_SHORT)
-    return rounded(folds.fold_medians(frame, origins.origin_rows(rows, HOURLY_SHORT), ["n_events", "k_mean"]))
+def fold_medians(spark, d, spec=HOURLY_SHORT):
+    rows = staged_features(spark, d, spec)
+    frame = forecasters.train_frame(rows, spec)
+    return rounded(folds.fold_medians(frame, origins.origin_rows(rows, spec), ["n_events", "k_mean"]))
 
 
-def fold_scaler(spark, d):
-    rows = staged_features(spark, d, HOURLY_SHORT)
-    frame = forecasters.train_frame(rows, HOURLY_SHORT)
-    return rounded(folds.running_moments(frame, origins.origin_rows(rows, HOURLY_SHORT), ["y_lag_1", "k_mean"]))
+def fold_scaler(spark, d, spec=HOURLY_SHORT):
+    rows = staged_features(spark, d, spec)
+    frame = forecasters.train_frame(rows, spec)
+    return rounded(folds.running_moments(frame, origins.origin_rows(rows, spec), ["y_lag_1", "k_mean"]))
 
 
-def scaled_origins(spark, d):
-    rows = staged_features(spark, d, HOURLY_SHORT)
-    frame, at = forecasters.train_frame(rows, HOURLY_SHORT), origins.origin_rows(rows, HOURLY_SHORT)
+def scaled_origins(spark, d, spec=HOURLY_SHORT):
+    rows = staged_features(spark, d, spec)
+    frame, at = forecasters.train_frame(rows, spec), origins.origin_rows(rows, spec)
     z = folds.apply_scaler(at.select("series", "origin_seq", "ts", "y_lag_1", "k_mean"), folds.running_moments(frame, at, ["y_lag_1", "k_mean"]), ["y_lag_1", "k_mean"])
     return rounded(z.select("series", F.col("ts").alias("origin"), "y_lag_1_z", "k_mean_z"))
 
 
-def imputed_features(spark, d):
-    rows = staged_features(spark, d, HOURLY_SHORT)
-    frame, at = forecasters.train_frame(rows, HOURLY_SHORT), origins.origin_rows(rows, HOURLY_SHORT)
+def imputed_features(spark, d, spec=HOURLY_SHORT):
+    rows = staged_features(spark, d, spec)
+    frame, at = forecasters.train_frame(rows, spec), origins.origin_rows(rows, spec)
     med = folds.fold_medians(frame, at, ["n_events", "k_mean"])
     both = at.join(med, ["series", "origin_seq"])
     return rounded(both.select("series", F.col("ts").alias("origin"), *[feat.impute_with(F.col(c), F.col(f"{c}_median")).alias(c) for c in ("n_events", "k_mean")]))
@@ -152,13 +152,32 @@ def _lags(source: str) -> str:
     return ", ".join(f"lag({source}, {k}) OVER (PARTITION BY series ORDER BY ts) AS y_lag_{k}" for k in LAGS)
 
 
-_SHORT = (OBS, PANEL, POS, origins_sql(HOURLY_SHORT))
-FRAME = """feats AS (
-  SELECT *, lag(y_filled, 1) OVER w AS y_lag_1, lag(y_filled, 2) OVER w AS y_lag_2, lag(y_filled, 3) OVER w AS y_lag_3,
-         count(y) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS nf
+def _frame(spec) -> str:
+    lags = ", ".join(f"lag(y_filled, {k}) OVER w AS y_lag_{k}" for k in spec.lags)
+    return f"""feats AS (
+  SELECT *, {lags}, count(y) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {spec.horizon} FOLLOWING) AS nf
   FROM pos WINDOW w AS (PARTITION BY series ORDER BY ts)),
-frame AS (SELECT * FROM feats WHERE y_lag_1 IS NOT NULL AND y_lag_2 IS NOT NULL AND y_lag_3 IS NOT NULL AND nf = 6)"""
-PREFIX = "JOIN frame f ON f.series = o.series AND f.pos <= o.origin_pos - 7"
+frame AS (SELECT * FROM feats WHERE {" AND ".join(f"y_lag_{k} IS NOT NULL" for k in spec.lags)} AND nf = {spec.horizon})"""
+
+
+def _fold_queries(spec, suffix: str) -> dict:
+    """Fold statistics under one spec, each with the join of origins and history written out."""
+    base = (OBS, PANEL, POS, origins_sql(spec), _frame(spec))
+    prefix = f"JOIN frame f ON f.series = o.series AND f.pos <= o.origin_pos - {spec.horizon + 1}"
+    run = lambda fn: lambda spark, d: fn(spark, d, spec)
+    found = {
+        "fold_index": (run(fold_index), sql(*base, f"first AS (SELECT f.series, f.pos, f.ts, min(o.origin_seq) AS k FROM origins o {prefix} GROUP BY ALL)",
+            select="SELECT series, k, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM first GROUP BY series, k")),
+        "fold_medians": (run(fold_medians), sql(*base, select=f"SELECT o.series, o.origin_seq, {r('median(f.n_events)')} AS n_events_median, {r('median(f.k_mean)')} AS k_mean_median FROM origins o LEFT {prefix} GROUP BY ALL")),
+        "fold_scaler": (run(fold_scaler), sql(*base, select="SELECT o.series, o.origin_seq, " + ", ".join(
+            f"count(f.{c}) AS {c}_n, {r(f'avg(f.{c})')} AS {c}_mean, {r(f'stddev_pop(f.{c})')} AS {c}_sd" for c in ("y_lag_1", "k_mean")) + f" FROM origins o LEFT {prefix} GROUP BY ALL")),
+        "scaled_origins": (run(scaled_origins), sql(*base, f"st AS (SELECT o.series, o.origin, o.origin_pos, avg(f.y_lag_1) AS ma, stddev_pop(f.y_lag_1) AS sa, avg(f.k_mean) AS mb, stddev_pop(f.k_mean) AS sb FROM origins o LEFT {prefix} GROUP BY ALL)",
+            select=f"SELECT s.series, s.origin, {r('(x.y_lag_1 - ma) / sa')} AS y_lag_1_z, {r('(x.k_mean - mb) / sb')} AS k_mean_z FROM st s JOIN feats x ON x.series = s.series AND x.pos = s.origin_pos")),
+        "imputed_features": (run(imputed_features), sql(*base, f"st AS (SELECT o.series, o.origin, o.origin_pos, median(f.n_events) AS a, median(f.k_mean) AS b FROM origins o LEFT {prefix} GROUP BY ALL)",
+            select=f"SELECT s.series, s.origin, {r('coalesce(p.n_events, a, 0.0)')} AS n_events, {r('coalesce(p.k_mean, b, 0.0)')} AS k_mean FROM st s JOIN pos p ON p.series = s.series AND p.pos = s.origin_pos")),
+    }
+    return {name + suffix: pair for name, pair in found.items()}
+
 
 QUERIES = {
     "lags_ffill": (lags_ffill, sql(OBS, PANEL, POS, f"l AS (SELECT *, {_lags('y_filled')} FROM pos)", select=f"""SELECT series, ts, {r('y')} AS y, {r('y_filled')} AS y_filled, pos,
@@ -192,14 +211,7 @@ UNION ALL SELECT series, 'C3', 9, count(*) FILTER (WHERE ok AND n_events IS NOT
         select=f"SELECT series, ts, 12 AS n_steps, {r('oldest')} AS oldest, {r('sx')} AS sum_x, {r('sy')} AS sum_y FROM s WHERE nx = 12 AND ny = 3")),
     "latest_sequence": (latest_sequence, sql(OBS, PANEL, POS, select=f"""SELECT series, max(ts) OVER (PARTITION BY series) AS ts, CAST(row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS INTEGER) AS step,
 {r('y_filled')} AS y, {r('coalesce(n_events, 0.0)')} AS n_events FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC) AS b FROM pos) WHERE b <= 6""")),
-    "fold_index": (fold_index, sql(*_SHORT, FRAME, f"first AS (SELECT f.series, f.pos, f.ts, min(o.origin_seq) AS k FROM origins o {PREFIX} GROUP BY ALL)",
-        select="SELECT series, k, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM first GROUP BY series, k")),
-    "fold_medians": (fold_medians, sql(*_SHORT, FRAME, select=f"SELECT o.series, o.origin_seq, {r('median(f.n_events)')} AS n_events_median, {r('median(f.k_mean)')} AS k_mean_median FROM origins o LEFT {PREFIX} GROUP BY ALL")),
-    "fold_scaler": (fold_scaler, sql(*_SHORT, FRAME, select="SELECT o.series, o.origin_seq, " + ", ".join(
-        f"count(f.{c}) AS {c}_n, {r(f'avg(f.{c})')} AS {c}_mean, {r(f'stddev_pop(f.{c})')} AS {c}_sd" for c in ("y_lag_1", "k_mean")) + f" FROM origins o LEFT {PREFIX} GROUP BY ALL")),
-    "scaled_origins": (scaled_origins, sql(*_SHORT, FRAME, f"st AS (SELECT o.series, o.origin, o.origin_pos, avg(f.y_lag_1) AS ma, stddev_pop(f.y_lag_1) AS sa, avg(f.k_mean) AS mb, stddev_pop(f.k_mean) AS sb FROM origins o LEFT {PREFIX} GROUP BY ALL)",
-        select=f"SELECT s.series, s.origin, {r('(x.y_lag_1 - ma) / sa')} AS y_lag_1_z, {r('(x.k_mean - mb) / sb')} AS k_mean_z FROM st s JOIN feats x ON x.series = s.series AND x.pos = s.origin_pos")),
-    "imputed_features": (imputed_features, sql(*_SHORT, FRAME, f"st AS (SELECT o.series, o.origin, o.origin_pos, median(f.n_events) AS a, median(f.k_mean) AS b FROM origins o LEFT {PREFIX} GROUP BY ALL)",
-        select=f"SELECT s.series, s.origin, {r('coalesce(p.n_events, a, 0.0)')} AS n_events, {r('coalesce(p.k_mean, b, 0.0)')} AS k_mean FROM st s JOIN pos p ON p.series = s.series AND p.pos = s.origin_pos")),
+    **_fold_queries(HOURLY_SHORT, ""),
+    **_fold_queries(HOURLY, "_full"),
     "leakage_check": (leakage_check, sql(OBS, PANEL, POS, origins_sql(), select=f"SELECT CAST(0 AS BIGINT) AS violations, count(*) * {len(HOURLY.lags)} AS checked FROM origins")),
 }

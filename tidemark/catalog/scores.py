@@ -9,7 +9,7 @@ from tidemark.catalog.common import (
     features, hourly, hstar_sql, ledger_sql, origins_sql, r, rounded, sql, staged_features, staged_ledger, student_p_sql,
 )
 from tidemark.functions import scalars
-from tidemark.operators import baselines, forecasters, metrics, origins, quality, reports
+from tidemark.operators import arma, baselines, forecasters, hooks, metrics, origins, quality, reports
 from tidemark.plans import backtest, study
 from tidemark.session import stage
 from tidemark.sources import tables
@@ -105,12 +105,61 @@ def user_forecaster(spark, d):
     ).filter(arm("window_mean")))
 
 
+def prefix_mean(spark, d):
+    """A user's mergeable state over the whole prefix: its mean."""
+    names = [("reference", "prefix_mean")]
+    hook = hooks.RunningMean(HOURLY.horizon)
+    return rounded(_fitted(spark, d, HOURLY, [(names, lambda f, s: hooks.prefix_hook(f, s, hook))]).filter(arm("prefix_mean")))
+
+
+def _trend_ahead(origin, h):
+    return [origin["pos"] + h]
+
+
+def prefix_trend(spark, d):
+    """Online least squares of the target on the row number, over the whole prefix."""
+    names = [("reference", "prefix_trend")]
+    hook = hooks.OnlineLeastSquares(HOURLY.horizon, ["pos"], _trend_ahead)
+    return rounded(_fitted(spark, d, HOURLY, [(names, lambda f, s: hooks.prefix_hook(f, s, hook, chunk_rows=128))]).filter(arm("prefix_trend")))
+
+
+def late_panel(spark, d):
+    """The hourly panel with some series unknown until after the first origin, so that prefixes start with an unknown run."""
+    late = (F.length("series") % 2 == 1) & (F.col("ts") < F.lit("2024-01-16 06:00:00").cast("timestamp"))
+    return hourly(spark, d).withColumn("y", F.when(~late, F.col("y")))
+
+
+def _late_features(spark, d, recent):
+    return stage(backtest.prepare(late_panel(spark, d), tables.HOURLY, HOURLY, recent, slim=True), "features")
+
+
+def fold_imputation(spark, d):
+    """How the prefix of every origin is imputed: unknown rows at its start, their fill, and the sum of the imputed target."""
+    rows = _late_features(spark, d, 0)
+    return rounded(arma.fold_fills(rows, HOURLY))
+
+
+def arma_ledger(spark, d):
+    """(1, 0, 1) by two stages on the imputed prefix, small enough to be written out in SQL."""
+    names = [("reference", "arma_1_0_1")]
+    rows = _late_features(spark, d, arma.depth_needed((1,), (1,), (1, 2)))
+    led = backtest.backtest(rows, HOURLY, [(names, lambda f, s: arma.plain_arma(f, s, 1, 0, 1, first=2))], models=())
+    return rounded(led, 4)
+
+
+def seasonal_arma_ledger(spark, d):
+    recent = arma.depth_needed((1, 24, 25), (1, 24), (1, 2, 24, 25))
+    return rounded(_fitted(spark, d, HOURLY, [backtest.seasonal_arma_arm()], recent).filter(arm("seasonal_arma")))
+
+
+def ridge_ledger_full(spark, d):
+    """All 24 horizons and lags up to 48; folds with too few complete rows forecast nothing."""
+    return rounded(_fitted(spark, d, HOURLY, [backtest.ridge_arms()]).filter(arm("ridge_direct")))
+
+
 def boosted_ledger(spark, d):
-    """Boosted trees pooled over series; few small trees keep this an end-to-end check."""
-    spec = HOURLY_SHORT
-    rows = staged_features(spark, d, spec)
-    preds = forecasters.boosted_direct(rows, spec, "lags_meteo", refit_every=16, horizons=(1,), max_iter=5, max_depth=3)
-    return rounded(preds)
+    """300 trees of depth 4 for every horizon and both conditions, refitted every 16 origins, as ledger rows."""
+    return rounded(_fitted(spark, d, HOURLY_SHORT, [backtest.boosted_arms(refit_every=16, partitions=1)]).filter(arm("boosted_direct")))
 
 
 # --- scores ------------------------------------------------------------------------------------------------
@@ -325,6 +374,52 @@ JOIN pos t ON t.series = g.series AND t.pos = g.origin_pos + v.h""",
     )
 
 
+LATE_PANEL = PANEL.replace("panel AS (", "all_hours AS (") + """,
+panel AS (
+  SELECT series, ts, CASE WHEN NOT (length(series) % 2 = 1 AND ts < TIMESTAMP '2024-01-16 06:00') THEN y END AS y, n_events, k_mean FROM all_hours)"""
+_FILLS = """fills AS (
+  SELECT o.series, o.origin, o.origin_seq, o.origin_pos, count(p.pos) AS train_rows, count(p.pos) FILTER (WHERE p.y_filled IS NULL) AS "leading", median(p.y_filled) AS med,
+    sum(p.y_filled) AS known
+  FROM origins o JOIN pos p ON p.series = o.series AND p.pos <= o.origin_pos - 1 GROUP BY ALL)"""
+
+
+def _two_regressors(name: str, source: str, where: str, y: str, u: str, v: str) -> str:
+    """Least squares of ``y`` on ``u`` and ``v`` per origin; slopes are 0 where the columns do not vary."""
+    det = "(suu * svv - suv * suv)"
+    return f"""{name}_m AS (
+  SELECT series, origin, avg({y}) AS my, avg({u}) AS mu, avg({v}) AS mv, var_pop({u}) AS suu, var_pop({v}) AS svv, covar_pop({u}, {v}) AS suv,
+    covar_pop({u}, {y}) AS suy, covar_pop({v}, {y}) AS svy FROM {source} WHERE {where} GROUP BY ALL),
+{name}_b AS (
+  SELECT *, CASE WHEN {det} > 1e-9 THEN (suy * svv - svy * suv) / {det} ELSE 0 END AS bu, CASE WHEN {det} > 1e-9 THEN (svy * suu - suy * suv) / {det} ELSE 0 END AS bv FROM {name}_m),
+{name} AS (SELECT series, origin, my - bu * mu - bv * mv AS b0, bu, bv FROM {name}_b)"""
+
+
+_ARMA_SQL = sql(
+    OBS, LATE_PANEL, POS, origins_sql(), _FILLS,
+    "im AS (SELECT f.series, f.origin, p.pos, coalesce(p.y_filled, f.med, 0.0) AS y FROM fills f JOIN pos p ON p.series = f.series AND p.pos <= f.origin_pos - 1)",
+    "w AS (SELECT *, lag(y, 1) OVER o AS y1, lag(y, 2) OVER o AS y2, lag(y, 3) OVER o AS y3 FROM im WINDOW o AS (PARTITION BY series, origin ORDER BY pos))",
+    _two_regressors("one", "w", "y3 IS NOT NULL", "y", "y1", "y2"),
+    "e AS (SELECT w.*, y - b0 - bu * y1 - bv * y2 AS e, y1 - b0 - bu * y2 - bv * y3 AS e1 FROM w JOIN one USING (series, origin))",
+    _two_regressors("second", "e", "y3 IS NOT NULL", "y", "y1", "e1"),
+    """two AS (
+  SELECT series, origin, CASE WHEN abs(bu) > 1 THEN my - suy / suu * mu ELSE my - bu * mu - bv * mv END AS b0, CASE WHEN abs(bu) > 1 THEN suy / suu ELSE bu END AS bu,
+    CASE WHEN abs(bu) > 1 THEN 0 ELSE bv END AS bv FROM second_b)""",
+    "go AS (SELECT t.*, f.origin_pos, t.b0 + t.bu * e.y + t.bv * e.e AS f1 FROM two t JOIN fills f USING (series, origin) JOIN e ON e.series = t.series AND e.origin = t.origin AND e.pos = f.origin_pos - 1)",
+    select=f"""SELECT g.series, g.origin, p.ts AS forecast_timestamp, CAST(p.pos - g.origin_pos AS INTEGER) AS horizon, 'reference' AS condition, 'arma_1_0_1' AS model,
+{r('p.y', 4)} AS y_true, {r('b0 / (1 - bu) + pow(bu, p.pos - g.origin_pos - 1) * (f1 - b0 / (1 - bu))', 4)} AS y_pred
+FROM go g JOIN pos p ON p.series = g.series AND p.pos BETWEEN g.origin_pos + 1 AND g.origin_pos + 24""",
+)
+
+
+def _hook_sql(model: str, value: str) -> str:
+    return sql(
+        OBS, PANEL, POS, origins_sql(),
+        "m AS (SELECT o.series, o.origin, o.origin_pos, avg(f.y) AS mean, regr_slope(f.y, f.pos) AS b, regr_intercept(f.y, f.pos) AS a FROM origins o JOIN pos f ON f.series = o.series AND f.pos <= o.origin_pos - 1 GROUP BY ALL)",
+        select=f"""SELECT m.series, m.origin, t.ts AS forecast_timestamp, CAST(t.pos - m.origin_pos AS INTEGER) AS horizon, 'reference' AS condition, '{model}' AS model, {r('t.y')} AS y_true, {r(value)} AS y_pred
+FROM m JOIN pos t ON t.series = m.series AND t.pos BETWEEN m.origin_pos + 1 AND m.origin_pos + 24""",
+    )
+
+
 QUERIES = {
     "persistence_ledger": (persistence_ledger, sql(*HOURLY_LEDGER, select=f"SELECT {_LED} FROM ledger WHERE model = 'persistence'")),
     "seasonal_ledger": (seasonal_ledger, sql(*HOURLY_LEDGER, select=f"SELECT {_LED} FROM ledger WHERE model = 'seasonal_naive'")),
@@ -346,6 +441,13 @@ FROM m JOIN pos t ON t.series = m.series AND t.pos BETWEEN m.origin_pos + 1 AND
     "plain_ar_ledger": (plain_ar_ledger, None),
     "recursive_ledger": (recursive_ledger, None),
     "boosted_ledger": (boosted_ledger, None),
+    "prefix_mean": (prefix_mean, _hook_sql("prefix_mean", "m.mean")),
+    "prefix_trend": (prefix_trend, _hook_sql("prefix_trend", "m.a + m.b * t.pos")),
+    "fold_imputation": (fold_imputation, sql(OBS, LATE_PANEL, POS, origins_sql(), _FILLS, select=f"""SELECT series, origin_seq, train_rows, "leading",
+{r('CASE WHEN "leading" > 0 THEN coalesce(med, 0.0) END')} AS fill, {r('coalesce(known, 0.0) + "leading" * coalesce(med, 0.0)')} AS total FROM fills""")),
+    "arma_ledger": (arma_ledger, _ARMA_SQL),
+    "seasonal_arma_ledger": (seasonal_arma_ledger, None),
+    "ridge_ledger_full": (ridge_ledger_full, None),
     "cell_metrics": (cell_metrics, sql(*HOURLY_LEDGER, METRICS, select=f"SELECT {_CELLS}, {r('mae')} AS mae, {r('rmse')} AS rmse FROM metrics")),
     "skill_vs_persistence": (skill_vs_persistence, sql(*_SCORED, select=f"SELECT {_CELLS}, " + ", ".join(f"{r(c)} AS {c}" for c in (
         "mae", "rmse", "mae_persistence", "rmse_persistence", "skill_mae_vs_persistence", "skill_rmse_vs_persistence")) + " FROM skills")),

@@ -103,6 +103,8 @@ def feature_table(
         | arrays
     )
     out = blocks.owned(out).withColumns({"ahead_ts": F.col("_ahead.ts"), "ahead_y": F.col("_ahead.y")})
+    if recent:
+        out = out.withMetadata("recent", {"depth": recent})
     if back:
         out = out.withColumn("back_y", F.reverse(F.col("_back.y")))
     return add_calendar(out.drop("_ahead", "_back"))
@@ -178,7 +180,7 @@ def latest_sequence(positioned: DataFrame, features: Sequence[str], length: int)
     if length <= 0:
         raise ValueError("length must be positive")
     last = positioned.groupBy("series").agg(F.max("pos").alias("_last"))
-    tail = positioned.join(last, "series").filter(F.col("pos") > F.col("_last") - length)
+    tail = blocks.attach(positioned, last, "_last").filter(F.col("pos") > F.col("_last") - length)
     whole = F.when(_all_known(features), F.array(*[F.col(c).cast("double") for c in features]))
     windows = tail.groupBy("series").agg(
         F.max("ts").alias("ts"), F.sort_array(F.collect_list(F.struct("pos", whole.alias("v")))).alias("_rows")

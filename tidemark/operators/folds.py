@@ -7,7 +7,6 @@ index ``k`` of the first origin that sees them; statistics of every fold are the
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -22,7 +21,12 @@ from tidemark.operators.quantiles import range_number
 from tidemark.session import stage
 
 ORIGIN_BLOCK = 256
-WALK_ROWS = 100_000  # rows of one value range that a task may insert one by one
+WALK_ROWS = 20_000  # entries and asked ranks of one value range that a task goes through one by one
+
+
+def origin_block(stride: int, chunk_rows: int) -> int:
+    """Origins of one block, such that the rows between the first and the last of them make about one chunk."""
+    return max(1, chunk_rows // stride)
 
 
 def running_moments(
@@ -76,10 +80,12 @@ def fold_medians(
 ) -> DataFrame:
     """Exact median of each column over each fold's training rows: ``series, origin_seq, <column>_median``.
 
-    Medians are not summable, so the wanted order statistics are located by running counts over value
+    Equal values that enter at one fold become one entry with their number, so that a value carried forward over many rows costs one
+    entry per fold. Medians are not summable, so the wanted order statistics are located by running counts over value
     ranges: each level cuts the ranges that still hold a wanted rank into ``splits`` parts and the border
     values themselves. A rank that falls on a border is answered there, so a value shared by many rows never
-    has to be walked. Levels go on until no open range holds more than ``WALK_ROWS`` rows, which are then walked;
+    has to be walked. Levels go on until no open range holds more than ``WALK_ROWS`` entries and asked ranks together, so that both are
+    spread over tasks however many folds ask for the same range; what is left of a range is then counted in one place.
     ``levels`` sets their number instead.
     """
     columns = list(columns)
@@ -87,11 +93,11 @@ def fold_medians(
     cells = F.array(*[F.struct(F.lit(i).cast("long").alias("path"), F.col(c).cast("double").alias("v"))
                       for i, c in enumerate(columns)])
     values = rows.select("series", F.col("k").cast("long").alias("k"), F.inline(cells)).filter("v IS NOT NULL")
-    values = stage(values, "fold-values")  # read at every level
+    values = stage(values.groupBy("series", "path", "k", "v").agg(F.count("*").alias("c")), "fold-values")  # read at every level
     folds = origins.select("series", F.col("origin_seq").cast("long").alias("k")).distinct()
     wanted = folds.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(columns) - 1).cast("long"))))
     seen = _running_count(
-        values.groupBy("series", "path", "k").agg(F.count("*").alias("c")), wanted, ["series", "path"], origin_block
+        values.groupBy("series", "path", "k").agg(F.sum("c").alias("c")), wanted, ["series", "path"], origin_block
     )
     asks = (
         seen.filter("cum > 0")
@@ -100,8 +106,8 @@ def fold_medians(
         .groupBy("series", "path", "k", "column", "rank").agg(F.count("*").alias("times"))
     )
     answers = []
-    while len(answers) < levels if levels is not None else _largest(values) > WALK_ROWS:
-        asks = stage(asks, "asked-ranks")
+    asks = stage(asks, "asked-ranks")
+    while len(answers) < levels if levels is not None else _largest(values, asks) > WALK_ROWS:
         values, asks, answered = _narrow(values, asks, splits, origin_block)
         answers.append(answered)
     answers.append(
@@ -120,8 +126,11 @@ def fold_medians(
     return folds.select("series", F.col("k").alias("origin_seq")).join(medians, ["series", "origin_seq"], "left")
 
 
-def _largest(values: DataFrame) -> int:
-    return values.groupBy("series", "path").count().agg(F.max("count")).first()[0] or 0  # one number
+def _largest(values: DataFrame, asks: DataFrame) -> int:
+    """Most entries and asked ranks of one range; the driver gets this number."""
+    keys = ["series", "path"]
+    both = values.select(*keys).unionByName(asks.select(*keys))
+    return both.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
 def _running_count(counts: DataFrame, asked: DataFrame, keys: list[str], origin_block: int) -> DataFrame:
@@ -151,13 +160,13 @@ def _narrow(values: DataFrame, asks: DataFrame, splits: int, origin_block: int)
     on_edge = F.coalesce(F.get("borders", F.col("_c")) == F.col("v"), F.lit(False)).cast("int")
     ranged = stage(
         values.join(borders, keys).withColumn("_c", below).select(
-            *keys, "k", "v", (F.col("_c") * 2 + on_edge).alias("r")
+            *keys, "k", "v", "c", (F.col("_c") * 2 + on_edge).alias("r")
         ),
         "ranged-values",
     )
     # One row per fold index with a counter per range: all ranges share one running sum along k.
     names = [f"c{i}" for i in range(2 * splits)]
-    counted = ranged.groupBy(*keys, "k").agg(*[F.count_if(F.col("r") == i).alias(n) for i, n in enumerate(names)])
+    counted = ranged.groupBy(*keys, "k").agg(*[F.sum(F.when(F.col("r") == i, F.col("c")).otherwise(0)).alias(n) for i, n in enumerate(names)])
     asked = asks.select(*keys, "k").distinct().withColumn("asked", F.lit(True))
     merged = (
         counted.unionByName(asked, allowMissingColumns=True)
@@ -185,25 +194,38 @@ def _narrow(values: DataFrame, asks: DataFrame, splits: int, origin_block: int)
     )
     child = (F.col("path") * (2 * splits) + F.col("r")).alias("path")
     open_asks = placed.filter("r % 2 = 0").select("series", child, "k", "column", "rank", "times")
-    open_values = ranged.filter("r % 2 = 0").select("series", child, "k", "v").join(
+    open_values = ranged.filter("r % 2 = 0").select("series", child, "k", "v", "c").join(
         open_asks.select(*keys).distinct(), keys, "left_semi"
     )
     return open_values, open_asks, on_border
 
 
 def _walk(values: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-    """Insert the rows of one value range in order of ``k`` and read off the asked ranks on the way."""
+    """Count the entries of one value range in order of ``k`` and read off the asked ranks on the way.
+
+    Counts lie in a binary indexed tree over the sorted values, so an entry and a rank take a number of steps that grows with the
+    logarithm of the range.
+    """
     values = values.sort_values("k", kind="stable")
-    ks, vs = values["k"].to_numpy(), values["v"].to_numpy()
-    ordered: list[float] = []
-    taken = 0
-    out = []
+    sorted_values, place = np.unique(values["v"].to_numpy(), return_inverse=True)
+    ks, places, counts = values["k"].to_numpy(), (place + 1).tolist(), values["c"].tolist()
+    size = len(sorted_values)
+    tree, top = [0] * (size + 1), 1 << max(0, size.bit_length() - 1)
+    taken, out = 0, []
     for row in asks.sort_values("k", kind="stable").itertuples(index=False):
-        stop = np.searchsorted(ks, row.k, side="right")
-        for v in vs[taken:stop]:
-            bisect.insort(ordered, v)
+        stop = int(np.searchsorted(ks, row.k, side="right"))
+        for at, count in zip(places[taken:stop], counts[taken:stop], strict=True):
+            while at <= size:
+                tree[at] += count
+                at += at & -at
         taken = max(taken, stop)
-        out.append((row.series, row.k, row.column, ordered[row.rank], row.times))
+        at, left, step = 0, row.rank, top
+        while step:  # the last place whose running count does not exceed the rank
+            if at + step <= size and tree[at + step] <= left:
+                at += step
+                left -= tree[at]
+            step >>= 1
+        out.append((row.series, row.k, row.column, float(sorted_values[at]), row.times))
     return pd.DataFrame(out, columns=["series", "k", "column", "v", "times"])
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import blocks, folds
 from tidemark.operators.features import lag_names
-from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.origins import BacktestSpec, first_usable_origin, origin_rows, series_bounds
 
 ARMS = ("lags_only", "lags_meteo")
@@ -22,16 +21,20 @@ def with_fold(rows: DataFrame, features: DataFrame, spec: BacktestSpec, reach: i
 
     Origin positions come from the complete table ``features``, of which ``rows`` may be a part.
     """
-    bounds = series_bounds(features, spec).select("series", "first_pos")
-    last = origin_rows(features, spec).groupBy("series").agg(F.max("origin_seq").alias("_kmax"))
     return (
-        rows.join(bounds, "series").join(last, "series")
+        blocks.attach(rows, fold_facts(features, spec))
         .withColumn("k", first_usable_origin(spec, F.col("first_pos"), reach))
         .filter("k <= _kmax")
-        .drop("_kmax", "first_pos")
+        .drop("_kmax", "first_pos", "last_pos")
     )
 
 
+def fold_facts(features: DataFrame, spec: BacktestSpec) -> DataFrame:
+    """``series, first_pos, last_pos, _kmax`` of every series with an origin, by aggregates alone."""
+    last = origin_rows(features, spec).groupBy("series").agg(F.max("origin_seq").alias("_kmax"))
+    return series_bounds(features, spec).join(last, "series")
+
+
 def train_frame(features: DataFrame, spec: BacktestSpec) -> DataFrame:
     """Complete supervised rows for direct forecasts: all lags and all ``horizon`` future targets known."""
     rows = features.dropna(subset=lag_names(spec.lags)).filter(F.col("n_future") == spec.horizon)
@@ -44,7 +47,7 @@ def _numbers(columns: Sequence[str]) -> list[Column]:
 
 def direct_ridge(
     features: DataFrame, spec: BacktestSpec, ridge: float = 1.0, chunk_rows: int = 4096,
-    origin_block: int = folds.ORIGIN_BLOCK, median_levels: int | None = None,
+    origin_block: int | None = None, median_levels: int | None = None,
 ) -> DataFrame:
     """One linear model per horizon and fold, for both arms at once: ``series, origin_seq, preds[arm][horizon]``.
 
@@ -52,6 +55,7 @@ def direct_ridge(
     moments are kept over (value if known, known-or-not) pairs, from which the moments of the imputed columns
     follow exactly.
     """
+    origin_block = origin_block or folds.origin_block(spec.stride, chunk_rows)
     base = lag_names(spec.lags) + list(spec.calendar)
     cov = list(spec.covariates)
     nb, nc, width = 1 + len(base), len(cov), 1 + len(base) + 2 * len(cov)
@@ -107,7 +111,7 @@ def autoregression(
     max_train_rows: int | None = None,
     fewest_rows: int | None = None,
     chunk_rows: int = 4096,
-    origin_block: int = folds.ORIGIN_BLOCK,
+    origin_block: int | None = None,
 ) -> DataFrame:
     """Least-squares autoregression per fold, iterated forward: ``series, origin_seq, preds[0][horizon]``.
 
@@ -118,6 +122,7 @@ def autoregression(
     """
     lags = sorted(lags)
     depth = lags[-1] + difference
+    origin_block = origin_block or folds.origin_block(spec.stride, chunk_rows)
     e = spec.train_end_offset
     width = 1 + len(lags) + (2 if calendar else 0)
     level = _differences(F.col("recent"), difference, lags[-1] + 1)
@@ -186,21 +191,11 @@ def recent_depth(lags: Sequence[int], difference: int = 0) -> int:
     return max(lags) + difference + 2
 
 
-def seasonal_ar(features: DataFrame, spec: BacktestSpec, max_train_rows: int | None = None, **kw) -> DataFrame:
-    """Seasonal reference forecaster: autoregression on lags 1, s and s+1, over the whole prefix unless a window is asked for."""
-    return autoregression(features, spec, (1, spec.season, spec.season + 1), max_train_rows=max_train_rows, **kw)
-
-
 def plain_ar(features: DataFrame, spec: BacktestSpec, p: int, d: int = 0, **kw) -> DataFrame:
     """Non-seasonal autoregression of order p on the d-fold differenced target."""
     return autoregression(features, spec, tuple(range(1, p + 1)), difference=d, **kw)
 
 
-def recursive_learner(features: DataFrame, spec: BacktestSpec, lags: Sequence[int], **kw) -> DataFrame:
-    """Daily recursive learner: lags, day of week and month, predictions fed back as lags."""
-    return autoregression(features, spec, lags, calendar=True, fewest_rows=max(80, 4 * len(lags)), **kw)
-
-
 def windowed_hook(
     features: DataFrame,
     spec: BacktestSpec,
@@ -216,18 +211,16 @@ def windowed_hook(
     an expanding prefix of any length use the moment-based forecasters.
     """
     e, s = spec.train_end_offset, spec.stride
-    bounds = series_bounds(features, spec).select("series", "first_pos")
     at = origin_rows(features, spec)
-    last = at.groupBy("series").agg(F.max("origin_seq").alias("_kmax"))
     k_in = first_usable_origin(spec, F.col("first_pos"), 0)
     k_out = F.floor((F.col("pos") + max_train_rows - e - 1 - F.col("first_pos")) / F.lit(s))  # last fold that sees it
+    seen = features.select("series", "ts", "pos", "y", *[c for c in columns if c not in ("ts", "pos", "y")])
     rows = (
-        features.select("series", "ts", "pos", "y", *[c for c in columns if c not in ("ts", "pos", "y")])
-        .join(bounds, "series").join(last, "series")
+        blocks.attach(seen, fold_facts(features, spec))
         .withColumns({"_in": k_in, "_out": F.least(k_out, F.col("_kmax"))})
         .filter("_in <= _out")
         .withColumn("b", F.explode(F.sequence(F.floor(F.col("_in") / origin_block), F.floor(F.col("_out") / origin_block))))
-        .drop("first_pos", "_kmax", "_in", "_out")
+        .drop("first_pos", "last_pos", "_kmax", "_in", "_out")
     )
     asks = at.withColumn("b", F.floor(F.col("origin_seq") / origin_block)).select(
         "series", "b", "origin_seq", "ts", "pos", "y", *[c for c in columns if c not in ("ts", "pos", "y")]
@@ -249,65 +242,3 @@ def windowed_hook(
         run, "series string, origin_seq long, preds array<array<double>>"
     )
     return fits.withColumn("preds", F.transform("preds", lambda p: F.transform(p, lambda v: F.when(~F.isnan(v), v))))
-
-
-def boosted_direct(
-    features: DataFrame,
-    spec: BacktestSpec,
-    condition: str,
-    refit_every: int = 30,
-    horizons: Sequence[int] | None = None,
-    max_iter: int = 300,
-    max_depth: int = 4,
-    step_size: float = 0.05,
-    subsampling: float = 0.9,
-    feature_subset: str = "0.9",
-) -> DataFrame:
-    """Boosted trees per horizon, pooled over series and refitted every ``refit_every`` origins.
-
-    Fitting runs as Spark jobs over all series. Returns ``series, origin_seq, horizon, y_pred``; each model
-    is used only for origins at or after the fold it was trained for, so no later row takes part. The number of
-    fits is horizons × (origins / refit_every); choose the cadence to the budget.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    columns = lag_names(spec.lags) + list(spec.calendar)
-    if condition == "lags_meteo":
-        columns += list(spec.covariates)
-    # The pooled model trains on rows visible at its first fold; medians of that same prefix fill the gaps.
-    frame, at = train_frame(features, spec), origin_rows(features, spec)
-    assembler = VectorAssembler(inputCols=columns, outputCol="_x")
-    k_last = at.agg(F.max("origin_seq")).first()[0]
-    parts = []
-    for k0 in range(0, (k_last or 0) + 1, refit_every):
-        seen = frame.filter(F.col("k") <= k0)
-        fills = {}
-        if condition == "lags_meteo" and spec.covariates:
-            pooled = seen.select(F.lit(0).alias("g"), *spec.covariates)
-            for c in spec.covariates:
-                row = exact_quantiles(pooled, ["g"], c, {"m": 0.5}).first()  # one number per covariate
-                fills[c] = row["m"] if row is not None else 0.0
-        filled = lambda d: assembler.transform(d.fillna(fills) if fills else d)
-        enough = seen.limit(spec.min_frame_rows).count() >= spec.min_frame_rows
-        train = filled(seen)
-        ask = filled(
-            at.filter((F.col("origin_seq") >= k0) & (F.col("origin_seq") < k0 + refit_every)).dropna(
-                subset=lag_names(spec.lags)
-            )
-        )
-        for h in horizons or range(1, spec.horizon + 1):
-            if not enough:
-                parts.append(ask.select("series", "origin_seq", F.lit(h).alias("horizon"), F.lit(None).cast("double").alias("y_pred")))
-                continue
-            model = GBTRegressor(
-                featuresCol="_x", labelCol="_t", predictionCol="y_pred", maxIter=max_iter, maxDepth=max_depth,
-                stepSize=step_size, subsamplingRate=subsampling, featureSubsetStrategy=feature_subset, seed=42,
-            ).fit(train.select("_x", F.get("ahead_y", F.lit(h)).alias("_t")))
-            parts.append(
-                model.transform(ask).select("series", "origin_seq", F.lit(h).alias("horizon"), "y_pred")
-            )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import blocks
 from tidemark.operators.features import CALENDAR
 
 
@@ -76,8 +77,7 @@ def origin_rows_by_time(rows: DataFrame, spec: BacktestSpec) -> DataFrame:
     start, end = F.lit(spec.test_start).cast("timestamp"), F.lit(spec.test_end).cast("timestamp")
     step = F.col("pos") - F.col("first_pos")
     found = (
-        rows.filter((F.col("ts") >= start) & (F.col("ts") <= end))
-        .join(series_bounds(rows, spec), "series")
+        blocks.attach(rows.filter((F.col("ts") >= start) & (F.col("ts") <= end)), series_bounds(rows, spec))
         .filter((F.col("pos") + (spec.rows_needed - 1) <= F.col("last_pos")) & (step % spec.stride == 0))
         .withColumn("origin_seq", F.floor(step / spec.stride))
     )
@@ -90,8 +90,7 @@ def origin_rows_by_count(rows: DataFrame, spec: BacktestSpec) -> DataFrame:
     """Rows at positions min_train-1, then every ``stride``, with a known target; the last n are kept."""
     step = F.col("pos") - (spec.min_train_rows - 1)
     found = (
-        rows.filter((step >= 0) & (step % spec.stride == 0) & F.col("y").isNotNull())
-        .join(series_bounds(rows, spec), "series")
+        blocks.attach(rows.filter((step >= 0) & (step % spec.stride == 0) & F.col("y").isNotNull()), series_bounds(rows, spec))
         .filter(F.col("pos") + spec.horizon <= F.col("last_pos"))
         .withColumn("origin_seq", F.floor(step / spec.stride))
     )
@@ -131,9 +130,9 @@ def train_window(panel: DataFrame, origin: str, train_start: str | None = None)
 def test_window(positioned: DataFrame, origin: str, rows: int) -> DataFrame:
     """The origin row and those after it, ``rows`` in all, for every series that has this origin."""
     at = positioned.filter(F.col("ts") == F.lit(origin).cast("timestamp")).select("series", F.col("pos").alias("_p"))
-    return positioned.join(at, "series").filter(
-        (F.col("pos") >= F.col("_p")) & (F.col("pos") < F.col("_p") + rows)
-    ).drop("_p")
+    # The few positions asked for, so that only rows of the window meet.
+    wanted = at.select("series", F.explode(F.sequence(F.col("_p"), F.col("_p") + (rows - 1))).alias("pos"))
+    return positioned.join(wanted, ["series", "pos"], "left_semi")
 
 
 def first_usable_origin(spec: BacktestSpec, first_pos, horizon: int | None = None):

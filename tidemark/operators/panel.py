@@ -119,6 +119,7 @@ def impute_train_only(panel: DataFrame, spec: PanelSpec, train_end: str) -> Data
     train = panel.filter(F.col("ts") <= F.lit(train_end).cast("timestamp"))
     filled = with_positions(train, spec)
     medians = exact_quantiles(filled, ["series"], "y_filled", {"_median": 0.5})
-    return filled.join(medians, "series", "left").withColumn(
+    facts = filled.groupBy("series").agg(F.max("pos").alias("_last")).join(medians, "series", "left")
+    return blocks.attach(filled, facts, "_last").withColumn(
         "y_imputed", F.coalesce("y_filled", "_median", F.lit(0.0))
-    ).drop("_median")
+    ).drop("_median", "_last")

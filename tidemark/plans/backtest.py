@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import baselines, features, forecasters, origins
+from tidemark.operators import arma, baselines, blocks, boosting, features, forecasters, origins
 from tidemark.operators.panel import PanelSpec, with_positions
 from tidemark.operators.origins import BacktestSpec
 from tidemark.session import stage
@@ -37,10 +37,11 @@ def prepare(
     )
     step = F.col("pos") - F.col("_first")
     candidate = (step >= 0) & (step % spec.stride == 0)
+    facts = rows.groupBy("series").agg(first.alias("_first"), (F.count("*") - 1).alias("_last"))
     return (
-        table.join(rows.groupBy("series").agg(first.alias("_first")), "series")
+        blocks.attach(table, facts, "_last", size=panel_spec.block_rows)
         .withColumns({c: F.when(candidate, F.col(c)) for c in ("ahead_ts", "back_y")})
-        .drop("_first")
+        .drop("_first", "_last")
     )
 
 
@@ -109,8 +110,17 @@ def ridge_arms(**kw) -> tuple[list[tuple[str, str]], Forecaster]:
 
 
 def seasonal_ar_arm(**kw) -> tuple[list[tuple[str, str]], Forecaster]:
-    return [(REFERENCE, "seasonal_ar")], lambda f, s: forecasters.seasonal_ar(f, s, **kw)
+    return [(REFERENCE, "seasonal_ar")], lambda f, s: arma.seasonal_ar(f, s, **kw)
+
+
+def seasonal_arma_arm(**kw) -> tuple[list[tuple[str, str]], Forecaster]:
+    return [(REFERENCE, "seasonal_arma")], lambda f, s: arma.seasonal_arma(f, s, **kw)
+
+
+def boosted_arms(**kw) -> tuple[list[tuple[str, str]], Forecaster]:
+    names = [(arm, "boosted_direct") for arm in forecasters.ARMS]
+    return names, lambda f, s: boosting.boosted_direct(f, s, **kw)
 
 
 def recursive_arm(lags: Sequence[int] = (1, 2, 3, 7, 14, 21, 28), **kw) -> tuple[list[tuple[str, str]], Forecaster]:
-    return [(REFERENCE, "recursive_learner")], lambda f, s: forecasters.recursive_learner(f, s, lags, **kw)
+    return [(REFERENCE, "recursive_learner")], lambda f, s: arma.recursive_learner(f, s, lags, **kw)
