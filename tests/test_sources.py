@@ -98,6 +98,52 @@ def test_headers_of_any_length(spark, tmp_path):
     assert layout.columns == names and layout.sep == ","
 
 
+def test_one_scan_for_any_number_of_layouts(spark, tmp_path):
+    """The lines are read once however many headers there are, and a long file is joined with its header in parts."""
+    folder = tmp_path / "many"
+    for i in range(6):
+        extra = ";".join(f"x{j}" for j in range(i))
+        write(folder / f"f{i}.csv", f"Fecha;{extra + ';' if i else ''}Hora;Valor;Estación\n" + f"2024-01-0{i + 1};{'z;' * i}5;{i}.5;s\n" * 3)
+    got = delimited.ingest_drop_folder(spark, str(folder))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value#") == 1 and "_part" in plan
+    assert {r.timestamp.day: r.value for r in got.collect()} == {i + 1: i + 0.5 for i in range(6)}
+    found = {os.path.basename(r.path): (r.layout, r.problem) for r in delimited.drop_folder_files(spark, str(folder)).collect()}
+    assert found["f0.csv"] == ("long", None)
+
+
+def test_parts_of_a_long_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delimited, "PART_BYTES", 4096)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        text = "timestamp,PM10\n" + "".join(f"2024-01-01 {h:02d}:{m:02d}:00,{h * 60 + m}\n" for h in range(24) for m in range(60))
+        write(tmp_path / "long" / "a+b %41.csv", text)
+        rows = delimited.load_panel(spark, str(tmp_path / "long"), "timestamp", "PM10").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.y for r in rows) == list(range(1440))
+
+
+def test_quotes_in_lines(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'timestamp,"a,b",PM10\n2024-01-01 00:00:00,"x,""y""",5\n2024-01-02 00:00:00,5" pipe,6\n')
+    rows = delimited.read_text_columns(spark, path).orderBy("timestamp").collect()
+    assert [(r["a,b"], r.PM10) for r in rows] == [('x,"y"', "5"), ('5" pipe', "6")]
+    bad = write(tmp_path / "bad" / "q.csv", 'timestamp,PM10\n2024-01-01 00:00:00,"5\n6"\n')
+    with pytest.raises(Exception, match="goes on in the next line"):
+        delimited.read_text_columns(spark, bad).collect()
+
+
+def test_manifest_of_a_large_file(spark, tmp_path):
+    """3 GB, which no single value can hold; the file is sparse and read in pieces."""
+    with open(tmp_path / "large.bin", "wb") as file:
+        file.truncate(3 << 30)
+    digest, zeros = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(192):
+        digest.update(zeros)
+    found = {os.path.basename(r.path): (r.size_bytes, r.sha256) for r in sinks.file_manifest(spark, str(tmp_path)).collect()}
+    assert found == {"large.bin": (3 << 30, digest.hexdigest())}
+
+
 def test_daily_file_names(spark):
     df = spark.createDataFrame([("PM25_Old_Town_12_daily.csv",), ("PM10_X_1_daily.csv",), ("NO2_X_1_daily.csv",)], "f string")
     got = [tuple(r.p) if r.p else None for r in df.select(delimited.daily_file_parts(F.col("f")).alias("p")).collect()]
@@ -118,7 +164,7 @@ def test_sinks_and_manifest(spark, tmp_path):
     assert sorted(r.year for r in spark.read.parquet(str(tmp_path / "years")).select("year").distinct().collect()) == [2023, 2024]
     sinks.write_station_raw(long, str(tmp_path / "raw"))
     assert spark.read.parquet(str(tmp_path / "raw")).filter("station = 's1'").count() == 2
-    manifest = {r.path.removeprefix("file:"): (r.size_bytes, r.sha256) for r in sinks.file_manifest(spark, out).collect()}
+    manifest = {"/" + r.path.removeprefix("file:").lstrip("/"): (r.size_bytes, r.sha256) for r in sinks.file_manifest(spark, out).collect()}
     for file in (tmp_path / "net").rglob("*.csv"):
         data = file.read_bytes()
         assert manifest[str(file)] == (len(data), hashlib.sha256(data).hexdigest())

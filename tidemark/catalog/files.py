@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.catalog.common import OBS, r, rounded, sql
@@ -52,12 +53,42 @@ def drop_folder(spark, d):
 
 
 def detected_layouts(spark, d):
-    found = delimited.layouts(spark, _drop_files(spark, d))
-    parts = [x.rows().agg(F.count("*").alias("n_rows")).select(F.lit(x.sep).alias("sep"), F.lit(len(x.columns)).alias("n_columns"), "n_rows") for x in found]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return delimited.layout_counts(spark, _drop_files(spark, d))
+
+
+def drop_folder_files(spark, d):
+    """Which layout the files of the folder have; one file has no values."""
+    path = _drop_files(spark, d)
+    _write(_observed(spark, d).groupBy("series").agg(F.max("ts").alias("fecha")).coalesce(1), f"{path}/4-other")
+    found = delimited.drop_folder_files(spark, path)
+    folder = F.regexp_extract("path", r"/(\d-\w+)/[^/]*$", 1)
+    return found.select(folder.alias("folder"), "layout", F.col("problem").isNotNull().alias("skipped")).distinct()
+
+
+def station_files(spark, d):
+    """One folder of files per station, every hour twice, written under two headers; the first row of an hour counts."""
+    o, path = _observed(spark, d), _folder(spark, "stations")
+    stamp = F.date_format("ts", STAMP)
+    for name in ("click", "error", "purchase", "signup"):
+        own = o.filter(F.col("series") == name)
+        rows = own.select(stamp.alias("Date and Time"), F.col("y").alias("PM10"), F.col("n_events").alias("temp"))
+        again = own.select(stamp.alias("Date and Time"), (F.col("y") + 1.0).alias("PM10"), F.lit(None).cast("double").alias("temp"))
+        _single(rows.unionByName(again), path, f"{name}_merged_NA.csv")
+    other = o.filter(F.col("series") == "view").select(F.col("k_mean").alias("wdsp"), F.lit("x").alias("note"), F.date_format("ts", "dd/MM/yyyy HH:mm").alias("datetime"), F.col("y").alias("NO2"))
+    _single(other, path, "view_finalised_merged_NA.csv")
+    got = delimited.ingest_stations(spark, path)
+    return rounded(got.select(F.col("timestamp").alias("ts"), "station", "PM10", "NO2", "temp", "wdsp", "O3"))
+
+
+def _single(df: DataFrame, folder: str, name: str) -> None:
+    """One file of the given name, as stations deliver theirs."""
+    spark, part = df.sparkSession, f"{folder}-parts/{name}"
+    _write(df.coalesce(1), part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    (written,) = [f.getPath() for f in system.listStatus(path(part)) if f.getPath().getName().startswith("part-")]
+    system.mkdirs(path(folder))
+    system.rename(written, path(f"{folder}/{name}"))
 
 
 def load_series(spark, d):
@@ -119,6 +150,28 @@ def shards_merged(spark, d):
     return rounded(sinks.read_shards(spark, [f"{path}/{i}" for i in range(3)], ["series", "ts"]).select("series", "ts", "y"))
 
 
+def shards_ordered(spark, d):
+    """The merged shards with the number of each row in the order in which they come."""
+    o, path = _observed(spark, d), _folder(spark, "shards")
+    for i in range(3):
+        o.filter(F.pmod(F.hour("ts"), F.lit(3)) == i).write.parquet(f"{path}/{i}")
+    merged = sinks.read_shards(spark, [f"{path}/{i}" for i in range(3)], ["series", "ts"])
+    placed = stage(merged.select("series", "ts", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ordered")
+    sizes = placed.groupBy("part").count()  # one row per partition
+    before = sizes.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
+    return placed.join(before, "part").select((F.col("before") + F.col("at") + 1).alias("row"), "series", "ts")
+
+
+def manifest_of_exports(spark, d):
+    """Customers written as one text file per nation; size and digest of each file."""
+    path = _folder(spark, "exports")
+    lines = tables.read_table(spark, d, "customer").select("c_nationkey", "c_custkey", F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name").alias("value"))
+    dealt = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    dealt.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    found = sinks.file_manifest(spark, path)
+    return found.select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("nation"), "size_bytes", "sha256")
+
+
 QUERIES = {
     # A blank cell of a wide row is the last word on its hour, too.
     "drop_folder": (drop_folder, sql(OBS, """wide AS (
@@ -128,6 +181,14 @@ FROM obs o LEFT JOIN wide w ON w.series = o.series AND w.d = date_trunc('day', t
     "detected_layouts": (detected_layouts, sql(OBS, select="""SELECT ';' AS sep, 5 AS n_columns, count(*) AS n_rows FROM obs
 UNION ALL SELECT ',', 27, count(DISTINCT (series, date_trunc('day', ts))) FROM obs WHERE hour(ts) % 2 = 0 AND hour(ts) > 0
 UNION ALL SELECT ',', 6, count(*) FROM obs WHERE hour(ts) % 3 = 0""")),
+    "drop_folder_files": (drop_folder_files, sql(OBS, select="""SELECT * FROM (VALUES ('1-long', 'long', false), ('2-wide', 'wide', false), ('3-comma', 'long', false), ('4-other', NULL, true))
+  t(folder, layout, skipped) WHERE (SELECT count(*) FROM obs) > 0""")),
+    "station_files": (station_files, sql(OBS, select=f"""SELECT ts, series AS station, CASE WHEN series <> 'view' THEN {r('y')} END AS "PM10", CASE WHEN series = 'view' THEN {r('y')} END AS "NO2",
+  CASE WHEN series <> 'view' THEN {r('n_events')} END AS temp, CASE WHEN series = 'view' THEN {r('k_mean')} END AS wdsp, CAST(NULL AS DOUBLE) AS "O3" FROM obs""")),
+    "shards_ordered": (shards_ordered, sql(OBS, select="SELECT row_number() OVER (ORDER BY series, ts) AS row, series, ts FROM obs")),
+    "manifest_of_exports": (manifest_of_exports, """WITH files AS (
+  SELECT CAST(c_nationkey AS INTEGER) AS nation, string_agg(CAST(c_custkey AS VARCHAR) || ',' || c_name, chr(10) ORDER BY c_custkey) || chr(10) AS content FROM customer GROUP BY 1)
+SELECT nation, CAST(strlen(content) AS BIGINT) AS size_bytes, sha256(content) AS sha256 FROM files"""),
     "load_series": (load_series, sql(OBS, select=f"SELECT series, ts, {r('y')} AS y FROM obs WHERE hour(ts) <> 5")),
     "covariate_file": (covariate_file, sql(OBS, select=f"SELECT ts, {r('sum(n_events)')} AS n_events, {r('avg(k_mean)')} AS k_mean FROM obs GROUP BY ts")),
     "network_export": (network_export, sql(OBS, select=f"SELECT 'city' AS city, series AS station_id, 'NO2' AS component, ts, {r('y')} AS value FROM obs")),

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.scalars import normalize_component, normalize_header, normalize_city
 from tidemark.operators.quality import dedup
 from tidemark.session import stage
+from tidemark.sources import streams
 
 # Column aliases, canonical columns and file-name patterns of the supported layouts.
 DATE_COLUMNS = ("Date and Time", "datetime", "timestamp", "date")
@@ -62,23 +62,49 @@ def separator_of(header: str, tie: str = ";") -> str:
     return ";" if semicolons > commas else ","
 
 
+#: Bytes of a long file whose lines are joined with the file's header by one task.
+PART_BYTES = 64 << 20
+
+
+def _listed(paths: str | Sequence[str]) -> list[str]:
+    return [paths] if isinstance(paths, str) else list(paths)
+
+
+def _decoded(name: str) -> Column:
+    """A text of the hidden metadata column; it is percent-encoded there, apart from plus signs."""
+    return F.url_decode(F.replace(F.col(f"_metadata.{name}"), F.lit("+"), F.lit("%2B")))
+
+
 def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``_line`` of all files with ``_path``, ``_file`` and ``_seq``, which orders lines by file and place in the file.
+    """``_line`` of all files with ``_path``, ``_part`` of the file, ``_file`` and ``_seq``, which orders lines by file and place in the file.
 
     Spark reads the files, so any store it knows will do. Long files come in blocks; lines of one block are read by one task.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text([paths] if isinstance(paths, str) else list(paths))
-    # Metadata columns are percent-encoded, apart from plus signs.
-    decoded = lambda c: F.url_decode(F.replace(F.col(f"_metadata.{c}"), F.lit("+"), F.lit("%2B")))
-    place = F.struct(
-        decoded("file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
-    )
-    return raw.select(F.regexp_replace("value", r"\r$", "").alias("_line"), place["path"].alias("_path"), decoded("file_name").alias("_file"), place.alias("_seq"))
+    raw = spark.read.option("recursiveFileLookup", "true").text(_listed(paths))
+    block = F.col("_metadata.file_block_start")
+    place = F.struct(_decoded("file_path").alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("row"))
+    line = F.regexp_replace("value", "^\ufeff|\\r$", "")
+    return raw.select(line.alias("_line"), place["path"].alias("_path"), F.floor(block / PART_BYTES).alias("_part"), _decoded("file_name").alias("_file"), place.alias("_seq"))
 
 
 def file_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``path, header`` of every file that has a line: the whole first line, however long."""
-    return text_lines(spark, paths).groupBy(F.col("_path").alias("path")).agg(F.min_by("_line", "_seq").alias("header"))
+    """``path, length, header`` of every file that has a line: the whole first line, however long.
+
+    Only the start of each file is read, by tasks that open it themselves. Files of a store that Python cannot open are read by Spark, whole.
+    """
+    files = list_files(spark, paths).filter("length > 0")
+    opened = streams.openable(files)
+    if opened:
+        kind = "path string, length long, header string"
+        return files.repartition("path").mapInArrow(streams.first_lines, kind).withColumn("header", F.regexp_replace("header", "^\ufeff|\\r$", ""))
+    first = text_lines(spark, paths).groupBy(F.col("_path").alias("path")).agg(F.min_by("_line", "_seq").alias("header"))
+    return first.join(files, "path").select("path", "length", "header")
+
+
+def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``path, length`` of all files that have a byte (Spark lists no others); contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_listed(paths))
+    return found.select(_decoded("file_path").alias("path"), "length")
 
 
 def detect_separator(spark: SparkSession, path: str, tie: str = ";") -> str:
@@ -111,10 +137,17 @@ def read_text_columns(spark: SparkSession, paths: str | Sequence[str], sep: str
 
     Files may differ in separator and header: each is read by its own, and columns that a file lacks are NULL.
     """
-    parts = [layout.rows(sep) for layout in layouts(spark, paths, tie)]
-    if not parts:
+    found = stage(file_layouts(spark, paths, tie, sep), "layouts")
+    each = found.select("header", F.posexplode("names").alias("at", "name"))
+    # The schema: names in the order of the sorted headers. It is the only thing that reaches the driver.
+    names = [r["name"] for r in each.groupBy("name").agg(F.min(F.struct("header", "at")).alias("first")).orderBy("first").select("name").collect()]
+    if not names:
         raise ValueError(f"no lines in {paths}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    at = F.transform(
+        F.array(*[F.lit(n) for n in names]), lambda n: F.nullif(F.array_position(F.col("names"), n).cast("int"), F.lit(0)) - 1
+    )
+    rows = file_rows(spark, paths, found.withColumn("slots", at))
+    return rows.select(*[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)], "_file", "_seq")
 
 
 # --- values ------------------------------------------------------------------------------------------------
@@ -210,54 +243,116 @@ def canonical_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Files that share one header, with their lines."""
+    """What files with one header share."""
 
     header: str
     sep: str
-    lines: DataFrame
 
     @property
     def columns(self) -> list[str]:
-        return [c.replace("﻿", "").strip().strip('"') for c in self.header.split(self.sep)]
+        return header_names(self.header, self.sep)
+
 
-    def rows(self, sep: str | None = None) -> DataFrame:
-        """The lines as text columns. Lines that repeat the header and blank lines are no rows."""
-        names = self.columns if sep is None else Layout(self.header, sep, self.lines).columns
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        data = self.lines.filter((F.col("_line") != F.lit(self.header)) & (F.trim("_line") != ""))
-        parsed = data.select(F.from_csv("_line", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep or self.sep}).alias("r"), "_file", "_seq")
-        return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)], "_file", "_seq")
+def header_names(header: str, sep: str) -> list[str]:
+    """Names of a header; a quoted name may hold the separator."""
+    return [c.replace("\ufeff", "").strip().strip('"') for c in streams.cells_of(header, sep)]
 
 
 def layouts(spark: SparkSession, paths: str | Sequence[str], tie: str = ";") -> list[Layout]:
-    """Files grouped by header. Only the different headers reach the driver; files stay rows of the table of headers."""
-    heads = stage(file_headers(spark, paths), "headers").withColumnRenamed("path", "_head_path")
-    lines = text_lines(spark, paths).join(heads, F.col("_path") == F.col("_head_path")).drop("_head_path")
-    return [
-        Layout(row["header"], separator_of(row["header"], tie), lines.filter(F.col("header") == F.lit(row["header"])))
-        for row in heads.select("header").distinct().orderBy("header").collect()
-    ]
+    """The different headers of all files."""
+    heads = file_headers(spark, paths).select("header").distinct().orderBy("header").collect()
+    return [Layout(row["header"], separator_of(row["header"], tie)) for row in heads]
+
+
+#: From the names of a header: where the asked columns are (None: not there). ValueError if the files cannot be used.
+Pick = Callable[[list[str]], list[int | None]]
+
+
+def file_layouts(spark: SparkSession, paths: str | Sequence[str], tie: str = ";", sep: str | None = None, pick: Pick | None = None) -> DataFrame:
+    """One row per file: ``path, length, header, sep, names, slots, problem``. ``slots`` are the places that ``pick`` found, ``problem`` why it found none."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seps, names, slots, problems = [], [], [], []
+            for header in batch.column(2).to_pylist():
+                mark = sep or separator_of(header, tie)
+                own, found, problem = header_names(header, mark), None, None
+                if pick is not None:
+                    try:
+                        found = pick(own)
+                    except ValueError as error:
+                        problem = str(error)
+                for column, value in zip((seps, names, slots, problems), (mark, own, found, problem), strict=True):
+                    column.append(value)
+            columns = [pa.array(seps, pa.string()), pa.array(names, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.int32())), pa.array(problems, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["path", "length", "header", "sep", "names", "slots", "problem"])
+
+    kind = "path string, length long, header string, sep string, names array<string>, slots array<int>, problem string"
+    return file_headers(spark, paths).mapInArrow(describe, kind)
+
+
+def file_rows(spark: SparkSession, paths: str | Sequence[str], found: DataFrame) -> DataFrame:
+    """``cells`` (one text per slot), ``header``, ``_file`` and ``_seq`` of every line of the files of ``found`` that have slots, in one scan.
+
+    A cell is null where the file has no such column and empty where the line leaves it blank. Lines that repeat the header and blank
+    lines are no rows. Lines meet their file's header by (path, part of the file), so a file of any size is spread. A quoted value
+    that goes on in the next line is an error.
+    """
+    heads = found.filter("slots IS NOT NULL").select(
+        F.col("path").alias("_path"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / PART_BYTES))).alias("_part"), "header", "sep", "slots"
+    )
+    lines = text_lines(spark, paths).join(heads, ["_path", "_part"])
+    data = lines.filter((F.col("_line") != F.col("header")) & (F.trim("_line") != "")).select("_line", "sep", "slots", "header", "_file", "_seq")
+    kind = f"cells array<string>, header string, _file string, _seq {data.schema['_seq'].dataType.simpleString()}"
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = []
+            for line, sep, slots, file in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4)], strict=True):
+                try:
+                    row = streams.cells_of(line, sep)
+                except ValueError as error:
+                    raise ValueError(f"{file}: {error}") from None
+                cells.append([None if at is None else row[at] if at < len(row) else "" for at in slots])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.list_(pa.string())), *batch.columns[3:]], names=["cells", "header", "_file", "_seq"])
+
+    return data.mapInArrow(parse, kind)
+
+
+def layout_counts(spark: SparkSession, paths: str | Sequence[str], tie: str = ";") -> DataFrame:
+    """``sep, n_columns, n_rows`` of every different header, from one scan."""
+    found = stage(file_layouts(spark, paths, tie, pick=lambda names: [0]), "layouts")
+    counts = file_rows(spark, paths, found).groupBy("header").agg(F.count("*").alias("n_rows"))
+    heads = found.groupBy("header").agg(F.any_value("sep").alias("sep"), F.any_value(F.size("names")).alias("n_columns"))
+    return heads.join(counts, "header", "left").select("sep", "n_columns", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"))
+
+
+_NUMBERS = (*POLLUTANTS, *WEATHER)
+
+
+def _pick_station(names: list[str]) -> list[int | None]:
+    at = {c: i for i, c in enumerate(names)}
+    return [at[pick_column(names, DATE_COLUMNS)], *[at.get(c) for c in _NUMBERS]]
 
 
 def ingest_stations(spark: SparkSession, folder: str, exclude: Sequence[str] = (), keep: str = "first") -> DataFrame:
-    """One file per station → panel with the canonical columns (``timestamp, station``, pollutants, weather).
+    """One file per station → panel with the canonical columns (``timestamp, station``, pollutants, weather), in one scan.
 
-    Station names come from file names; unparsed timestamps are dropped; one row per (station, timestamp).
+    Station names come from file names; unparsed timestamps are dropped; one row per (station, timestamp). A file without a
+    column of times is an error.
     """
-    parts = []
-    for layout in layouts(spark, folder, tie=","):
-        raw = layout.rows()
-        numbers = [c for c in (*POLLUTANTS, *WEATHER) if c in raw.columns]
-        rows = raw.select(
-            to_timestamp(F.col(f"`{pick_column(raw.columns, DATE_COLUMNS)}`"), TIMESTAMP_FORMATS + DAY_FIRST_FORMATS).alias("timestamp"),
-            station_from_file(F.col("_file")).alias("station"),
-            *[to_number(F.col(f"`{c}`")).alias(c) for c in numbers],
-            "_seq",
-        )
-        parts.append(canonical_columns(rows, ["timestamp", "station", *POLLUTANTS, *WEATHER, "_seq"]))
-    if not parts:
+    found = stage(file_layouts(spark, folder, ",", pick=_pick_station), "layouts")
+    bad = found.filter("slots IS NULL").select("path", "problem").first()
+    if bad is not None:
+        raise ValueError(f"{bad['path']}: {bad['problem']}")
+    if found.isEmpty():
         raise ValueError(f"no usable file in {folder}")
-    rows = reduce(DataFrame.unionByName, parts).filter("timestamp IS NOT NULL")
+    rows = file_rows(spark, folder, found).select(
+        to_timestamp(F.get("cells", F.lit(0)), TIMESTAMP_FORMATS + DAY_FIRST_FORMATS).alias("timestamp"),
+        station_from_file(F.col("_file")).alias("station"),
+        *[to_number(F.get("cells", F.lit(i))).alias(c) for i, c in enumerate(_NUMBERS, 1)],
+        "_seq",
+    ).filter("timestamp IS NOT NULL")
     if exclude:
         rows = rows.filter(~F.col("station").isin(list(exclude)))
     return dedup(rows, ["station", "timestamp"], ["_seq"], keep).drop("_seq")
@@ -341,23 +436,59 @@ def _at_hour(day: Column, hour: Column) -> Column:
     return F.date_trunc("day", day) + F.make_interval(hours=hour)
 
 
+#: Hours that a column of a wide file may name; the 25th is that of the day on which clocks go back.
+_HOURS = range(26)
+_ROLES = (STATION_ALIASES, DATE_ALIASES, YEAR_ALIASES, MONTH_ALIASES, DAY_ALIASES, VARIABLE_ALIASES, HOUR_ALIASES, VALUE_ALIASES)
+
+
+def _pick_drop(names: list[str]) -> list[int | None]:
+    """Places of station, date, year, month, day, variable, hour, value and of the hour columns."""
+    place = {c: i for i, c in reversed(list(enumerate(names)))}
+    roles = [None if (c := find_column(names, aliases)) is None else place[c] for aliases in _ROLES]
+    hours = {h: place[c] for h, c in hour_columns(names).items()}
+    if roles[1] is not None:
+        roles[2:5] = [None] * 3  # a date counts before its parts
+    elif None in roles[2:5]:
+        raise ValueError("no column of dates")
+    if not hours and (roles[6] is None or roles[7] is None):
+        raise ValueError("neither columns of hours nor an hour and a value")
+    return [*roles, *[hours.get(h) for h in _HOURS]]
+
+
+def drop_folder_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, layout, problem`` of every file: ``wide``, ``long``, or null where the problem tells why it is skipped."""
+    hours = F.exists(F.slice("slots", len(_ROLES) + 1, len(_HOURS)), lambda at: at.isNotNull())
+    layout = F.when(F.col("slots").isNotNull(), F.when(hours, "wide").otherwise("long"))
+    return file_layouts(spark, folder, pick=_pick_drop).select("path", layout.alias("layout"), "problem")
+
+
 def ingest_drop_folder(spark: SparkSession, folder: str, stations: Sequence[str] | None = None) -> DataFrame:
-    """Folder of mixed wide and long files → ``timestamp, station, variable, value``, last row per key.
+    """Folder of mixed wide and long files → ``timestamp, station, variable, value``, last row per key, in one scan.
 
-    Files count in the order of their paths, whatever their layouts, and rows in the order of the file. Layouts without the
-    needed columns are skipped.
+    Files count in the order of their paths, whatever their layouts, and rows in the order of the file. Files without the
+    needed columns are skipped; :func:`drop_folder_files` lists them. Values are found by the names of each file's own header.
     """
-    parts = []
-    for layout in layouts(spark, folder):
-        names = layout.columns
-        wide = bool(hour_columns(names))
-        try:
-            parts.append(wide_days_to_long(layout.rows()) if wide else long_hours_to_panel(layout.rows()))
-        except ValueError:
-            continue
-    if not parts:
+    found = stage(file_layouts(spark, folder, pick=_pick_drop), "layouts")
+    if found.filter("slots IS NOT NULL").isEmpty():
         raise ValueError(f"no usable file in {folder}")
-    rows = reduce(DataFrame.unionByName, parts)
+    text = lambda i: F.nullif(F.get("cells", F.lit(i)), F.lit(""))
+    has = lambda i: F.get("cells", F.lit(i)).isNotNull()
+    parts = [F.trim(text(i)) for i in (2, 3, 4)]
+    by_parts = to_timestamp(F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")))
+    date = F.when(has(1), to_timestamp(text(1), DAY_FIRST_FORMATS + TIMESTAMP_FORMATS)).otherwise(by_parts)
+    station = F.when(has(0), F.trim(text(0))).otherwise(station_code_from_file(F.col("_file")))
+    variable = F.when(has(5), F.upper(F.trim(text(5)))).otherwise(F.lit("UNKNOWN"))
+    cell = lambda h, v: F.struct(h.cast("int").alias("h"), v.alias("v"))
+    wide = F.filter(
+        F.transform(F.slice("cells", len(_ROLES) + 1, len(_HOURS)), lambda v, h: cell(h, v)), lambda c: c["v"].isNotNull()
+    )
+    hours = F.when(F.size(wide) > 0, wide).otherwise(F.array(cell(to_number(text(6)), F.get("cells", F.lit(7)))))
+    rows = (
+        file_rows(spark, folder, found)
+        .select(date.alias("_d"), station.alias("station"), variable.alias("variable"), "_seq", F.inline(hours))
+        .filter("_d IS NOT NULL AND h IS NOT NULL AND station IS NOT NULL")
+        .select(_at_hour(F.col("_d"), F.col("h")).alias("timestamp"), "station", "variable", to_number(F.col("v")).alias("value"), "_seq")
+    )
     if stations is not None:
         rows = rows.filter(F.col("station").isin(list(stations)))
     return dedup(rows, ["station", "variable", "timestamp"], ["_seq"], "last").drop("_seq")

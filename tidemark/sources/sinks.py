@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import delimited, streams
+
 from tidemark.operators.quality import dedup
 
 
@@ -71,6 +73,14 @@ def read_shards(spark: SparkSession, paths: Sequence[str], keys: Sequence[str])
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and SHA-256 of every file below ``path``; files are hashed in parallel tasks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Path, size and SHA-256 of every file below ``path``.
+
+    Tasks open the files and hash them piece by piece, so size does not matter; largest files are dealt out first. Files of a store that
+    Python cannot open are loaded by Spark instead, each as one value of 2 GB at most.
+    """
+    files = delimited.list_files(spark, path)
+    if streams.openable(files):
+        # one file per Arrow batch at a time; dealt by path, so that files of any folder spread
+        return files.repartition("path").sortWithinPartitions(F.desc("length")).mapInArrow(streams.digests, "path string, size_bytes long, sha256 string")
+    loaded = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return loaded.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
