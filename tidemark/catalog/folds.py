@@ -148,6 +148,13 @@ def leakage_check(spark, d):
     return qa.leakage_violations(stamps)
 
 
+def planted_leakage(spark, d):
+    """A feature of every known origin that is an hour old, of the origin itself, or of the hour after it, in turn."""
+    at = origins.origin_rows(hourly_positioned(spark, d), HOURLY).filter("y IS NOT NULL")
+    late = F.timestamp_seconds(F.unix_timestamp("ts") + (F.col("origin_seq") % 3 - 1) * 3600)
+    return qa.leakage_violations(at.select("series", F.col("ts").alias("origin"), F.lit("planted").alias("feature"), late.alias("feature_ts")))
+
+
 def _lags(source: str) -> str:
     return ", ".join(f"lag({source}, {k}) OVER (PARTITION BY series ORDER BY ts) AS y_lag_{k}" for k in LAGS)
 
@@ -213,5 +220,8 @@ UNION ALL SELECT series, 'C3', 9, count(*) FILTER (WHERE ok AND n_events IS NOT
 {r('y_filled')} AS y, {r('coalesce(n_events, 0.0)')} AS n_events FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC) AS b FROM pos) WHERE b <= 6""")),
     **_fold_queries(HOURLY_SHORT, ""),
     **_fold_queries(HOURLY, "_full"),
-    "leakage_check": (leakage_check, sql(OBS, PANEL, POS, origins_sql(), select=f"SELECT CAST(0 AS BIGINT) AS violations, count(*) * {len(HOURLY.lags)} AS checked FROM origins")),
+    "leakage_check": (leakage_check, sql(OBS, PANEL, POS, origins_sql(), f"used AS (SELECT o.origin, p.ts AS feature_ts FROM origins o CROSS JOIN (SELECT unnest({list(HOURLY.lags)}) AS lag) l LEFT JOIN pos p ON p.series = o.series AND p.pos = o.origin_pos - l.lag)",
+        select="SELECT count(*) FILTER (WHERE feature_ts > origin) AS violations, count(*) AS checked FROM used")),
+    "planted_leakage": (planted_leakage, sql(OBS, PANEL, POS, origins_sql(), "used AS (SELECT o.origin, o.origin + (o.origin_seq % 3 - 1) * INTERVAL 1 HOUR AS feature_ts FROM origins o JOIN pos p ON p.series = o.series AND p.pos = o.origin_pos WHERE p.y IS NOT NULL)",
+        select="SELECT count(*) FILTER (WHERE feature_ts > origin) AS violations, count(*) AS checked FROM used")),
 }

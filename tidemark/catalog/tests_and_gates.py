@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.common import (
@@ -84,8 +86,42 @@ def dm_direction(spark, d):
 
 
 def two_source_consistency(spark, d):
+    """Two tables of tests over the same cells, of which the second lacks some cells and counts one pair too many in others."""
     first, second = _inference(spark, d), _inference(spark, d, "bartlett", "q_auto")
-    return qa.two_source_consistency(first, second)
+    planted = second.filter("NOT (series = 'view' AND horizon = 24)").withColumn("n", F.when(F.col("series") == "click", F.col("n") + 1).otherwise(F.col("n")))
+    return qa.two_source_consistency(first, planted)
+
+
+SHIFT = 300.0
+
+
+def _shifted(spark, d):
+    """The ledger with the seasonal forecasts of some series moved away, so that the other arm wins clearly there."""
+    moved = arm("seasonal_naive") & (F.col("series") < "p")
+    return stage(baseline_ledger(spark, d).withColumn("y_pred", F.when(moved, F.col("y_pred") + SHIFT).otherwise(F.col("y_pred"))), "ledger")
+
+
+def _shifted_inference(spark, d):
+    ledger = _shifted(spark, d)
+    pairs = stage(inference.paired_losses(ledger, *arms(), DM_HORIZONS), "pairs")
+    dm = inference.diebold_mariano(pairs, "overlap", HOURLY.stride, ("persistence", "seasonal"), inference.cells_by_series(ledger, *arms(), DM_HORIZONS))
+    return inference.inference_table(dm, "q_overlap")
+
+
+def shifted_bonferroni_bh(spark, d):
+    return rounded(_shifted_inference(spark, d))
+
+
+def shifted_surviving_cells(spark, d):
+    return inference.surviving_cells(_shifted_inference(spark, d))
+
+
+def shifted_summary(spark, d):
+    return inference.inference_summary(_shifted_inference(spark, d))
+
+
+def bootstrap_by_series(spark, d):
+    return rounded(inference.bootstrap_skill(staged_ledger(spark, d), arm("seasonal_naive"), arm("persistence"), ("condition", "series", "horizon"), replicates=40))
 
 
 def bandwidths(spark, d):
@@ -147,15 +183,16 @@ def distinct_sets(spark, d):
 
 
 def _claims(spark, d):
-    """Claims built from rounded metrics: exact, nearly right, wrong, textual and without a source."""
-    m = metrics.cell_metrics(baseline_ledger(spark, d)).filter("horizon = 1")
+    """Claims about every horizon, built from rounded metrics: exact, nearly right, wrong, textual and without a source."""
+    m = metrics.cell_metrics(baseline_ledger(spark, d))
     found = m.select(
-        F.lit("rmse_h1").alias("metric"), "series", F.col("model").alias("condition"),
+        F.concat(F.lit("rmse_h"), F.col("horizon").cast("string")).alias("metric"), "series", F.col("model").alias("condition"),
         F.round(F.col("rmse"), 3).cast("string").alias("value"), F.round(F.col("rmse"), 3).alias("number"),
+        F.lit("metrics").alias("source_file"), F.concat_ws("|", "series", "model", F.col("horizon").cast("string")).alias("source_row"),
     )
     shown = F.when(F.col("condition") == "persistence", F.col("number")).when(F.col("series") < "p", F.col("number") + 0.25).otherwise(F.col("number") + 50)
     claims = found.select(
-        F.concat_ws("-", "series", "condition").alias("claim_id"), "metric", F.concat(F.lit("The "), F.col("series")).alias("series"),
+        F.concat_ws("-", "series", "condition", "metric").alias("claim_id"), "metric", F.concat(F.lit("The "), F.col("series")).alias("series"),
         F.when(F.col("series") == "view", F.lit("unknown")).otherwise(F.col("condition")).alias("condition"),
         F.when(F.col("series") == "signup", F.lit("see table")).otherwise(shown.cast("string")).alias("claimed_value"),
     )
@@ -163,7 +200,7 @@ def _claims(spark, d):
 
 
 def claim_status(spark, d):
-    return _claims(spark, d).select("claim_id", "status", F.round("absolute_difference", 3).alias("absolute_difference"))
+    return _claims(spark, d).select("claim_id", "status", F.round("absolute_difference", 3).alias("absolute_difference"), "source_file", "source_row")
 
 
 def claim_counts(spark, d):
@@ -229,17 +266,34 @@ tab AS (SELECT d.series, d.horizon, d.n, d.mean_loss_diff, d.dm_raw AS dm_stat,
   i.p_bh AS p_bh_series, i.p_bh < 0.05 AS bh_series_reject, 'q_overlap' AS dependence_specification FROM dm d LEFT JOIN inf i USING (series, horizon))"""
 _Q0 = (*HOURLY_LEDGER, PAIRS, *dm_sql("overlap"))
 _LED15 = "md AS (SELECT *, count(*) FILTER (WHERE n_eval >= 15) AS ok FROM metrics GROUP BY ALL)"
-_FOUND = "fnd AS (SELECT series, model AS condition, round(rmse, 3) AS v FROM metrics WHERE horizon = 1)"
-_STATUS = """cl AS (SELECT series || '-' || condition AS claim_id,
-  CASE WHEN series = 'view' THEN 'SOURCE_NOT_FOUND' WHEN series = 'signup' THEN 'MISMATCH' WHEN condition = 'persistence' THEN 'MATCH'
-       WHEN series < 'p' THEN 'ROUNDING_MATCH' ELSE 'MISMATCH' END AS status,
-  CASE WHEN series IN ('view', 'signup') THEN NULL WHEN condition = 'persistence' THEN 0.0 WHEN series < 'p' THEN 0.25 ELSE 50.0 END AS absolute_difference FROM fnd)"""
+_CLAIMS = """fnd AS (
+  SELECT 'rmse_h' || horizon AS metric, series, model AS condition, round(rmse, 3) AS v, series || '|' || model || '|' || horizon AS source_row FROM metrics),
+said AS (
+  SELECT series || '-' || condition || '-' || metric AS claim_id, metric, series, CASE WHEN series = 'view' THEN 'unknown' ELSE condition END AS condition,
+    CASE WHEN series = 'signup' THEN 'see table' ELSE CAST(CASE WHEN condition = 'persistence' THEN v WHEN series < 'p' THEN v + 0.25 ELSE v + 50 END AS VARCHAR) END AS claimed FROM fnd),
+met AS (
+  SELECT s.claim_id, s.claimed, f.v, f.source_row, TRY_CAST(replace(s.claimed, ',', '') AS DOUBLE) AS n, round(abs(TRY_CAST(replace(s.claimed, ',', '') AS DOUBLE) - f.v), 6) AS gap
+  FROM said s LEFT JOIN fnd f USING (metric, series, condition)),
+cl AS (
+  SELECT claim_id, round(gap, 3) AS absolute_difference, CASE WHEN source_row IS NOT NULL THEN 'metrics' END AS source_file, source_row,
+    CASE WHEN v IS NULL THEN 'SOURCE_NOT_FOUND' WHEN n IS NULL THEN CASE WHEN claimed = CAST(v AS VARCHAR) THEN 'MATCH' ELSE 'MISMATCH' END
+      WHEN gap = 0 THEN 'MATCH' WHEN gap <= greatest(1.0, 0.01 * abs(n)) THEN 'ROUNDING_MATCH' ELSE 'MISMATCH' END AS status FROM met)"""
 _POISSON = " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in inference.POISSON_CDF)
-BOOT = f"""po AS (SELECT condition, horizon, origin, sum((y_true - y_pred) ** 2) FILTER (WHERE model = 'seasonal_naive') AS sm, count(y_true - y_pred) FILTER (WHERE model = 'seasonal_naive') AS nm,
-  sum((y_true - y_pred) ** 2) FILTER (WHERE model = 'persistence') AS sb, count(y_true - y_pred) FILTER (WHERE model = 'persistence') AS nb FROM ledger GROUP BY 1, 2, 3),
-dr AS (SELECT *, CAST('0x' || substr(md5('7|' || rep || '|' || strftime(origin, '%Y%m%d%H%M%S')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM po CROSS JOIN (SELECT unnest(generate_series(1, 100)) AS rep)),
+
+
+def _boot(replicates: int, more: str = "") -> str:
+    return f"""po AS (SELECT condition, horizon, origin{more}, sum((y_true - y_pred) ** 2) FILTER (WHERE model = 'seasonal_naive') AS sm, count(y_true - y_pred) FILTER (WHERE model = 'seasonal_naive') AS nm,
+  sum((y_true - y_pred) ** 2) FILTER (WHERE model = 'persistence') AS sb, count(y_true - y_pred) FILTER (WHERE model = 'persistence') AS nb FROM ledger GROUP BY condition, horizon, origin{more}),
+dr AS (SELECT *, CAST('0x' || substr(md5('7|' || rep || '|' || strftime(origin, '%Y%m%d%H%M%S')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM po CROSS JOIN (SELECT unnest(generate_series(1, {replicates})) AS rep)),
 wt AS (SELECT *, {_POISSON} AS w FROM dr),
-rp AS (SELECT condition, horizon, rep, 1 - sqrt(sum(w * sm) / nullif(sum(w * nm), 0)) / sqrt(sum(w * sb) / nullif(sum(w * nb), 0)) AS sk FROM wt GROUP BY ALL)"""
+rp AS (SELECT condition, horizon, rep{more}, 1 - sqrt(sum(w * sm) / nullif(sum(w * nm), 0)) / sqrt(sum(w * sb) / nullif(sum(w * nb), 0)) AS sk FROM wt GROUP BY ALL)"""
+
+
+BOOT = _boot(100)
+#: The tests of the second table, under other names.
+_SECOND = re.sub(r"\b(st|num|g0|gq|om|raw|dms|cells|dm)\b", r"\1_2", dm_sql("bartlett")[0])
+_SHIFTED = (*HOURLY_LEDGER[:-1], HOURLY_LEDGER[-1].replace("ledger AS (", "plain AS (", 1),
+            f"ledger AS (SELECT * REPLACE (CASE WHEN model = 'seasonal_naive' AND series < 'p' THEN y_pred + {SHIFT} ELSE y_pred END AS y_pred) FROM plain)", PAIRS, *dm_sql("overlap"))
 
 QUERIES = {
     "paired_losses": (paired_losses, sql(*HOURLY_LEDGER, PAIRS, select="SELECT series, horizon, origin, forecast_timestamp, " + ", ".join(f"{r(c)} AS {c}" for c in ("y_true", "y_pred_a", "y_pred_b", "d")) + " FROM pairs")),
@@ -255,7 +309,15 @@ QUERIES = {
     "dm_direction": (dm_direction, sql(*_Q0, METRICS, select=f"""SELECT d.series, d.horizon, {r('d.p_value')} AS p_value, {r('coalesce(a.rmse - b.rmse, 0.0)')} AS delta,
 CASE WHEN coalesce(a.rmse - b.rmse, 0.0) >= 0 THEN 'gain' ELSE 'loss' END || CASE WHEN d.p_value < 0.05 THEN '_significant' ELSE '_open' END AS cell_class
 FROM dm d LEFT JOIN metrics a ON a.series = d.series AND a.horizon = d.horizon AND a.model = 'persistence' LEFT JOIN metrics b ON b.series = d.series AND b.horizon = d.horizon AND b.model = 'seasonal_naive'""")),
-    "two_source_consistency": (two_source_consistency, sql(*_Q0, select="SELECT count(*) AS cells, CAST(0 AS BIGINT) AS validity_mismatches, CAST(0 AS BIGINT) AS support_mismatches, bool_and(p_value IS NOT NULL) AS all_cells_valid FROM dm")),
+    "two_source_consistency": (two_source_consistency, sql(*_Q0, _SECOND, "two AS (SELECT series, horizon, n + CASE WHEN series = 'click' THEN 1 ELSE 0 END AS n, p_value FROM dm_2 WHERE NOT (series = 'view' AND horizon = 24))",
+        select="""SELECT count(*) AS cells, count(*) FILTER (WHERE (a.p_value IS NOT NULL) IS DISTINCT FROM CASE WHEN b.series IS NOT NULL THEN b.p_value IS NOT NULL END) AS validity_mismatches,
+  count(*) FILTER (WHERE a.n IS DISTINCT FROM b.n) AS support_mismatches, bool_and(coalesce(a.p_value IS NOT NULL, false) AND coalesce(b.p_value IS NOT NULL, false)) AS all_cells_valid
+FROM dm a FULL JOIN two b ON a.series = b.series AND a.horizon = b.horizon""")),
+    "shifted_bonferroni_bh": (shifted_bonferroni_bh, sql(*_SHIFTED, BH, select="SELECT series, horizon, n, q, bonferroni_reject, bh_series_reject, dependence_specification, " + ", ".join(
+        f"{r(c)} AS {c}" for c in ("mean_loss_diff", "dm_stat", "dm_hln_stat", "p_raw", "p_bonferroni", "p_bh_series")) + " FROM tab")),
+    "shifted_surviving_cells": (shifted_surviving_cells, sql(*_SHIFTED, BH, select="SELECT series, horizon FROM tab WHERE bh_series_reject")),
+    "shifted_summary": (shifted_summary, sql(*_SHIFTED, BH, select="SELECT count(p_raw) AS valid, count(*) FILTER (WHERE p_raw < 0.05) AS raw_lt_alpha, count(*) FILTER (WHERE bonferroni_reject) AS bonferroni_reject, count(*) FILTER (WHERE bh_series_reject) AS bh_series_reject FROM tab")),
+    "bootstrap_by_series": (bootstrap_by_series, sql(*HOURLY_LEDGER, _boot(40, ", series"), select=f"SELECT condition, series, horizon, {r('avg(sk)')} AS skill_mean, {r('quantile_cont(sk, 0.025)')} AS ci_lower, {r('quantile_cont(sk, 0.975)')} AS ci_upper FROM rp GROUP BY ALL")),
     "bandwidths": (bandwidths, sql(*HOURLY_LEDGER, METRICS, select="SELECT series, horizon, n_eval, CAST(ceil(horizon / 6.0) AS INTEGER) AS lead_steps, CAST(greatest(0, ceil(horizon / 6.0) - 1) AS INTEGER) AS q_overlap, CAST(floor(4 * pow(n_eval / 100.0, 2.0 / 9.0)) AS INTEGER) AS q_auto FROM metrics WHERE model = 'persistence'")),
     "student_p_values": (student_p_values, sql("h AS (SELECT event_type, CAST(hour(ts) AS INTEGER) AS hour, (avg(value) - 40.0) / (stddev_samp(value) / sqrt(count(*))) AS t, count(*) AS n FROM events GROUP BY 1, 2)",
         select=f"SELECT event_type, hour, n, {r('t')} AS t, {r(student_p_sql('t', '(n - 1)'))} AS p FROM h")),
@@ -282,8 +344,8 @@ UNION ALL SELECT 'conditions are known', true, CAST(count(*) FILTER (WHERE condi
     "n_eval_parity": (n_eval_parity, sql(*HOURLY_LEDGER, METRICS, select="SELECT a.series, a.condition, a.model, a.horizon, a.n_eval, b.n_eval AS n_baseline FROM metrics a JOIN metrics b ON a.series = b.series AND a.horizon = b.horizon AND a.model = 'seasonal_naive' AND b.model = 'persistence' WHERE a.n_eval <> b.n_eval")),
     "origins_per_series": (origins_per_series, sql(*HOURLY_LEDGER, select="SELECT series, count(DISTINCT origin) AS n_origins FROM ledger GROUP BY series")),
     "distinct_sets": (distinct_sets, sql(*HOURLY_LEDGER, select="SELECT DISTINCT 'series' AS dimension, series AS value FROM ledger UNION ALL SELECT DISTINCT 'horizon', CAST(horizon AS VARCHAR) FROM ledger UNION ALL SELECT DISTINCT 'model', model FROM ledger UNION ALL SELECT DISTINCT 'condition', condition FROM ledger")),
-    "claim_status": (claim_status, sql(*HOURLY_LEDGER, METRICS, _FOUND, _STATUS, select="SELECT claim_id, status, CAST(absolute_difference AS DOUBLE) AS absolute_difference FROM cl")),
-    "claim_counts": (claim_counts, sql(*HOURLY_LEDGER, METRICS, _FOUND, _STATUS, select="SELECT status, count(*) AS n_claims FROM cl GROUP BY status")),
+    "claim_status": (claim_status, sql(*HOURLY_LEDGER, METRICS, _CLAIMS, select="SELECT * FROM cl")),
+    "claim_counts": (claim_counts, sql(*HOURLY_LEDGER, METRICS, _CLAIMS, select="SELECT status, count(*) AS n_claims FROM cl GROUP BY status")),
     "table_mismatches": (table_mismatches, sql(*HOURLY_LEDGER, METRICS, SKILL, hstar_sql(24), select="SELECT series, model, H_strict_max_run AS found, H_strict_from_h1 AS expected FROM hstar WHERE H_strict_max_run <> H_strict_from_h1")),
     "availability_contract": (availability_contract, """WITH users AS (SELECT CAST(user_id AS VARCHAR) AS predictor, count(*) AS n FROM events GROUP BY 1),
 marked AS (SELECT predictor, CASE WHEN n % 5 <> 0 THEN ['A', 'B', 'C', 'D', 'E', 'F', 'G', 'H'][n % 8 + 1] END AS availability FROM users)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import scalars
 from tidemark.functions.student import two_sided_p
 from tidemark.operators import blocks
+from tidemark.session import stage
 
 CELL = ("series", "horizon")
 MIN_PAIRS = 10
@@ -219,8 +220,9 @@ def bootstrap_skill(
     """Percentile interval of RMSE skill per (condition, horizon), resampling origins.
 
     Each replicate gives every origin a Poisson(1) weight drawn from a hash of (seed, replicate, origin), so
-    the result does not depend on partitioning. Squared errors are first summed per origin and cell; only
-    these sums meet the replicates, and their weighted sums combine map-side.
+    the result does not depend on partitioning. Squared errors are first summed per origin and cell. The weights of an origin are drawn once,
+    as one array of ``replicates`` small numbers, and joined to its cells; weighted sums per cell and replicate combine
+    map-side, so nothing grows with the cells of an origin, however many there are (series, for instance).
     """
     cond = [c for c in by if c != "condition"]
     error2 = F.pow(F.col("y_true") - F.col("y_pred"), 2)
@@ -229,16 +231,16 @@ def bootstrap_skill(
     )
     base = ledger.filter(baseline).groupBy(*cond, "origin").agg(F.sum(error2).alias("sb"), F.count(error2).alias("nb"))
     sums = ("sm", "nm", "sb", "nb")
-    # The cells of one origin (conditions × horizons) travel together, so each weight is drawn once.
-    cells = per_origin.join(base, [*cond, "origin"]).groupBy("origin").agg(
-        F.collect_list(F.struct(*by, *sums)).alias("_cells")
-    )
-    draws = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    cells = stage(per_origin.join(base, [*cond, "origin"]), "origin-sums")
     stamp = F.date_format("origin", "yyyyMMddHHmmss")
-    digest = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), stamp).cast("binary")), 1, 8)
-    uniform = F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
-    weight = sum(((F.col("_u") >= c).cast("int") for c in POISSON_CDF), F.lit(0))
-    weighted = draws.withColumn("_u", uniform).withColumn("w", weight).filter("w > 0").select("rep", "w", F.inline("_cells"))
+
+    def uniform(rep: Column) -> Column:
+        digest = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), stamp).cast("binary")), 1, 8)
+        return F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
+
+    weight = lambda u: sum(((u >= c).cast("int") for c in POISSON_CDF), F.lit(0))
+    draws = cells.select("origin").distinct().withColumn("_w", F.transform(F.transform(F.sequence(F.lit(1), F.lit(replicates)), uniform), weight))
+    weighted = cells.join(draws, "origin").select(*by, *sums, F.posexplode("_w").alias("rep", "w")).filter("w > 0")
     sums = weighted.groupBy(*by, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums])
     rmse = lambda s, n: F.sqrt(F.try_divide(s, n))
     skills = sums.withColumn("skill", scalars.skill(rmse("sm", "nm"), rmse("sb", "nb")))

@@ -49,18 +49,19 @@ def n_eval_parity(metrics: DataFrame, model: Column, baseline: Column | None = N
     )
 
 
-def _check(df: DataFrame, name: str, passed: Column, detail: Column) -> DataFrame:
-    return df.select(F.lit(name).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"), detail.cast("string").alias("detail"))
+def _gate(name: str, passed: Column, detail: Column) -> Column:
+    return F.struct(F.lit(name).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"), detail.cast("string").alias("detail"))
 
 
-def _set_check(sets: DataFrame, dimension: str, expected: Sequence, name: str) -> DataFrame:
-    wanted = [str(v) for v in expected]
-    found = sets.filter(F.col("dimension") == dimension).agg(
-        F.count_if(F.col("value").isin(wanted)).alias("hits"), F.count_if(~F.col("value").isin(wanted)).alias("others")
-    )
-    return _check(
-        found, name, (F.col("hits") == len(set(wanted))) & (F.col("others") == 0),
-        F.concat(F.lit("found="), F.col("hits").cast("string"), F.lit(" unexpected="), F.col("others").cast("string")),
+def ledger_cells(ledger: DataFrame) -> DataFrame:
+    """One row per (series, horizon, model, condition): ``keys`` with an origin, ``origins``, ``repeated`` rows of a key, rows ``early`` for their origin.
+
+    The gates need nothing else of a ledger; its rows are read once.
+    """
+    early = F.count_if(F.col("forecast_timestamp") <= F.col("origin")).alias("early")
+    per_key = ledger.groupBy(*KEY).agg(F.count("*").alias("c"), early)
+    return per_key.groupBy("series", "horizon", "model", "condition").agg(
+        F.count("origin").alias("origins"), F.sum(F.col("c") - 1).alias("repeated"), F.sum("early").alias("early")
     )
 
 
@@ -76,47 +77,50 @@ def ledger_gates(
     forbidden: Sequence[str] = (),
     parity_model: Column | None = None,
 ) -> DataFrame:
-    """The structural gates of a finished run, one row each."""
-    sets = distinct_sets(ledger)
-    per_key = ledger.groupBy(*KEY).agg(F.count("*").alias("c"))
-    rows = [
-        _set_check(sets, "series", series, "series set is exactly the expected one"),
-        _check(
-            origins_per_series(ledger).agg(F.count_if(F.col("n_origins") > 0).alias("n")),
-            "every series has origins", F.col("n") == len(series), F.concat(F.lit("series_with_origins="), F.col("n").cast("string")),
-        ),
-        _set_check(sets, "horizon", range(1, horizon + 1), "horizons are exactly 1..H"),
-        _set_check(sets, "model", models, "model set is exactly the expected one"),
-        _set_check(sets, "condition", conditions, "condition set is exactly the expected one"),
-        _check(
-            per_key.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n")),
-            "ledger key is unique", F.col("n") == 0, F.concat(F.lit("duplicate_rows="), F.col("n").cast("string")),
-        ),
-        _check(
-            ledger.agg(F.count_if(F.col("forecast_timestamp") <= F.col("origin")).alias("n")),
-            "forecast timestamps lie after their origin", F.col("n") == 0, F.concat(F.lit("violations="), F.col("n").cast("string")),
-        ),
-        _check(
-            n_eval_parity(metrics, (F.col("model") != "persistence") if parity_model is None else parity_model)
-            .agg(F.count("*").alias("n")),
-            "models and persistence share n_eval", F.col("n") == 0, F.concat(F.lit("mismatched_cells="), F.col("n").cast("string")),
-        ),
-        _check(
-            sets.filter("dimension = 'series'").agg(
-                F.count_if(F.lower("value").rlike("|".join(forbidden)) if forbidden else F.lit(False)).alias("n")
-            ),
-            "no forbidden series", F.col("n") == 0, F.concat(F.lit("hits="), F.col("n").cast("string")),
-        ),
-        _coverage_check(hstar, series, "skill horizons cover all series"),
+    """The structural gates of a finished run, one row each.
+
+    The ledger is summed up once; its gates are counters of one aggregate over that small table.
+    """
+    expected = {"series": series, "horizon": range(1, horizon + 1), "model": models, "condition": conditions}
+    wanted = {d: [str(v) for v in values] for d, values in expected.items()}
+    counters = [F.coalesce(F.sum(c), F.lit(0)).alias(f"_{c}") for c in ("repeated", "early")]
+    counters.append(F.countDistinct(F.when(F.col("origins") > 0, F.col("series"))).alias("_with_origins"))
+    counters.append(F.countDistinct(F.when(F.lower("series").rlike("|".join(forbidden)) if forbidden else F.lit(False), F.col("series"))).alias("_forbidden"))
+    for d, values in wanted.items():
+        text = F.col(d).cast("string")
+        counters += [F.countDistinct(F.when(text.isin(values), text)).alias(f"_{d}_hits"), F.countDistinct(F.when(~text.isin(values), text)).alias(f"_{d}_others")]
+    others = {
+        "_parity": n_eval_parity(metrics, (F.col("model") != "persistence") if parity_model is None else parity_model).agg(F.count("*")).scalar(),
+        "_hstar": _covered(hstar, series),
+    } | ({} if dm is None else {"_dm": _covered(dm, series)})
+    one = ledger_cells(ledger).agg(*counters).withColumns(others)
+
+    def exactly(d: str, name: str) -> Column:
+        hits, more = F.col(f"_{d}_hits"), F.col(f"_{d}_others")
+        return _gate(name, (hits == len(set(wanted[d]))) & (more == 0), F.concat(F.lit("found="), hits.cast("string"), F.lit(" unexpected="), more.cast("string")))
+
+    def counted(column: str, name: str, label: str, right: int) -> Column:
+        return _gate(name, F.col(column) == right, F.concat(F.lit(f"{label}="), F.col(column).cast("string")))
+
+    gates = [
+        exactly("series", "series set is exactly the expected one"),
+        counted("_with_origins", "every series has origins", "series_with_origins", len(series)),
+        exactly("horizon", "horizons are exactly 1..H"),
+        exactly("model", "model set is exactly the expected one"),
+        exactly("condition", "condition set is exactly the expected one"),
+        counted("_repeated", "ledger key is unique", "duplicate_rows", 0),
+        counted("_early", "forecast timestamps lie after their origin", "violations", 0),
+        counted("_parity", "models and persistence share n_eval", "mismatched_cells", 0),
+        counted("_forbidden", "no forbidden series", "hits", 0),
+        counted("_hstar", "skill horizons cover all series", "covered", len(series)),
     ]
     if dm is not None:
-        rows.append(_coverage_check(dm, series, "tests cover all series"))
-    return reduce(DataFrame.unionByName, rows)
+        gates.append(counted("_dm", "tests cover all series", "covered", len(series)))
+    return one.select(F.inline(F.array(*gates)))
 
 
-def _coverage_check(df: DataFrame, series: Sequence[str], name: str) -> DataFrame:
-    n = df.filter(F.col("series").isin(list(series))).agg(F.countDistinct("series").alias("n"))
-    return _check(n, name, F.col("n") == len(series), F.concat(F.lit("covered="), F.col("n").cast("string")))
+def _covered(df: DataFrame, series: Sequence[str]) -> Column:
+    return df.filter(F.col("series").isin(list(series))).agg(F.countDistinct("series")).scalar()
 
 
 def output_contract(df: DataFrame, columns: Sequence[str], identifiers: Sequence[str], conditions: Sequence[str],
@@ -148,7 +152,8 @@ def reconcile_claims(claims: DataFrame, found: DataFrame, labels: Mapping[str, s
     """Left-join claimed values with recomputed ones and grade each.
 
     ``claims``: claim_id, metric, series, condition, claimed_value (text). ``found``: metric, series, condition,
-    value (text) and number (NULL for text values). ``labels`` maps display names to series names.
+    value (text), number (NULL for text values) and, where known, ``source_file`` and ``source_row``, the table and row that
+    the value comes from. ``labels`` maps display names to series names.
     """
     if labels:
         claims = claims.replace(dict(labels), subset=["series"])
@@ -156,6 +161,7 @@ def reconcile_claims(claims: DataFrame, found: DataFrame, labels: Mapping[str, s
     keys = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ("metric", "series", "condition")]
     joined = left.join(right, reduce(lambda a, b: a & b, keys), "left")
     number = F.replace(F.col("c.claimed_value"), F.lit(","), F.lit("")).try_cast("double")
+    source = [F.col(f"f.{c}").alias(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in ("source_file", "source_row")]
     return joined.select(
         F.col("c.claim_id"),
         F.col("c.metric"),
@@ -163,6 +169,7 @@ def reconcile_claims(claims: DataFrame, found: DataFrame, labels: Mapping[str, s
         F.coalesce("f.value", F.lit("NOT_FOUND")).alias("recomputed_value"),
         F.round(F.abs(number - F.col("f.number")), 6).alias("absolute_difference"),
         scalars.claim_status(F.col("c.claimed_value"), F.col("f.value"), F.col("f.number")).alias("status"),
+        *source,
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,10 @@ class Study:
     arm_b: str = "lags_meteo"
     dm_horizons: Sequence[int] = (1, 6, 12, 24)
 
-    @property
+    @cached_property
     def metrics(self) -> DataFrame:
-        return metrics.attach_skill(metrics.cell_metrics(self.ledger))
+        """Staged: skill horizons, deltas and gates all read it."""
+        return stage(metrics.attach_skill(metrics.cell_metrics(self.ledger)), "metrics")
 
     @property
     def hstar(self) -> DataFrame:
