@@ -65,8 +65,8 @@ def drop_folder_files(spark, d):
     return found.select(folder.alias("folder"), "layout", F.col("problem").isNotNull().alias("skipped")).distinct()
 
 
-def station_files(spark, d):
-    """One folder of files per station, every hour twice, written under two headers; the first row of an hour counts."""
+def _station_folder(spark, d) -> str:
+    """One file per station: every hour twice under one header, and one station under another."""
     o, path = _observed(spark, d), _folder(spark, "stations")
     stamp = F.date_format("ts", STAMP)
     for name in ("click", "error", "purchase", "signup"):
@@ -76,10 +76,19 @@ def station_files(spark, d):
         _single(rows.unionByName(again), path, f"{name}_merged_NA.csv")
     other = o.filter(F.col("series") == "view").select(F.col("k_mean").alias("wdsp"), F.lit("x").alias("note"), F.date_format("ts", "dd/MM/yyyy HH:mm").alias("datetime"), F.col("y").alias("NO2"))
     _single(other, path, "view_finalised_merged_NA.csv")
-    got = delimited.ingest_stations(spark, path)
+    return path
+
+
+def station_files(spark, d):
+    """The first row of an hour counts."""
+    got = delimited.ingest_stations(spark, _station_folder(spark, d))
     return rounded(got.select(F.col("timestamp").alias("ts"), "station", "PM10", "NO2", "temp", "wdsp", "O3"))
 
 
+def station_columns(spark, d):
+    return delimited.station_columns(spark, _station_folder(spark, d))
+
+
 def _single(df: DataFrame, folder: str, name: str) -> None:
     """One file of the given name, as stations deliver theirs."""
     spark, part = df.sparkSession, f"{folder}-parts/{name}"
@@ -185,6 +194,9 @@ UNION ALL SELECT ',', 6, count(*) FROM obs WHERE hour(ts) % 3 = 0""")),
   t(folder, layout, skipped) WHERE (SELECT count(*) FROM obs) > 0""")),
     "station_files": (station_files, sql(OBS, select=f"""SELECT ts, series AS station, CASE WHEN series <> 'view' THEN {r('y')} END AS "PM10", CASE WHEN series = 'view' THEN {r('y')} END AS "NO2",
   CASE WHEN series <> 'view' THEN {r('n_events')} END AS temp, CASE WHEN series = 'view' THEN {r('k_mean')} END AS wdsp, CAST(NULL AS DOUBLE) AS "O3" FROM obs""")),
+    "station_columns": (station_columns, sql(OBS, select="""SELECT series || CASE WHEN series = 'view' THEN '_finalised_merged_NA.csv' ELSE '_merged_NA.csv' END AS file, series AS station,
+  CASE WHEN series = 'view' THEN 4 ELSE 3 END AS n_columns, CASE WHEN series = 'view' THEN 'datetime' ELSE 'Date and Time' END AS date_column, series <> 'view' AS pm10_available, false AS pm25_available,
+  CASE WHEN series = 'view' THEN 'wdsp' ELSE 'temp' END AS meteo_columns_available, CASE WHEN series = 'view' THEN 'NO2' ELSE '' END AS aux_pollutants_available FROM (SELECT DISTINCT series FROM obs)""")),
     "shards_ordered": (shards_ordered, sql(OBS, select="SELECT row_number() OVER (ORDER BY series, ts) AS row, series, ts FROM obs")),
     "manifest_of_exports": (manifest_of_exports, """WITH files AS (
   SELECT CAST(c_nationkey AS INTEGER) AS nation, string_agg(CAST(c_custkey AS VARCHAR) || ',' || c_name, chr(10) ORDER BY c_custkey) || chr(10) AS content FROM customer GROUP BY 1)

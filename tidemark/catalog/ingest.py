@@ -277,6 +277,12 @@ def completeness_months(spark, d):
     )
 
 
+def completeness_reasons(spark, d):
+    """One strict year, one whose last months are excluded, one whose first month is excluded but present, and years without a policy."""
+    done = quality.annual_completeness(_orders(spark, d), strict_years=[1995], relaxed={2001: [9, 10, 11, 12], 1996: [1]})
+    return done.select("series", "year", "complete", "partial_year_allowed", "reason")
+
+
 def target_description(spark, d):
     return rounded(quality.describe_target(_orders(spark, d)))
 
@@ -371,6 +377,12 @@ rows, joint_rows, {r('ys')} AS y_share, {r('cs')} AS min_covariate_share, ys >=
         select="""SELECT series, year, array_to_string(mf, ',') AS months_found, array_to_string(ab, ',') AS months_missing,
 len(mr) = 0 AND len(list_intersect(mf, ex)) = 0 AS complete, year = 2001 AS partial_year_allowed,
 CASE WHEN len(mr) > 0 THEN 'year=' || year || ': missing months ' || array_to_string(mr, ',') END AS error FROM h""")),
+    "completeness_reasons": (completeness_reasons, sql(ORDERS, "f AS (SELECT series, CAST(year(ts) AS INTEGER) AS year, list_sort(list(DISTINCT CAST(month(ts) AS INTEGER))) AS mf FROM o GROUP BY 1, 2)",
+        "g AS (SELECT *, CASE year WHEN 2001 THEN [9, 10, 11, 12] WHEN 1996 THEN [1] ELSE [] END AS ex FROM f)",
+        "h AS (SELECT *, list_filter(range(1, 13), lambda x: NOT list_contains(mf, CAST(x AS INTEGER)) AND NOT list_contains(ex, CAST(x AS INTEGER))) AS mr, list_sort(list_intersect(mf, ex)) AS pr FROM g)",
+        select="""SELECT series, year, year NOT IN (1995, 1996, 2001) OR (len(mr) = 0 AND len(pr) = 0) AS complete, year <> 1995 AS partial_year_allowed,
+CASE WHEN year = 1995 THEN '' WHEN year IN (1996, 2001) THEN 'excluded by design: months ' || array_to_string(ex, ',') || CASE WHEN len(pr) > 0 THEN '; present all the same: ' || array_to_string(pr, ',') ELSE '' END
+  ELSE 'year=' || year || ': no policy, included as it is' END AS reason FROM h""")),
     "target_description": (target_description, sql(ORDERS, select=f"SELECT series, count(y) AS n, {r('avg(y)')} AS mean, {r('stddev_samp(y)')} AS sd, {r('quantile_cont(y, 0.95)')} AS p95 FROM o GROUP BY series")),
     "lag1_autocorr": (lag1_autocorr, sql(OBS, PANEL, "k AS (SELECT series, y, lag(y) OVER (PARTITION BY series ORDER BY ts) AS p FROM panel WHERE y IS NOT NULL AND ts <= TIMESTAMP '2024-01-14 23:00:00')",
         select=f"SELECT series, count(y) AS n, {r('corr(y, p)')} AS rho1 FROM k GROUP BY series")),

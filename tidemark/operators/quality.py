@@ -277,7 +277,8 @@ def annual_completeness(
     """Months present per (series, year) against the policy of that year.
 
     Strict years need all twelve months. ``relaxed`` years name months that are expected to be absent: the
-    others are required, and an excluded month that is present also makes the year incomplete. Other years pass.
+    others are required, and an excluded month that is present also makes the year incomplete. Other years pass. ``reason`` tells which
+    rule let a year be partial, and warns of excluded months that are present; it is empty for strict years.
     """
     relaxed = dict(relaxed or {})
     years = panel.groupBy("series", F.year("ts").alias("year")).agg(
@@ -297,12 +298,19 @@ def annual_completeness(
     message = F.concat(
         F.lit("year="), year.cast("string"), F.lit(": missing months "), F.array_join("missing_required", ",")
     )
+    warning = F.when(F.size(present) > 0, F.concat(F.lit("; present all the same: "), F.array_join(present, ","))).otherwise(F.lit(""))
+    reason = (
+        F.when(is_strict, F.lit(""))
+        .when(is_relaxed, F.concat(F.lit("excluded by design: months "), F.array_join("excluded_months", ","), warning))
+        .otherwise(F.concat(F.lit("year="), year.cast("string"), F.lit(": no policy, included as it is")))
+    )
     return (
         years.withColumn("excluded_months", excluded)
         .withColumn("missing_required", required)
         .withColumn("months_missing", F.when(is_strict | is_relaxed, absent).otherwise(F.array().cast("array<int>")))
         .withColumn("complete", complete)
         .withColumn("partial_year_allowed", ~is_strict)
+        .withColumn("reason", reason)
         .withColumn("error", F.when((is_strict | is_relaxed) & (F.size("missing_required") > 0), message))
         .drop("missing_required")
     )

@@ -358,6 +358,20 @@ def ingest_stations(spark: SparkSession, folder: str, exclude: Sequence[str] = (
     return dedup(rows, ["station", "timestamp"], ["_seq"], keep).drop("_seq")
 
 
+def station_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """What each station file offers, from headers alone: ``file, station, n_columns, date_column, pm10_available, pm25_available`` and the
+    comma-joined ``meteo_columns_available`` and ``aux_pollutants_available``, in the order of the canonical columns."""
+    names = F.col("names")
+    listed = lambda wanted: F.array_join(F.filter(F.array(*[F.lit(c) for c in wanted]), lambda c: F.array_contains(names, c)), ",")
+    dates = F.filter(F.array(*[F.lit(c) for c in DATE_COLUMNS]), lambda c: F.array_contains(F.transform(names, F.lower), F.lower(c)))
+    file = F.element_at(F.split("path", "/"), -1)
+    return file_layouts(spark, folder, ",").select(
+        file.alias("file"), station_from_file(file).alias("station"), F.size(names).alias("n_columns"), F.get(dates, F.lit(0)).alias("date_column"),
+        F.array_contains(names, "PM10").alias("pm10_available"), F.array_contains(names, "PM2.5").alias("pm25_available"),
+        listed(WEATHER).alias("meteo_columns_available"), listed([c for c in POLLUTANTS if not c.startswith("PM")]).alias("aux_pollutants_available"),
+    )
+
+
 def standardize_network(df: DataFrame) -> DataFrame:
     """Network export → ``city, station_id, component, datetime, value``; rows lacking time or value are dropped."""
     source = {name: F.col(f"`{pick_column(df.columns, aliases)}`") for name, aliases in NETWORK_ALIASES.items()}
