@@ -8,6 +8,8 @@ import sys
 import zlib
 from functools import lru_cache
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import repair
@@ -189,3 +191,12 @@ def test_repaired_turns_and_edge_tables(spark):
     assert repair.repair(repair.damage(spark.createDataFrame([(9, 1, "user", "x", "extra")], SCHEMA + ", fault string"))).count() == 1
     with pytest.raises(ValueError):
         Costs(insert=0)
+
+
+def test_sql_equals_the_contract():
+    rows = conversations(9, 40, 9) + [(None, 0, "user", "Hi."), (None, None, "assistant", "So."), (500, None, None, None), (501, None, "user", "A.")]
+    rows += [(600, 3, "user", "Same."), (600, 3, "user", "Same.")] + [(603 + i, 0, "user", "Only.") for i in range(40)]
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
+    con = duckdb.connect()
+    con.register("conversations", pa.table(columns, ["conv_id", "turn", "role", "text"]))
+    assert {r[0]: tuple(r)[1:] for r in con.execute(repair.SQL).fetchall()} == brute(rows)
