@@ -144,3 +144,30 @@ def test_scan_of_several_levels(spark):
         got = blocks.scan(df, ["s"], "b", ["i"], {"n": F.lit(1), "total": F.col("v")}, {"lasts": F.col("v")}, levels=levels, fanout=4).toPandas().sort_values("i")
         assert (got.n.to_numpy() == pdf.groupby("s").cumcount().to_numpy() + 1).all()
         assert np.allclose(got.total, pdf.total) and np.array_equal(got.lasts.to_numpy(float), pdf.lasts.to_numpy(float), equal_nan=True)
+
+
+def test_recursive_learner_on_the_imputed_prefix(spark, panel):
+    """Lags, day of week and month of the predicted row; the prefix of each fold imputed from itself alone."""
+    lags = (1, 2, 7)
+    rows = stage(backtest.prepare(to_spark(spark, panel), TINY, SPEC, arma.depth_needed(lags)), "t")
+    at = places(rows, SPEC)
+    found = arma.recursive_learner(rows, SPEC, lags, chunk_rows=50).filter("series = 'a'").collect()
+    g = panel[panel.series == "a"].sort_values("ts").reset_index(drop=True)
+    assert len(found) == sum(s == "a" for s, _ in at) > 15
+    for r in found:
+        end = at["a", r.origin_seq] - 1
+        y = imputed(g, end)
+        idx = list(range(max(lags), end + 1))
+        calendar = lambda i: [g.ts[i].dayofweek, g.ts[i].month]
+        if len(idx) < 80:
+            assert r.preds[0] == [None] * SPEC.horizon
+            continue
+        a = np.array([[1.0, *calendar(i), *[y[i - k] for k in lags]] for i in idx])
+        live = np.ptp(a, axis=0) > 0
+        live[0] = True
+        coef = np.zeros(a.shape[1])
+        coef[live] = np.linalg.lstsq(a[:, live], y[idx], rcond=None)[0]
+        hist = list(y)
+        for h in range(1, SPEC.horizon + 1):
+            hist.append(float(np.dot(coef, [1.0, *calendar(end + 1 + h), *[hist[-k] for k in lags]])))
+        assert np.allclose(r.preds[0], hist[end + 1:], rtol=1e-4, atol=1e-4)
