@@ -67,54 +67,92 @@ def _step(params: Params, token: np.ndarray, before: np.ndarray) -> tuple[np.nda
     return keep * before + (1 - keep) * new, keep, reset, new, own[:, 2 * h :]
 
 
-def _outputs(params: Params, borders: np.ndarray, states: np.ndarray, targets: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+#: Rows whose class outputs are worked out at once: they stay in the processor's cache, where exponentials cost a fraction.
+ROWS = 1024
+#: Numbers of a parameter that a step changes at once, for the same reason.
+CACHED = 32_768
+
+
+class Buffers:
+    """Arrays kept from window to window, since fresh large ones cost more than the sums written to them."""
+
+    def __init__(self, params: Params):
+        classes = len(params["class_b"])
+        self.class_level = np.empty((ROWS, classes), np.float32)
+        self.grads: Params = {k: np.zeros_like(v) for k, v in params.items() if k != "gates"}
+        self.spare = {k: np.empty_like(v) for k, v in self.grads.items()}
+
+    def zeroed(self) -> Params:
+        for g in self.grads.values():
+            g.fill(0)
+        return dict(self.grads)
+
+
+def _outputs(
+    params: Params, borders: np.ndarray, states: np.ndarray, targets: np.ndarray, grads: Params | None = None, level: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probability of each target, and with ``grads`` the gradient of the loss in the states (others are added up there)."""
+    states = np.ascontiguousarray(states)
     of = np.searchsorted(borders, targets, side="right") - 1
-    logits = states @ params["class_w"] + params["class_b"]
-    logits -= logits.max(axis=1, keepdims=True)
-    expd = np.exp(logits)
-    total = expd.sum(axis=1)
-    rows = np.arange(len(targets))
-    logp = logits[rows, of] - np.log(total)
-    back = None
-    if grads is not None:
-        error = expd / total[:, None]
-        error[rows, of] -= 1
-        grads["class_w"] += states.T @ error
-        grads["class_b"] += error.sum(axis=0)
-        back = error @ params["class_w"].T
+    logp = np.empty(len(targets), np.float32)
+    back = None if grads is None else np.empty(states.shape, np.float32)
+    level = np.empty((min(ROWS, len(targets)), len(params["class_b"])), np.float32) if level is None else level
+    to_states = np.ascontiguousarray(params["class_w"].T)
+    for at in range(0, len(targets), ROWS):
+        part = states[at : at + ROWS]
+        n = len(part)
+        mine, rows = of[at : at + n], np.arange(n)
+        out = np.matmul(part, params["class_w"], out=level[:n])
+        out += params["class_b"]
+        out -= out.max(axis=1, keepdims=True)
+        value = out[rows, mine]
+        np.exp(out, out=out)
+        total = out.sum(axis=1)
+        logp[at : at + n] = value - np.log(total)
+        if grads is not None:
+            out /= total[:, None]
+            out[rows, mine] -= 1
+            grads["class_w"] += part.T @ out
+            grads["class_b"] += out.sum(axis=0)
+            np.matmul(out, to_states, out=back[at : at + n])
     order = np.argsort(of, kind="stable")
     cuts = np.searchsorted(of[order], np.arange(len(borders)))
-    for c in range(len(borders) - 1):
-        mine = order[cuts[c] : cuts[c + 1]]
-        if not len(mine):
-            continue
-        low, high = borders[c], borders[c + 1]
-        if high - low == 1:
-            continue
-        mine_states = states[mine]
-        inner = mine_states @ params["word_w"][low:high].T + params["word_b"][low:high]
-        inner -= inner.max(axis=1, keepdims=True)
-        place, at = targets[mine] - low, np.arange(len(mine))
-        value = inner[at, place]
-        np.exp(inner, out=inner)
-        total = inner.sum(axis=1)
-        logp[mine] += value - np.log(total)
-        if grads is not None:
-            inner /= total[:, None]
-            inner[at, place] -= 1
-            grads["word_w"][low:high] += inner.T @ mine_states
-            grads["word_b"][low:high] += inner.sum(axis=0)
-            back[mine] += inner @ params["word_w"][low:high]
+    sorted_states, sorted_targets = states[order], targets[order]
+    gained = np.zeros(len(targets), np.float32)
+    given = None if grads is None else np.zeros_like(sorted_states)
+    for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(borders) > 1)).tolist():
+        low, high = int(borders[c]), int(borders[c + 1])
+        words, bias = params["word_w"][low:high], params["word_b"][low:high]
+        step = max(1, (ROWS * 256) // (high - low))
+        for at in range(int(cuts[c]), int(cuts[c + 1]), step):
+            upto = min(at + step, int(cuts[c + 1]))
+            mine_states, place, rows = sorted_states[at:upto], sorted_targets[at:upto] - low, np.arange(upto - at)
+            inner = mine_states @ words.T
+            inner += bias
+            inner -= inner.max(axis=1, keepdims=True)
+            value = inner[rows, place]
+            np.exp(inner, out=inner)
+            total = inner.sum(axis=1)
+            gained[at:upto] = value - np.log(total)
+            if grads is not None:
+                inner /= total[:, None]
+                inner[rows, place] -= 1
+                grads["word_w"][low:high] += inner.T @ mine_states
+                grads["word_b"][low:high] += inner.sum(axis=0)
+                np.matmul(inner, words, out=given[at:upto])
+    logp[order] += gained
+    if grads is not None:
+        back[order] += given
     return logp, back
 
 
 def window_gradients(
-    params: Params, borders: np.ndarray, tokens: np.ndarray, targets: np.ndarray, fresh: np.ndarray, before: np.ndarray, counted: np.ndarray | None = None
+    params: Params, borders: np.ndarray, tokens: np.ndarray, targets: np.ndarray, fresh: np.ndarray, before: np.ndarray, counted: np.ndarray | None = None,
+    buffers: Buffers | None = None,
 ) -> tuple[float, Params, np.ndarray]:
     """Loss (negative log-likelihood), gradients and last state of one window of ``(steps, lanes)``; ``fresh`` marks starts of documents.
 
-    Targets that are not ``counted`` only move the state. ``gates`` gradients come as one row per step and lane, since most tokens do not occur in a window.
+    Targets that are not ``counted`` only move the state. With ``buffers`` the gradients lie there until the next call. ``gates`` gradients come as one row per step and lane, since most tokens do not occur in a window.
     """
     steps, lanes = tokens.shape
     h = before.shape[1]
@@ -126,10 +164,11 @@ def window_gradients(
         state, *rest = _step(params, tokens[t], state)
         kept.append((held, *rest))
         states[t] = state
-    grads = {k: np.zeros_like(v) for k, v in params.items() if k != "gates"}
+    buffers = buffers or Buffers(params)
+    grads = buffers.zeroed()
     mine = slice(None) if counted is None or counted.all() else np.flatnonzero(counted.reshape(-1))
     back = np.zeros((steps * lanes, h), np.float32)
-    logp, back[mine] = _outputs(params, borders, states.reshape(-1, h)[mine], targets.reshape(-1)[mine], grads)
+    logp, back[mine] = _outputs(params, borders, states.reshape(-1, h)[mine], targets.reshape(-1)[mine], grads, buffers.class_level)
     back = back.reshape(steps, lanes, h)
     rows = np.empty((steps, lanes, 3 * h), np.float32)
     later = np.zeros((lanes, h), np.float32)
@@ -173,6 +212,7 @@ def train(
     rate, loss, count = s.rate if rate is None else rate, 0.0, 0
     total = epochs * sum(map(len, streams))
     done = 0
+    buffers = Buffers(params)
     for _ in range(epochs):
         order = rng.permutation(len(streams))
         size = sum(map(len, streams))
@@ -190,24 +230,32 @@ def train(
         state, loss, count = np.zeros((lanes, s.hidden), np.float32), 0.0, 0
         for at in range(0, length, s.window):
             part = slice(at, at + s.window)
-            part_loss, grads, state = window_gradients(params, borders, tokens[part], targets[part], fresh[part], state, counted[part])
+            part_loss, grads, state = window_gradients(params, borders, tokens[part], targets[part], fresh[part], state, counted[part], buffers)
             loss, count = loss + part_loss, count + int(counted[part].sum())
             done += tokens[part].size
-            _update(params, squares, grads, tokens[part].reshape(-1), rate * max(0.1, 1 - done / total) if lowered else rate)
+            _update(params, squares, grads, tokens[part].reshape(-1), rate * max(0.1, 1 - done / total) if lowered else rate, buffers.spare)
     return loss / max(1, count)
 
 
-def _update(params: Params, squares: Params, grads: Params, tokens: np.ndarray, rate: float) -> None:
+def _update(params: Params, squares: Params, grads: Params, tokens: np.ndarray, rate: float, spare: Params) -> None:
     """Gradient steps with rates adapted per parameter."""
     rows = grads.pop("gates")
     order = np.argsort(tokens, kind="stable")
     distinct, first = np.unique(tokens[order], return_index=True)
     summed = np.add.reduceat(rows[order], first, axis=0)
-    squares["gates"][distinct] += summed * summed
-    params["gates"][distinct] -= rate * summed / np.sqrt(squares["gates"][distinct])
+    own = squares["gates"][distinct] + summed * summed
+    squares["gates"][distinct] = own
+    params["gates"][distinct] -= rate * summed / np.sqrt(own)
     for k, g in grads.items():
-        squares[k] += g * g
-        params[k] -= rate * g / np.sqrt(squares[k])
+        flat = [x.reshape(-1) for x in (g, squares[k], params[k], spare[k])]
+        for at in range(0, len(flat[0]), CACHED):  # all steps on a run of numbers while they are in the cache
+            slope, square, value, room = (x[at : at + CACHED] for x in flat)
+            np.multiply(slope, slope, out=room)
+            square += room
+            np.sqrt(square, out=room)
+            np.divide(slope, room, out=room)
+            room *= np.float32(rate)
+            value -= room
 
 
 def score(params: Params, borders: np.ndarray, streams: list[np.ndarray], end: int, lanes: int = 512, window: int = 64) -> np.ndarray:

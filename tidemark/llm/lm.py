@@ -11,6 +11,7 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,6 +162,11 @@ def _cut(vocab, rounds: int, chunk: int, lead: int):
     return run
 
 
+def _classes(tokens: int) -> int:
+    """Fewest outputs a token: with borders at equal shares of square roots of counts, a class of falling counts (Zipf) costs 4 tokens / (classes ln tokens)."""
+    return math.isqrt(int(4 * tokens / math.log(max(3, tokens))))
+
+
 def fit(
     train: DataFrame, vocab: Vocabulary, rows: int = SAMPLE_ROWS, settings: gru.Settings = SETTINGS, rounds: int = ROUNDS, chunk: int = CHUNK, lead: int = LEAD,
 ) -> bytes:
@@ -172,7 +178,7 @@ def fit(
     """
     spark = ready(train.sparkSession)
     held = spark.sparkContext.broadcast(vocab)
-    settings = replace(settings, classes=max(settings.classes, math.isqrt(len(vocab.sorted_counts))))
+    settings = replace(settings, classes=max(settings.classes, _classes(len(vocab.sorted_counts))))
 
     def learn(found: list[tuple]) -> bytes:
         known = held.value
@@ -185,7 +191,7 @@ def fit(
     model = sampling.fit(train.filter(sampling.draw(F.col("__id")) < share), "__id", learn)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = train.select("__text").mapInArrow(_cut(held, rounds, chunk, lead), PIECES_OF_TEXT)
-    pieces = stage(cut.repartition(parts, "round", "place"), "pieces")
+    pieces = stage(cut.repartition(parts, "round", "place").sortWithinPartitions("round", "place", "lead", "tokens"), "pieces")
     for number in range(rounds):
         model = _round(pieces.filter(F.col("round") == number).select("lead", "tokens"), model, vocab, settings)
     return model
@@ -226,7 +232,7 @@ def _round(pieces: DataFrame, model: bytes, vocab: Vocabulary, settings: gru.Set
             flat = np.concatenate([params[k].reshape(-1) for k in sorted(params)])
             weight = float(learned)
             parts = np.array_split(flat, PIECES)
-            salt = xxhash.xxh64_intdigest(flat.tobytes()) % salts
+            salt = TaskContext.get().partitionId() % salts  # the same if the task runs again
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(PIECES), pa.int32()), pa.array([salt] * PIECES, pa.int32()), pa.array([weight] * PIECES), pa.array([(p.astype(np.float64) * weight).astype(np.float32).tobytes() for p in parts], pa.binary())],
                 names=["piece", "salt", "weight", "part"],
