@@ -83,21 +83,88 @@ def test_words_of_classes_do_not_decide_over_the_main_text(spark):
             assert found[i] and "other" not in found[i]
 
 
-def test_classes_nest_and_find_the_slot():
-    rows = {}
-    for n in range(20):
-        p = pages.Page(page(n, f"t{n}", ["x " * 30, f"y{n} " * 20]))
-        for token, parent, key in p.tokens:
-            rows.setdefault(token, {"token": token, "parent": parent, "key": key, "chars": 0, "on": []})["on"].append(n)
-        for path, _, _, outside, dropped in p.blocks:
+def tokens_of(sources):
+    """Tokens of a host with explicit occurrence vectors, the plain version of what Spark sums up."""
+    rows, distinct = {}, sorted(set(sources))
+    for n, source in enumerate(sources):
+        page = pages.Page(source)
+        seen = page.totals()
+        for node, text, _, dropped in page.blocks:
             if not dropped:
-                rows[path]["chars"] += outside
-    tokens = [
-        r | {"vector": hash(tuple(r["on"])), "pages": len(set(r["on"])), "total": len(r["on"])} for r in rows.values()
-    ]
-    number, main, fixed = pages.deduce(tokens, 20)
-    assert number >= 2 and fixed == [] and next(t["key"] for t in tokens if t["token"] == main).startswith("div.post-body")
-    assert pages.deduce(tokens, 2) == (0, None, [])
+                path = page.nodes[node][0]
+                now = seen.setdefault(pages._text_token(path, text), [path, None, 0, 0, 0, 0, 0])
+                now[2] += 1
+                now[3] += len(text)
+        for token, (parent, key, count, *numbers) in seen.items():
+            r = rows.setdefault(token, {"token": token, "parent": parent, "key": key, "on": {}, "pages": 0, "total": 0, "chars": 0, "links": 0, "before": 0, "after": 0})
+            r["on"][n] = (source, count)
+            r["pages"] += 1
+            r["total"] += count
+            for name, number in zip(("chars", "links", "before", "after"), numbers, strict=True):
+                r[name] += number
+    vectors_of = {}
+    for r in rows.values():
+        r["low"], r["high"] = vectors_of.setdefault(tuple(sorted(r.pop("on").items())), len(vectors_of)), 0
+    return list(rows.values()), len(distinct)
+
+
+def test_classes_nest_and_find_the_slot():
+    tokens, distinct = tokens_of([page(n, f"t{n}", [f"x{n} " * 30, f"y{n} " * 20]) for n in range(20)])
+    found = pages.deduce(tokens, distinct)
+    assert found["n_classes"] >= 2 and next(t["key"] for t in tokens if t["token"] == found["main"]).startswith("div.post-body")
+    fixed = {pages._text_token(t["parent"], "Subscribe now for more.") for t in tokens}
+    assert len(fixed.intersection(found["fixed"])) == 1
+
+
+def test_templates_equal_those_of_explicit_vectors(spark):
+    rng = random.Random(4)
+    hosts = {f"h{h}": [page(i, t, ps, extra="<p>more</p>" * rng.randrange(3)) for i, t, ps in site(rng.randrange(1, 14))] for h in range(6)}
+    hosts["copies"] = [page(k, f"Copy {k}", ["one two three " * 9]) + f"<section class='{name}'><p>unlike</p></section>" for k, name in ((1, "x"), (2, "y")) for _ in range(2)]
+    hosts["copies"] += [page(i, t, ps) for i, t, ps in site(5)]
+    rows = [(h, source) for h, sources in hosts.items() for source in sources]
+    found = {r.host: r.asDict() for r in pages.templates(spark.createDataFrame(rows, "host string, html string").repartition(5)).collect()}
+    for host, sources in hosts.items():
+        assert found[host] == pages.deduce(*tokens_of(sources)) | {"host": host}
+
+
+BOILERPLATE = {
+    "ad": "<div class='ad'>buy thing number {i}</div>", "advert": "<div class='ad-slot'><p>offer {i}</p></div>", "notice": "<div class='cookie-notice'>we use {i} cookies</div>",
+    "share": "<div class='share'>share it</div>", "related": "<div class='more'><ul><li><a href=x>Story {i}</a><li><a href=y>Other {i}</a></ul></div>",
+    "comments": "<div class='comments'><div class='comment'><b>ann</b><p>reader {i} says a thing</p></div><div class='comment'><b>bo</b><p>and {i} more</p></div></div>",
+    "replies": "<section class='voices'>" + "".join(f"<div class='v'><div class='who'>reader {k}</div><p>says {{i}} things</p></div>" for k in range(3)) + "</section>",
+}
+
+
+def test_slots_that_show_none_of_the_article_go(spark):
+    rows, wanted = [], {}
+    for i, title, paragraphs in site(12):
+        text = "\n".join([title, *paragraphs])
+        inner = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+        late = "".join(BOILERPLATE[k] for k in ("share", "ad", "related", "comments")).format(i=i)
+        early = "".join(BOILERPLATE[k] for k in ("notice", "advert")).format(i=i)
+        for name, html in {
+            "in": f"<body>{early}<article>{early}{inner}{late}</article></body>", "beside": f"<body>{early}<div class='wrap'><div class='post'>{inner}</div>{late}</div></body>",
+            "voices": f"<body><div class='post'>{inner}{BOILERPLATE['replies'].format(i=i)}</div></body>",
+            "deep": "<body>" + "<div>" * 600 + f"<div class='wrap'><div class='post'>{inner}</div><div class='sidebar'>side words {i}</div></div>" + "</div>" * 600,
+        }.items():
+            for host in (name, f"{name}{i}"):  # with a template, and alone on its host
+                for _ in range(1 + i % 2):  # some pages are repeated
+                    rows.append((len(rows), f"https://{host}.example.com/", html))
+                    wanted[len(rows) - 1] = text
+    found = {r.page_id: r.text for r in pages.extract(pages_of(spark, rows)).collect()}
+    assert {i: t for i, t in found.items() if t != wanted[i]} == {}
+
+
+def test_the_template_decides():
+    """A slot that its page alone would keep goes because of the host, and a fixed sentence with it."""
+    sources = [page(i, t, ps, extra="".join(f"<div class='news-letter'><p>Write to us, edition {i}.</p></div>" for _ in range(i == 3))) for i, t, ps in site(12)]
+    template = pages.deduce(*tokens_of(sources))
+    assert all("Subscribe" in pages.main_text(s, None) and "Subscribe" not in pages.main_text(s, template) for s in sources)
+
+
+def test_nesting_costs_linear_time():
+    for deep in ("<div>" * 20_000 + "<p>x</p>" + "<div>a</div>" * 20_000, "<div>" * 20_000 + "<li>x" * 20_000, "<p><div>" + "<b>" * 20_000 + "<i>y</i><div>z</div></u>" * 20_000):
+        assert pages.main_text(f"<article>{deep}</article>", None).count("\n") >= 19_999
 
 
 # --- conversations
