@@ -249,8 +249,45 @@ def test_vector_links_match_brute_force(spark, block, window):
     assert vectors.near_duplicates(vector_table(spark, [])).count() == 0
 
 
-def test_more_rows_need_more_passes():
-    assert vectors.passes_needed(100) <= vectors.passes_needed(10**6) <= vectors.passes_needed(10**9) <= 256
+def test_more_rows_and_less_spread_need_more_passes():
+    assert vectors.passes_needed(100) <= vectors.passes_needed(10**6) <= vectors.passes_needed(10**9)
+    assert vectors.passes_needed(10**5, 1.0) <= vectors.passes_needed(10**5, 0.2) <= vectors.passes_needed(10**5, 0.1)
+
+
+def crowded(background, n, pairs, rng, centre, label, first):
+    """Unit vectors of which any two are at cosine ``background`` or so, and partners of the first ``pairs`` at .985."""
+    dim, unit = len(centre), lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rest = rng.normal(size=(n, dim))
+    rest = unit(rest - (rest @ centre)[:, None] * centre)
+    base = np.sqrt(background) * centre + np.sqrt(1 - background) * rest
+    side = rng.normal(size=(pairs, dim))
+    side = unit(side - (side * base[:pairs]).sum(1, keepdims=True) * base[:pairs])
+    both = np.concatenate([base, 0.985 * base[:pairs] + np.sqrt(1 - 0.985**2) * side])
+    return [(first + i, v, label) for i, v in enumerate(both.tolist())]
+
+
+def test_links_are_found_in_crowded_labels(spark):
+    """Labels off centre, and one of several dense groups, for which no mean tells anything."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for label, groups in enumerate(([0.8], [0.9], [0.95], [0.9] * 5)):
+        for background in groups:
+            centre = rng.normal(size=32)
+            rows += crowded(background, 1500 // len(groups), 60 // len(groups), rng, centre / np.linalg.norm(centre), label, len(rows))
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(vector_table(spark, rows).repartition(4), window=8).collect()}
+    data, labels = np.array([v for _, v, _ in rows], np.float32).astype(float), np.array([lab for *_, lab in rows])
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    near = (data @ data.T >= 0.98) & (labels[:, None] == labels) & ~np.eye(len(rows), dtype=bool)
+    assert sum(found[i][0] == n for i, n in enumerate(near.sum(1))) >= 0.999 * len(rows)
+    a, b = np.nonzero(near)
+    assert len(a) >= 400 and sum(found[i][1] == found[j][1] for i, j in zip(a.tolist(), b.tolist(), strict=True)) >= 0.99 * len(a)
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    edge = 0.98 + 1e-12
+    rows = [(0, [1.0, 0.0], 1), (1, [edge, float(np.sqrt(1 - edge**2))], 1), (2, [0.98 - 1e-12, -float(np.sqrt(1 - (0.98 - 1e-12) ** 2))], 1)]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((r.vec_id, r.n_links) for r in found.collect()) == [(0, 1), (1, 1), (2, 0)]
 
 
 def test_top_k_matches_brute_force(spark):
