@@ -89,8 +89,7 @@ KEYED = "pass int, label {label}, dim int, key long, id long, v {v}"
 
 def centred(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``classes`` with ``c``, the unit vector less the mean of its label and length, and ``(label, dim, rows, spread)``."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = classes.withColumn("norm", norm).withColumn("u", F.transform("v", lambda x: x / F.col("norm")))
+    unit = classes.withColumn("u", F.transform("v", lambda x: x / F.col("norm")))
     places = unit.select("label", "dim", F.posexplode("u").alias("place", "x")).groupBy("label", "dim", "place")
     places = places.agg(F.round(F.avg("x"), 6).alias("x"), F.count("*").alias("rows"))
     means = places.groupBy("label", "dim").agg(
@@ -208,7 +207,7 @@ def _across(links: DataFrame, reach: DataFrame) -> DataFrame:
 
 
 def find_components(classes: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, missed: float = MISSED, still_new: float = STILL_NEW) -> DataFrame:
-    """``(id, component)`` of the ``classes`` (``id, label, v, dim``) that a verified link reaches.
+    """``(id, component)`` of the ``classes`` (``id, label, v, dim, norm``) that a verified link reaches.
 
     Every label gets the passes that its rows and their spread ask for. Whether these do is measured: the links of the last third
     that join components of the others are counted by label, and labels in which they are more than ``still_new`` of all get half as many
@@ -287,7 +286,8 @@ def near_duplicates(
     good = F.col("label").isNotNull() & usable(F.col("v"))
     sound = rows.filter(good).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))
     grouped = sound.groupBy("label", "v").agg(F.min("vid").alias("least"), F.count("*").alias("n"))
-    classes = stage(grouped.select(F.xxhash64("label", "v").alias("id"), "label", "v", F.size("v").alias("dim"), "least", "n"), "classes")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))  # written once, not worked out per component
+    classes = stage(grouped.select(F.xxhash64("label", "v").alias("id"), "label", "v", F.size("v").alias("dim"), norm.alias("norm"), "least", "n"), "classes")
     reach = find_components(classes, threshold, window, missed)
     linked = _count_links(classes.join(reach, "id").select("component", "id", "n", "v"), threshold, block)
     least = classes.join(reach, "id").groupBy("component").agg(F.min("least").alias("component_id"))
