@@ -194,8 +194,9 @@ def daily_skill(spark, d):
 
 
 def _supplier_skills(spark, d):
-    feats = backtest.prepare(tables.supplier_panel(spark, d), tables.DAILY, DAILY)
-    return metrics.attach_skill(metrics.cell_metrics(stage(backtest.baseline_ledger(feats, DAILY), "ledger")))
+    observed = stage(tables.supplier_observed(spark, d), "supplier-days")
+    cells = metrics.cell_metrics(backtest.sparse_baseline_ledger(observed, tables.DAILY, DAILY))
+    return metrics.attach_skill(stage(cells, "supplier-cells"))
 
 
 def supplier_skill(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import blocks
 from tidemark.operators.features import CALENDAR
+from tidemark.operators.panel import PanelSpec
 
 
 @dataclass(frozen=True)
@@ -101,6 +102,47 @@ def origin_rows_by_count(rows: DataFrame, spec: BacktestSpec) -> DataFrame:
     return found.drop("first_pos", "last_pos")
 
 
+def sparse_origin_rows(observed: DataFrame, panel_spec: PanelSpec, spec: BacktestSpec, back: int) -> DataFrame:
+    """:func:`origin_rows_by_count` of the grid over ``observed``, with the arrays that references read, from observed rows alone.
+
+    Positions follow from the time since the first row of a series. Rows are cut into blocks of time with the neighbours that the arrays
+    reach; the ends of a series are copied to its blocks. Steps without a row are NULL in ``ahead_y`` and ``back_y``.
+    """
+    step = panel_spec.step_seconds
+    width = step * panel_spec.block_rows
+    ends = observed.groupBy("series").agg(F.unix_timestamp(F.min("ts")).alias("_lo"), F.unix_timestamp(F.max("ts")).alias("_hi"))
+    block = lambda t: F.floor(t / F.lit(width))
+    at = F.unix_timestamp("ts")
+    rows = observed.select("series", "ts", "y", at.alias("_at"), block(at).alias("_own")).withColumn(
+        "_block", F.explode(F.sequence(block(F.col("_at") - spec.horizon * step), block(F.col("_at") + back * step)))
+    )
+    ends = ends.withColumn("_block", F.explode(F.sequence(block(F.col("_lo")), block(F.col("_hi")))))
+    span = F.col("_at") - F.col("_lo")
+    placed = (
+        rows.join(ends, ["series", "_block"])
+        .filter((span % step == 0) & (F.timestamp_seconds("_at") == F.col("ts")) & F.col("y").isNotNull())
+        .withColumns({"pos": F.floor(span / F.lit(step)), "last_pos": F.floor((F.col("_hi") - F.col("_lo")) / F.lit(step))})
+    )
+    near = Window.partitionBy("series", "_block").orderBy("pos").rangeBetween(-back, spec.horizon)
+    first = spec.min_train_rows - 1
+    found = (
+        placed.withColumn("_near", F.collect_list(F.struct("pos", "y")).over(near))
+        .filter(F.col("_own") == F.col("_block"))
+        .filter((F.col("pos") >= first) & ((F.col("pos") - first) % spec.stride == 0) & (F.col("pos") + spec.horizon <= F.col("last_pos")))
+        .withColumns({"origin_seq": F.floor((F.col("pos") - first) / spec.stride), "_near": F.map_from_entries("_near")})
+    )
+    if spec.max_origins is not None:
+        latest = Window.partitionBy("series").orderBy(F.col("pos").desc())
+        found = found.withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") <= spec.max_origins)
+    value = lambda p: F.try_element_at("_near", p)
+    return found.select(
+        "series", "ts", "pos", "y", "origin_seq",
+        F.array(*[F.timestamp_seconds(F.col("_at") + h * step) for h in range(spec.horizon + 1)]).alias("ahead_ts"),
+        F.array(*[value(F.col("pos") + h) for h in range(spec.horizon + 1)]).alias("ahead_y"),
+        F.array(*[value(F.col("pos") - h) for h in range(back + 1)]).alias("back_y"),
+    )
+
+
 def series_bounds(rows: DataFrame, spec: BacktestSpec) -> DataFrame:
     """One row per series: position of the first origin candidate and of the last row."""
     if spec.convention == "C":

@@ -53,6 +53,24 @@ def baseline_ledger(feature_rows: DataFrame, spec: BacktestSpec, models: Sequenc
     return _scored_rows(ledger, spec)
 
 
+def sparse_baseline_ledger(
+    observed: DataFrame, panel_spec: PanelSpec, spec: BacktestSpec, models: Sequence[str] = ("persistence", "seasonal_naive")
+) -> DataFrame:
+    """:func:`baseline_ledger` of ``regular_grid(observed, panel_spec)`` under convention C, without the grid.
+
+    The references and the truth of this convention are raw values at fixed distances from an origin, and an origin has a known
+    value itself, so observed rows (one per series and ``ts``) and the two ends of each series decide the ledger. The work grows with them instead of with the
+    steps between those ends. ``observed`` is read twice.
+    """
+    if spec.convention != "C":
+        raise ValueError("only convention C reads raw values alone")
+    rows = origins.trim_to_train_start(observed, spec).filter("series IS NOT NULL AND ts IS NOT NULL")
+    at = origins.sparse_origin_rows(rows, panel_spec, spec, baselines.back_reach(spec))
+    available = {"persistence": baselines.persistence, "seasonal_naive": baselines.seasonal_naive}
+    ledger = baselines.to_ledger(at, spec, {(REFERENCE, m): available[m](spec) for m in models})
+    return _scored_rows(ledger, spec)
+
+
 def _scored_rows(ledger: DataFrame, spec: BacktestSpec) -> DataFrame:
     """Convention C keeps no row for an unknown target."""
     return ledger.filter("y_true IS NOT NULL") if spec.convention == "C" else ledger

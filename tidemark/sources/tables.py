@@ -42,13 +42,12 @@ def daily_observed(spark: SparkSession, folder: str) -> DataFrame:
     ).agg(F.sum("l_quantity").alias("y"))
 
 
-def supplier_panel(spark: SparkSession, folder: str, flag: str | None = None) -> DataFrame:
+def supplier_observed(spark: SparkSession, folder: str) -> DataFrame:
     """Daily shipped quantity per supplier: its number of series grows with the table."""
     day = F.date_trunc("day", F.col("l_shipdate").cast("timestamp"))
-    shipped = read_table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("series"), day.alias("ts")).agg(
+    return read_table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("series"), day.alias("ts")).agg(
         F.sum("l_quantity").alias("y")
     )
-    return regular_grid(stage(shipped, "supplier-days"), DAILY, span="series", flag=flag)
 
 
 def daily_panel(spark: SparkSession, folder: str, flag: str | None = None) -> DataFrame:
