@@ -434,3 +434,22 @@ def test_vocabulary_grows_with_the_counted_words(spark):
     assert lm.vocabulary(counts, 1).size == 5000
     assert lm.vocabulary(counts.limit(100), 1).size == 100
     assert lm.vocabulary(counts, 1, in_memory=2).size <= 2
+
+
+def test_models_shuffled_follow_tokens_not_tasks(spark, monkeypatch):
+    """Few tokens in many pieces and tasks are learned as one model, whole; more models where tokens are worth them."""
+    from tidemark.llm import lm
+
+    rows = [(i, f"w{i % 7} w{i % 5} w{i % 3} and so on") for i in range(400)]
+    train = spark.createDataFrame(rows, "__id long, __text string").repartition(16)
+    counts = lm.word_counts(train.select("__text"))
+    seen = []
+    kept = lm._round
+    monkeypatch.setattr(lm, "_round", lambda pieces, *rest: seen.append((pieces.rdd.getNumPartitions(), pieces.count())) or kept(pieces, *rest))
+    vocab = lm.vocabulary(counts, 400)
+    lm.fit(train, vocab, rows=20, rounds=2, chunk=4, lead=1)
+    assert [n for n, _ in seen] == [1, 1] and sum(n for _, n in seen) == 800
+    seen.clear()
+    monkeypatch.setattr(lm, "MODEL_TOKENS", 700)
+    lm.fit(train, vocab, rows=20, rounds=2, chunk=4, lead=1)
+    assert all(1 < n <= 2 for n, _ in seen)

@@ -35,6 +35,8 @@ ROUNDS, ROUND_LANES, ROUND_RATE, ROUND_TOKENS = 2, 512, 0.06, 1_000_000
 STEPS = 64
 #: Different words counted in a task before they are handed on, and tokens scored side by side.
 HELD_WORDS, HELD_TOKENS = 300_000, 1_000_000
+#: Tokens of a round that are worth a model of their own, since every model learned is shuffled whole.
+MODEL_TOKENS = 1_000_000
 #: Pieces of the parameters when models are averaged, and models whose piece one task adds up at first.
 PIECES, ADDED = 32, 64
 SETTINGS = gru.Settings()
@@ -172,7 +174,7 @@ def fit(
 ) -> bytes:
     """Learn from ``train`` (``__id, __text``): first a model of a bounded sample, then all tokens of all documents.
 
-    Texts are cut into pieces of bounded size, which are shuffled evenly over tasks and dealt to ``rounds``. In a round every task
+    Texts are cut into pieces of bounded size, which are shuffled evenly over tasks and dealt to ``rounds``. In a round every task (no more than the tokens are worth)
     starts from the model so far and learns all its pieces, by windows that carry the state on; the mean of all tasks' models,
     weighted by tokens, is the model of the next round. Models are averaged in pieces by Spark.
     """
@@ -192,8 +194,9 @@ def fit(
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = train.select("__text").mapInArrow(_cut(held, rounds, chunk, lead), PIECES_OF_TEXT)
     pieces = stage(cut.repartition(parts, "round", "place").sortWithinPartitions("round", "place", "lead", "tokens"), "pieces")
+    models = max(1, -(-vocab.train_tokens // (rounds * MODEL_TOKENS)))
     for number in range(rounds):
-        model = _round(pieces.filter(F.col("round") == number).select("lead", "tokens"), model, vocab, settings)
+        model = _round(pieces.filter(F.col("round") == number).select("lead", "tokens").coalesce(models), model, vocab, settings)
     return model
 
 
