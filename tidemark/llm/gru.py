@@ -1,8 +1,9 @@
-"""A gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, state carried across windows."""
+"""A gated recurrent language model in numpy: truncated backpropagation, softmax by groups, classes and words, state carried across windows."""
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ class Settings:
     hidden: int = 24
     classes: int = 48
     window: int = 16
-    lanes: int = 48
+    lanes: int = 256
     rate: float = 0.12
     seed: int = 11
 
@@ -37,38 +38,53 @@ def class_borders(counts: np.ndarray, classes: int) -> np.ndarray:
     return borders
 
 
-def start(counts: np.ndarray, s: Settings) -> tuple[Params, np.ndarray]:
-    """Fresh parameters whose outputs begin at the unigram shares."""
+#: Borders of the classes over tokens, and of the groups over classes.
+Borders = tuple[np.ndarray, np.ndarray]
+
+
+def start(counts: np.ndarray, s: Settings) -> tuple[Params, Borders]:
+    """Fresh parameters whose outputs begin at the unigram shares. The last column of the weights of outputs is their bias."""
     rng = np.random.default_rng(s.seed)
-    borders = class_borders(counts, s.classes)
     share = (counts + 1.0) / (counts.sum() + len(counts))
-    of_class = np.add.reduceat(share, borders[:-1])
+    classes = class_borders(counts, s.classes)
+    of_class = np.add.reduceat(share, classes[:-1])
+    groups = class_borders(np.add.reduceat(counts, classes[:-1]), math.isqrt(len(of_class)))
+    of_group = np.add.reduceat(of_class, groups[:-1])
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+    outputs = lambda share, of, borders: np.c_[draw(len(share), s.hidden), np.log(share / np.repeat(of, np.diff(borders)))].astype(np.float32)
     params = {
         "gates": draw(len(counts), 3 * s.hidden), "state": draw(s.hidden, 3 * s.hidden) + 0, "bias": np.zeros(3 * s.hidden, np.float32),
-        "class_w": draw(s.hidden, len(of_class)), "class_b": np.log(of_class).astype(np.float32),
-        "word_w": draw(len(counts), s.hidden), "word_b": np.log(share / np.repeat(of_class, np.diff(borders))).astype(np.float32),
+        "group_w": outputs(of_group, 1.0, np.array([0, len(of_group)])), "class_w": outputs(of_class, of_group, groups), "word_w": outputs(share, of_class, classes),
     }
     params["bias"][: s.hidden] = 1.0  # keep the state at first
-    return params, borders
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _step(params: Params, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-    h = before.shape[1]
-    own = before @ params["state"]
-    given = params["gates"][token] + params["bias"]
-    gates = _sigmoid(given[:, : 2 * h] + own[:, : 2 * h])
-    keep, reset = gates[:, :h], gates[:, h:]
-    new = np.tanh(given[:, 2 * h :] + reset * own[:, 2 * h :])
-    return keep * before + (1 - keep) * new, keep, reset, new, own[:, 2 * h :]
-
-
-#: Rows whose class outputs are worked out at once: they stay in the processor's cache, where exponentials cost a fraction.
-ROWS = 1024
+    return params, (classes, groups)
+
+
+def _sigmoid(x: np.ndarray) -> None:
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+
+
+def _step(weights: np.ndarray, given: np.ndarray, before: np.ndarray, own: np.ndarray, gates: np.ndarray, new: np.ndarray, state: np.ndarray) -> None:
+    """One step of all lanes; a row is a unit, so that every operation runs over consecutive numbers. The last four are written to."""
+    h = len(before)
+    np.matmul(weights, before, out=own)
+    np.add(own[: 2 * h], given[: 2 * h], out=gates)
+    _sigmoid(gates)
+    np.multiply(gates[h:], own[2 * h :], out=new)
+    new += given[2 * h :]
+    np.tanh(new, out=new)
+    np.subtract(before, new, out=state)
+    state *= gates[:h]
+    state += new
+
+
+#: Outputs worked out at once: they stay in the processor's cache, where exponentials cost a fraction.
+ROOM = 1 << 15
+#: Targets' logits down to the negative of this need no shift before exponentials; states lie between -1 and 1, so that others are rare.
+LEAST_LOGIT = 60.0
 #: Numbers of a parameter that a step changes at once, for the same reason.
 CACHED = 32_768
 
@@ -77,77 +93,98 @@ class Buffers:
     """Arrays kept from window to window, since fresh large ones cost more than the sums written to them."""
 
     def __init__(self, params: Params):
-        classes = len(params["class_b"])
-        self.class_level = np.empty((ROWS, classes), np.float32)
         self.grads: Params = {k: np.zeros_like(v) for k, v in params.items() if k != "gates"}
         self.spare = {k: np.empty_like(v) for k, v in self.grads.items()}
 
-    def zeroed(self) -> Params:
-        for g in self.grads.values():
-            g.fill(0)
-        return dict(self.grads)
 
-
-def _outputs(
-    params: Params, borders: np.ndarray, states: np.ndarray, targets: np.ndarray, grads: Params | None = None, level: np.ndarray | None = None
+def _level(
+    weights: np.ndarray, borders: np.ndarray, parents: np.ndarray, children: np.ndarray, states: np.ndarray, room: np.ndarray, grad: np.ndarray | None, careful: bool = False,
 ) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probability of each target, and with ``grads`` the gradient of the loss in the states (others are added up there)."""
-    states = np.ascontiguousarray(states)
-    of = np.searchsorted(borders, targets, side="right") - 1
-    logp = np.empty(len(targets), np.float32)
-    back = None if grads is None else np.empty(states.shape, np.float32)
-    level = np.empty((min(ROWS, len(targets)), len(params["class_b"])), np.float32) if level is None else level
-    to_states = np.ascontiguousarray(params["class_w"].T)
-    for at in range(0, len(targets), ROWS):
-        part = states[at : at + ROWS]
-        n = len(part)
-        mine, rows = of[at : at + n], np.arange(n)
-        out = np.matmul(part, params["class_w"], out=level[:n])
-        out += params["class_b"]
-        out -= out.max(axis=1, keepdims=True)
-        value = out[rows, mine]
-        np.exp(out, out=out)
-        total = out.sum(axis=1)
-        logp[at : at + n] = value - np.log(total)
-        if grads is not None:
-            out /= total[:, None]
-            out[rows, mine] -= 1
-            grads["class_w"] += part.T @ out
-            grads["class_b"] += out.sum(axis=0)
-            np.matmul(out, to_states, out=back[at : at + n])
+    """Log-probability of each child given its parent (rows sorted by parent), with ``grad`` (written there) also the gradient of the loss in the states.
+
+    Unless ``careful`` exponentials are taken of logits as they are, and all is worked out again if they are too large or too small for that.
+    """
+    cuts = np.searchsorted(parents, np.arange(len(borders)))
+    met = (np.diff(cuts) > 0) & (np.diff(borders) > 1)
+    if grad is not None:
+        for c in np.flatnonzero(~met).tolist():
+            grad[borders[c] : borders[c + 1]] = 0
+    place = children - borders[parents]
+    starts, ends = borders.tolist(), cuts.tolist()
+    rows, ones = np.arange(len(states)), np.ones(int(np.diff(borders).max()), np.float32)
+    value, total = np.zeros(len(states), np.float32), np.ones(len(states), np.float32)
+    back = None if grad is None else np.zeros_like(states)
+    for c in np.flatnonzero(met).tolist():
+        low, high = starts[c], starts[c + 1]
+        mine, size = weights[low:high], high - low
+        turned = np.ascontiguousarray(mine.T)
+        step = max(1, len(room) // size)
+        for at in range(ends[c], ends[c + 1], step):
+            upto = min(at + step, ends[c + 1])
+            n, part, sums = upto - at, states[at:upto], total[at:upto]
+            out = room[: n * size].reshape(n, size) if n * size <= len(room) else np.empty((n, size), np.float32)
+            np.matmul(part, turned, out=out)
+            if careful:
+                out -= out.max(axis=1, keepdims=True)
+            told = (rows[:n], place[at:upto])
+            value[at:upto] = out[told]
+            np.exp(out, out=out)
+            np.matmul(out, ones[:size], out=sums)
+            if grad is not None:
+                out[told] -= sums
+                shared = part / sums[:, None]
+                if at == ends[c]:
+                    np.matmul(out.T, shared, out=grad[low:high])
+                else:
+                    grad[low:high] += out.T @ shared
+                np.matmul(out, mine, out=back[at:upto])
+    if not careful and not (np.isfinite(total).all() and value.min(initial=0) > -LEAST_LOGIT):
+        return _level(weights, borders, parents, children, states, room, grad, True)
+    if back is not None:
+        back /= total[:, None]
+    return value - np.log(total), back
+
+
+def _outputs(params: Params, borders: Borders, states: np.ndarray, targets: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of each target, and with ``grads`` (written there) the gradient of the loss in the states.
+
+    ``states`` end with a one, which brings the bias. A target's group is told first, then its class in the group, then the word in the class.
+    """
+    classes, groups = borders
+    kind = np.uint16 if len(classes) <= 1 << 16 else np.int64  # short numbers are sorted by digits
+    of = (np.searchsorted(classes, targets, side="right") - 1).astype(kind)
     order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(len(borders)))
-    sorted_states, sorted_targets = states[order], targets[order]
+    of, words, sorted_states = of[order].astype(np.int64), targets[order], states[order]
+    group = np.searchsorted(groups, of, side="right") - 1
     gained = np.zeros(len(targets), np.float32)
-    given = None if grads is None else np.zeros_like(sorted_states)
-    for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(borders) > 1)).tolist():
-        low, high = int(borders[c]), int(borders[c + 1])
-        words, bias = params["word_w"][low:high], params["word_b"][low:high]
-        step = max(1, (ROWS * 256) // (high - low))
-        for at in range(int(cuts[c]), int(cuts[c + 1]), step):
-            upto = min(at + step, int(cuts[c + 1]))
-            mine_states, place, rows = sorted_states[at:upto], sorted_targets[at:upto] - low, np.arange(upto - at)
-            inner = mine_states @ words.T
-            inner += bias
-            inner -= inner.max(axis=1, keepdims=True)
-            value = inner[rows, place]
-            np.exp(inner, out=inner)
-            total = inner.sum(axis=1)
-            gained[at:upto] = value - np.log(total)
-            if grads is not None:
-                inner /= total[:, None]
-                inner[rows, place] -= 1
-                grads["word_w"][low:high] += inner.T @ mine_states
-                grads["word_b"][low:high] += inner.sum(axis=0)
-                np.matmul(inner, words, out=given[at:upto])
-    logp[order] += gained
-    if grads is not None:
-        back[order] += given
+    pulled = None if grads is None else np.zeros_like(sorted_states)
+    room = np.empty(ROOM, np.float32)
+    top = np.array([0, len(groups) - 1])
+    for name, over, parents, children in (("group_w", top, np.zeros(len(of), np.int64), group), ("class_w", groups, group, of), ("word_w", classes, of, words)):
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            more, back = _level(params[name], over, parents, children, sorted_states, room, None if grads is None else grads[name])
+        gained += more
+        if back is not None:
+            pulled += back
+    logp = np.empty_like(gained)
+    logp[order] = gained
+    if grads is None:
+        return logp, None
+    back = np.empty_like(pulled)
+    back[order] = pulled
     return logp, back
 
 
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """``(steps, units, lanes)`` as one row per step and lane, with a one behind."""
+    steps, h, lanes = states.shape
+    out = np.ones((steps, lanes, h + 1), np.float32)
+    out[:, :, :h] = states.transpose(0, 2, 1)
+    return out.reshape(-1, h + 1)
+
+
 def window_gradients(
-    params: Params, borders: np.ndarray, tokens: np.ndarray, targets: np.ndarray, fresh: np.ndarray, before: np.ndarray, counted: np.ndarray | None = None,
+    params: Params, borders: Borders, tokens: np.ndarray, targets: np.ndarray, fresh: np.ndarray, before: np.ndarray, counted: np.ndarray | None = None,
     buffers: Buffers | None = None,
 ) -> tuple[float, Params, np.ndarray]:
     """Loss (negative log-likelihood), gradients and last state of one window of ``(steps, lanes)``; ``fresh`` marks starts of documents.
@@ -156,35 +193,52 @@ def window_gradients(
     """
     steps, lanes = tokens.shape
     h = before.shape[1]
-    kept, states = [], np.empty((steps, lanes, h), np.float32)
-    state = before
+    weights = np.ascontiguousarray(params["state"].T)
+    held, own, gates, new, states = (np.empty((steps, n * h, lanes), np.float32) for n in (1, 3, 2, 1, 1))
+    starts = [np.flatnonzero(f) for f in fresh]
     for t in range(steps):
-        state = np.where(fresh[t][:, None], np.float32(0), state)
-        held = state
-        state, *rest = _step(params, tokens[t], state)
-        kept.append((held, *rest))
-        states[t] = state
+        given = params["gates"][tokens[t]]
+        given += params["bias"]
+        held[t] = states[t - 1] if t else before.T
+        held[t][:, starts[t]] = 0
+        _step(weights, given.T, held[t], own[t], gates[t], new[t], states[t])
     buffers = buffers or Buffers(params)
-    grads = buffers.zeroed()
-    mine = slice(None) if counted is None or counted.all() else np.flatnonzero(counted.reshape(-1))
-    back = np.zeros((steps * lanes, h), np.float32)
-    logp, back[mine] = _outputs(params, borders, states.reshape(-1, h)[mine], targets.reshape(-1)[mine], grads, buffers.class_level)
-    back = back.reshape(steps, lanes, h)
-    rows = np.empty((steps, lanes, 3 * h), np.float32)
-    later = np.zeros((lanes, h), np.float32)
+    grads = dict(buffers.grads)
+    every = counted is None or counted.all()
+    mine = slice(None) if every else np.flatnonzero(counted.reshape(-1))
+    logp, pulled = _outputs(params, borders, _with_one(states)[mine], targets.reshape(-1)[mine], grads)
+    if not every:
+        part, pulled = pulled, np.zeros((steps * lanes, h + 1), np.float32)
+        pulled[mine] = part
+    back = pulled.reshape(steps, lanes, h + 1)[:, :, :h].transpose(0, 2, 1)
+    rows, through = np.empty((3 * h, steps, lanes), np.float32), np.empty((3 * h, lanes), np.float32)
+    later, rest, spare = np.zeros((h, lanes), np.float32), np.empty((h, lanes), np.float32), np.empty((h, lanes), np.float32)
+    one = np.float32(1)
+    grads["state"].fill(0)
     for t in range(steps - 1, -1, -1):
-        held, keep, reset, new, own = kept[t]
-        d = back[t] + later
-        d_keep = d * (held - new) * keep * (1 - keep)
-        d_new = d * (1 - keep) * (1 - new * new)
-        d_reset = d_new * own * reset * (1 - reset)
-        through = np.concatenate([d_keep, d_reset, d_new * reset], axis=1)
-        rows[t] = np.concatenate([d_keep, d_reset, d_new], axis=1)
-        grads["state"] += held.T @ through
-        later = np.where(fresh[t][:, None], np.float32(0), d * keep + through @ params["state"].T)
-    grads["bias"] = rows.sum(axis=(0, 1))
-    grads["gates"] = rows.reshape(-1, 3 * h)
-    return -float(logp.sum()), grads, state
+        keep, reset = gates[t, :h], gates[t, h:]
+        to_keep, to_reset, to_new = rows[:h, t], rows[h : 2 * h, t], rows[2 * h :, t]
+        later += back[t]
+        np.subtract(one, keep, out=rest)
+        rest *= later
+        np.subtract(held[t], new[t], out=to_keep)  # later * (held - new) * keep * (1 - keep)
+        to_keep *= keep
+        to_keep *= rest
+        np.multiply(new[t], new[t], out=spare)  # later * (1 - keep) * (1 - new^2)
+        np.subtract(one, spare, out=to_new)
+        to_new *= rest
+        np.subtract(one, reset, out=to_reset)  # to_new * own * reset * (1 - reset)
+        to_reset *= own[t, 2 * h :]
+        np.multiply(to_new, reset, out=through[2 * h :])
+        to_reset *= through[2 * h :]
+        through[:h], through[h : 2 * h] = to_keep, to_reset
+        grads["state"] += held[t] @ through.T
+        later *= keep
+        later += params["state"] @ through
+        later[:, starts[t]] = 0
+    grads["bias"] = rows.reshape(3 * h, -1).sum(axis=1)
+    grads["gates"] = rows.reshape(3 * h, -1).T
+    return -float(logp.sum(dtype=np.float64)), grads, states[-1].T
 
 
 def squares_of(params: Params) -> Params:
@@ -193,7 +247,7 @@ def squares_of(params: Params) -> Params:
 
 
 def train(
-    params: Params, borders: np.ndarray, streams: list[np.ndarray], end: int, s: Settings, epochs: int = 1, rate: float | None = None,
+    params: Params, borders: Borders, streams: list[np.ndarray], end: int, s: Settings, epochs: int = 1, rate: float | None = None,
     leads: list[int] | None = None, squares: Params | None = None,
 ) -> float:
     """Train in place over documents of token ids (each closed by ``end``); returns the mean loss of the last epoch.
@@ -240,9 +294,13 @@ def train(
 def _update(params: Params, squares: Params, grads: Params, tokens: np.ndarray, rate: float, spare: Params) -> None:
     """Gradient steps with rates adapted per parameter."""
     rows = grads.pop("gates")
-    order = np.argsort(tokens, kind="stable")
-    distinct, first = np.unique(tokens[order], return_index=True)
-    summed = np.add.reduceat(rows[order], first, axis=0)
+    place = np.bincount(tokens, minlength=len(params["gates"]))
+    distinct = np.flatnonzero(place)
+    place[distinct] = np.arange(len(distinct))
+    place = place[tokens]
+    summed = np.empty((len(distinct), rows.shape[1]), np.float32)
+    for unit in range(rows.shape[1]):
+        summed[:, unit] = np.bincount(place, rows[:, unit])
     own = squares["gates"][distinct] + summed * summed
     squares["gates"][distinct] = own
     params["gates"][distinct] -= rate * summed / np.sqrt(own)
@@ -258,11 +316,15 @@ def _update(params: Params, squares: Params, grads: Params, tokens: np.ndarray,
             value -= room
 
 
-def score(params: Params, borders: np.ndarray, streams: list[np.ndarray], end: int, lanes: int = 512, window: int = 64) -> np.ndarray:
+#: Tokens whose outputs are worked out together when scoring, so that each class is met with many.
+SCORED = 65_536
+
+
+def score(params: Params, borders: Borders, streams: list[np.ndarray], end: int, lanes: int = 512, window: int | None = None) -> np.ndarray:
     """Natural log-probability of each whole document (ids closed by ``end``).
 
     Documents are packed into lanes of about equal length, longest first, as many lanes as keep step with the longest document;
-    shorter lanes drop out when they end. The state is carried over all windows of a document.
+    shorter lanes drop out when they end. The state is carried over all windows of a document, of ``SCORED`` tokens unless told.
     """
     out = np.zeros(len(streams))
     sizes = np.array([len(x) for x in streams], np.int64)
@@ -289,18 +351,22 @@ def score(params: Params, borders: np.ndarray, streams: list[np.ndarray], end: i
                 fresh[at, lane], owner[at : at + n, lane] = True, i
                 at += n
     h = params["state"].shape[0]
-    state = np.zeros((lanes, h), np.float32)
-    for at in range(0, longest, window):
+    weights, table = np.ascontiguousarray(params["state"].T), params["gates"] + params["bias"]
+    state = np.zeros((h, lanes), np.float32)
+    at = 0
+    while at < longest:
         active = int((lengths > at).sum())
-        steps = min(window, longest - at)
-        states = np.empty((steps, active, h), np.float32)
-        state = state[:active]
+        steps = min(window or max(16, SCORED // active), longest - at)
+        states = np.empty((steps, h, active), np.float32)
+        own, gates, new = (np.empty((n * h, active), np.float32) for n in (3, 2, 1))
+        state = state[:, :active].copy()
         for t in range(steps):
-            state = np.where(fresh[at + t, :active][:, None], np.float32(0), state)
-            state = _step(params, tokens[at + t, :active], state)[0]
-            states[t] = state
+            state[:, np.flatnonzero(fresh[at + t, :active])] = 0
+            _step(weights, table[tokens[at + t, :active]].T, state, own, gates, new, states[t])
+            state[:] = states[t]
         mine = owner[at : at + steps, :active].reshape(-1)
-        real = mine >= 0
-        logp, _ = _outputs(params, borders, states.reshape(-1, h)[real], targets[at : at + steps, :active].reshape(-1)[real])
+        real = np.flatnonzero(mine >= 0)
+        logp, _ = _outputs(params, borders, _with_one(states)[real], targets[at : at + steps, :active].reshape(-1)[real])
         out += np.bincount(mine[real], weights=logp.astype(np.float64), minlength=len(streams))
+        at += steps
     return out

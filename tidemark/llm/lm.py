@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -30,13 +30,13 @@ SAMPLE_ROWS, SAMPLE_EPOCHS = 1200, 2
 #: Tokens of a piece of a long text, and tokens before a later piece that bring the state there.
 CHUNK, LEAD = 4096, 64
 #: Rounds in which the pieces are learned, with models averaged after each; lanes read side by side at most, the rate, and tokens laid out at once.
-ROUNDS, ROUND_LANES, ROUND_RATE, ROUND_TOKENS = 2, 512, 0.06, 1_000_000
+ROUNDS, ROUND_LANES, ROUND_WINDOW, ROUND_RATE, ROUND_TOKENS = 2, 512, 64, 0.06, 4_000_000
 #: Windows that tokens laid out at once make at least, if need be by fewer lanes.
 STEPS = 64
-#: Different words counted in a task before they are handed on, and tokens scored side by side.
-HELD_WORDS, HELD_TOKENS = 300_000, 1_000_000
+#: Bytes of text whose words are counted, or looked up, at once, and tokens scored side by side.
+COUNTED_BYTES, RUN_BYTES, HELD_TOKENS = 24 << 20, 8 << 20, 4_000_000
 #: Tokens of a round that are worth a model of their own, since every model learned is shuffled whole.
-MODEL_TOKENS = 1_000_000
+MODEL_TOKENS = 4_000_000
 #: Pieces of the parameters when models are averaged, and models whose piece one task adds up at first.
 PIECES, ADDED = 32, 64
 SETTINGS = gru.Settings()
@@ -46,22 +46,41 @@ def _identity(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.lit(""))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _runs(batches: Iterator[pa.RecordBatch], column: int, most: int = RUN_BYTES) -> Iterator[pa.Table]:
+    """The same rows in runs of whole texts of about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, n = 0, batch.num_rows
+        while at < n:
+            before = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, before + most - size, side="right")))
+            held.append(batch.slice(at, upto - at))
+            size += int(ends[upto - 1]) - before
+            if size >= most or upto < n:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            at = upto
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _words(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All words of all texts in order, A-Z lower-cased, and how many each text has (null: none). Arrow's white space is that of the contracts."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.combine_chunks().cast(pa.string())))
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten()
+    full = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not full.all():  # white space at an end of a text
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
+        words = words.filter(pa.array(full))
+    return words, sizes
 
-    def out() -> pa.RecordBatch:
-        words = pa.array([w.decode("utf-8", "surrogatepass") for w in counts], pa.string())
-        batch = pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return batch
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(words_of(text))
-            if len(counts) >= HELD_WORDS:
-                yield out()
-    if counts:
-        yield out()
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run in _runs(batches, 0, COUNTED_BYTES):
+        found = _words(run.column(0))[0].value_counts()
+        yield from pa.Table.from_arrays([found.field(0), found.field(1)], names=["word", "n"]).to_batches(max_chunksize=100_000)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -73,7 +92,7 @@ class Vocabulary:
     """The words in memory by rank, and the model's tokens by falling count: vocabulary words, the rest as one, and the end."""
 
     def __init__(self, words: list[str], counts: list[int], tokens: int, documents: int, distinct: int, size: int):
-        self.rank = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(words)}
+        self.words = pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary())
         self.counts = np.array(counts, np.int64)
         self.size = min(size, len(words))
         own = int(self.counts[: self.size].sum())
@@ -89,15 +108,24 @@ class Vocabulary:
         self.base = self.train_tokens + distinct + (documents > 0) + 1
         self.rest = tokens - own + distinct - self.size + 1
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        get = self.rank.get
-        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+    def ranks(self, words: list[bytes] | pa.Array) -> np.ndarray:
+        words = words.cast(pa.binary()) if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
 
     def tokens_of(self, ranks: np.ndarray, end: bool = True) -> np.ndarray:
         known = (ranks >= 0) & (ranks < self.size)
         out = np.where(known, self.token[np.where(known, ranks, 0)], np.int32(self.other)) if len(self.token) > 2 else np.full(len(ranks), self.other, np.int32)
         return np.r_[out, np.int32(self.end)].astype(np.int32) if end else out.astype(np.int32)
 
+    def streams(self, ranks: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The tokens of each text with its end, from the ranks of the words of all texts."""
+        ends = np.cumsum(sizes + 1)
+        whole = np.full(int(ends[-1]) if len(ends) else 0, self.end, np.int32)
+        inside = np.ones(len(whole), bool)
+        inside[ends - 1] = False
+        whole[inside] = self.tokens_of(ranks, end=False)
+        return np.split(whole, ends[:-1])
+
 
 def vocabulary(counts: DataFrame, documents: int, size: int | None = None, in_memory: int = IN_MEMORY) -> Vocabulary:
     """From counts of all training words; at most ``in_memory`` of them come to the driver.
@@ -145,11 +173,13 @@ def _cut(vocab, rounds: int, chunk: int, lead: int):
             rows.clear()
             return batch
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = known.tokens_of(known.ranks(words_of(text))).astype(kind)
+        for part in _runs(batches, 0):
+            words, sizes = _words(part.column(0))
+            streams = known.streams(known.ranks(words), sizes)
+            for text, ids in zip(part.column(0).cast(pa.binary()).to_pylist(), streams, strict=True):
+                ids = ids.astype(kind)
                 number += 1  # copies of a text go to different places
-                which = f"{number}/{xxhash.xxh64_hexdigest((text or '').encode('utf-8', 'surrogatepass'))}"
+                which = f"{number}/{xxhash.xxh64_hexdigest(text or b'')}"
                 for at in range(0, len(ids), chunk):
                     before = min(at, lead)
                     place = xxhash.xxh64_intdigest(f"{which}/{at}")
@@ -165,8 +195,11 @@ def _cut(vocab, rounds: int, chunk: int, lead: int):
 
 
 def _classes(tokens: int) -> int:
-    """Fewest outputs a token: with borders at equal shares of square roots of counts, a class of falling counts (Zipf) costs 4 tokens / (classes ln tokens)."""
-    return math.isqrt(int(4 * tokens / math.log(max(3, tokens))))
+    """With borders at equal shares of square roots of counts, a class of falling counts (Zipf) costs 4 tokens / (classes ln tokens) outputs a token.
+
+    Groups make classes cheap, so there are twice as many as would cost the least without them.
+    """
+    return math.isqrt(int(16 * tokens / math.log(max(3, tokens))))
 
 
 def fit(
@@ -214,7 +247,8 @@ def _round(pieces: DataFrame, model: bytes, vocab: Vocabulary, settings: gru.Set
 
         def now() -> int:
             few = sum(map(len, streams)) // (STEPS * settings.window)
-            wide = replace(settings, lanes=min(ROUND_LANES, max(8, few)))
+            window = max(settings.window, min(ROUND_WINDOW, sum(map(len, streams)) // (STEPS * ROUND_LANES)))
+            wide = replace(settings, lanes=min(ROUND_LANES, max(8, few)), window=window)
             gru.train(params, borders, streams, end, wide, 1, ROUND_RATE, leads, squares)
             own = sum(map(len, streams)) - sum(leads)
             streams.clear()
@@ -279,38 +313,38 @@ def _score_documents(vocab, model):
         held: list[tuple] = []
         size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             found = gru.score(params, borders, [h[0] for h in held], known.end) / np.log(10)
-            rows = [(h[1], h[2], h[3], None, 1, h[4], h[5], h[6], h[7] + float(p)) for h, p in zip(held, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-            owners = np.repeat(np.arange(len(held)), [len(h[8]) for h in held])
-            words = [w.decode("utf-8", "surrogatepass") for h in held for w in h[8]]
-            counts = [c for h in held for c in h[8].values()]
-            for at in range(0, len(words), 50_000):
-                mine = owners[at : at + 50_000]
-                m = len(mine)
-                columns = [pa.array([h[1] for h in held], pa.bool_()).take(pa.array(mine)), pa.array([h[2] for h in held], pa.int64()).take(pa.array(mine)), pa.array([h[3] for h in held], pa.int64()).take(pa.array(mine))]
-                columns += [pa.array(words[at : at + m], pa.string()), pa.array(counts[at : at + m], pa.int64()), *[pa.nulls(m, k) for k in kinds[5:]]]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            rows = [(*h[1:4], None, 1, *h[4:7], h[7] + float(p)) for h, p in zip(held, found, strict=True)]
             held.clear()
-
-        for batch in batches:
-            for place, doc_id, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                words = words_of(text)
-                ranks = known.ranks(words)
-                inside = ranks[ranks >= 0]
-                base = float(logs[inside].sum()) + end_log - (len(words) + 1) * float(np.log10(known.base))
-                beyond = inside[inside >= known.size]
-                spelled = float(logs[beyond].sum()) - rest * len(beyond)
-                others = Counter(w for w, r in zip(words, ranks.tolist(), strict=True) if r < 0)
-                mark = int.from_bytes(xxhash.xxh64_digest((text or "").encode("utf-8", "surrogatepass")), "big", signed=True)
-                held.append((known.tokens_of(ranks), place, doc_id, mark, len(words) + 1, len(inside) + (known.documents > 0), base, spelled, others))
-                size += len(words) + 1
-                if size >= HELD_TOKENS:
-                    yield from out()
-                    size = 0
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+        for part in _runs(batches, 2):
+            words, sizes = _words(part.column(2))
+            ranks = known.ranks(words)
+            owners = np.repeat(np.arange(len(sizes)), sizes)
+            inside, beyond = ranks >= 0, ranks >= known.size
+            total = lambda which: np.bincount(owners[which], logs[ranks[which]], len(sizes))
+            base = total(inside) + end_log - (sizes + 1) * float(np.log10(known.base))
+            spelled = total(beyond) - rest * np.bincount(owners[beyond], minlength=len(sizes))
+            n_known = np.bincount(owners[inside], minlength=len(sizes)) + (known.documents > 0)
+            marks = [int.from_bytes(xxhash.xxh64_digest(t or b""), "big", signed=True) for t in part.column(2).cast(pa.binary()).to_pylist()]
+            streams = known.streams(ranks, sizes)
+            places, ids = (part.column(i).to_pylist() for i in (0, 1))
+            held += zip(streams, places, ids, marks, (sizes + 1).tolist(), n_known.tolist(), base.tolist(), spelled.tolist(), strict=True)
+            rare = np.flatnonzero(~inside)
+            # Each other word of a text once, with its number.
+            others = pa.table([pa.array(owners[rare]), words.take(pa.array(rare))], names=["owner", "word"]).group_by(["owner", "word"], use_threads=False).aggregate([([], "count_all")])
+            mine = others.column("owner")
+            columns = [pa.chunked_array([pa.array(x, k)]).take(mine) for x, k in ((places, kinds[0]), (ids, kinds[1]), (marks, kinds[2]))]
+            columns += [others.column("word"), others.column("count_all"), *[pa.nulls(len(others), k) for k in kinds[5:]]]
+            yield from pa.Table.from_arrays(columns, names=names).to_batches(max_chunksize=50_000)
+            size += int(sizes.sum()) + len(sizes)
+            if size >= HELD_TOKENS:
+                yield out()
+                size = 0
         if held:
-            yield from out()
+            yield out()
 
     return run
 
