@@ -145,32 +145,35 @@ def _level(
     return value - np.log(total), back
 
 
-def _outputs(params: Params, borders: Borders, states: np.ndarray, targets: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probability of each target, and with ``grads`` (written there) the gradient of the loss in the states.
+def _outputs(
+    params: Params, borders: Borders, states: np.ndarray, targets: np.ndarray, grads: Params | None = None, mine: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of each target, and with ``grads`` (written there) the gradient of the loss in the states. Rows not ``mine`` get zeros.
 
     ``states`` end with a one, which brings the bias. A target's group is told first, then its class in the group, then the word in the class.
     """
     classes, groups = borders
     kind = np.uint16 if len(classes) <= 1 << 16 else np.int64  # short numbers are sorted by digits
-    of = (np.searchsorted(classes, targets, side="right") - 1).astype(kind)
-    order = np.argsort(of, kind="stable")
-    of, words, sorted_states = of[order].astype(np.int64), targets[order], states[order]
-    group = np.searchsorted(groups, of, side="right") - 1
-    gained = np.zeros(len(targets), np.float32)
-    pulled = None if grads is None else np.zeros_like(sorted_states)
+    class_of, group_of = (np.repeat(np.arange(len(x) - 1), np.diff(x)) for x in borders)
+    counted = targets if mine is None else targets[mine]
+    of = class_of[counted]
+    order = np.argsort(of.astype(kind), kind="stable")
+    of, words = of[order], counted[order]
+    order = order if mine is None else mine[order]
+    sorted_states, group = states.take(order, axis=0), group_of[of]
+    gained, pulled = np.zeros(len(order), np.float32), None
     room = np.empty(ROOM, np.float32)
     top = np.array([0, len(groups) - 1])
     for name, over, parents, children in (("group_w", top, np.zeros(len(of), np.int64), group), ("class_w", groups, group, of), ("word_w", classes, of, words)):
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             more, back = _level(params[name], over, parents, children, sorted_states, room, None if grads is None else grads[name])
         gained += more
-        if back is not None:
-            pulled += back
-    logp = np.empty_like(gained)
+        pulled = back if pulled is None else np.add(pulled, back, out=pulled)
+    logp = np.zeros(len(targets), np.float32)
     logp[order] = gained
-    if grads is None:
+    if pulled is None:
         return logp, None
-    back = np.empty_like(pulled)
+    back = np.zeros(states.shape, np.float32)
     back[order] = pulled
     return logp, back
 
@@ -195,21 +198,17 @@ def window_gradients(
     h = before.shape[1]
     weights = np.ascontiguousarray(params["state"].T)
     held, own, gates, new, states = (np.empty((steps, n * h, lanes), np.float32) for n in (1, 3, 2, 1, 1))
-    starts = [np.flatnonzero(f) for f in fresh]
+    starts, given = [np.flatnonzero(f) for f in fresh], np.empty((lanes, 3 * h), np.float32)
     for t in range(steps):
-        given = params["gates"][tokens[t]]
+        params["gates"].take(tokens[t], axis=0, out=given, mode="clip")
         given += params["bias"]
         held[t] = states[t - 1] if t else before.T
         held[t][:, starts[t]] = 0
         _step(weights, given.T, held[t], own[t], gates[t], new[t], states[t])
     buffers = buffers or Buffers(params)
     grads = dict(buffers.grads)
-    every = counted is None or counted.all()
-    mine = slice(None) if every else np.flatnonzero(counted.reshape(-1))
-    logp, pulled = _outputs(params, borders, _with_one(states)[mine], targets.reshape(-1)[mine], grads)
-    if not every:
-        part, pulled = pulled, np.zeros((steps * lanes, h + 1), np.float32)
-        pulled[mine] = part
+    mine = None if counted is None or counted.all() else np.flatnonzero(counted.reshape(-1))
+    logp, pulled = _outputs(params, borders, _with_one(states), targets.reshape(-1), grads, mine)
     back = pulled.reshape(steps, lanes, h + 1)[:, :, :h].transpose(0, 2, 1)
     rows, through = np.empty((3 * h, steps, lanes), np.float32), np.empty((3 * h, lanes), np.float32)
     later, rest, spare = np.zeros((h, lanes), np.float32), np.empty((h, lanes), np.float32), np.empty((h, lanes), np.float32)
@@ -362,11 +361,11 @@ def score(params: Params, borders: Borders, streams: list[np.ndarray], end: int,
         state = state[:, :active].copy()
         for t in range(steps):
             state[:, np.flatnonzero(fresh[at + t, :active])] = 0
-            _step(weights, table[tokens[at + t, :active]].T, state, own, gates, new, states[t])
+            _step(weights, table.take(tokens[at + t, :active], axis=0).T, state, own, gates, new, states[t])
             state[:] = states[t]
         mine = owner[at : at + steps, :active].reshape(-1)
         real = np.flatnonzero(mine >= 0)
-        logp, _ = _outputs(params, borders, _with_one(states)[real], targets[at : at + steps, :active].reshape(-1)[real])
-        out += np.bincount(mine[real], weights=logp.astype(np.float64), minlength=len(streams))
+        logp, _ = _outputs(params, borders, _with_one(states), targets[at : at + steps, :active].reshape(-1), mine=real)
+        out += np.bincount(mine[real], weights=logp[real].astype(np.float64), minlength=len(streams))
         at += steps
     return out
